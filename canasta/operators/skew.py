@@ -49,13 +49,13 @@ def _hashable(df: DataFrame) -> list[str]:
 
 def attach(rows: DataFrame, stats: DataFrame, keys: Sequence[str], size: str, how: str = "left",
            hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Join one-row-per-key `stats` to `rows`. `size` is the column of `stats` with the key's number of rows.
+    """Join `stats` to `rows`. `size` is the column of `stats` with the number of rows of the key.
 
     Keys above `hot_rows` are spread over ceil(size / hot_rows) tasks by a salt; their stats row is repeated as often.
     """
     keys = list(keys)
     parts = F.ceil(F.col(size) / F.lit(hot_rows)).cast("int")
-    hot = stats.where(F.col(size) > hot_rows).select(*keys, parts.alias("_parts"))
+    hot = stats.where(F.col(size) > hot_rows).select(*keys, parts.alias("_parts")).distinct()
     spread = F.pmod(F.xxhash64(*_hashable(rows)) + F.spark_partition_id() * 7919, F.col("_parts").cast("long"))
     salted = (rows.join(F.broadcast(hot), keys, "left")
               .withColumn("_salt", F.coalesce(spread, F.lit(0)).cast("int")).drop("_parts"))

@@ -57,3 +57,65 @@ def decisions(spark: SparkSession, folder: str) -> DataFrame:
 def pick(index: Column, words: list[str]) -> Column:
     """The word at `index` modulo the length of the list."""
     return F.element_at(F.array(*[F.lit(w) for w in words]), (F.pmod(index, F.lit(len(words))) + 1).cast("int"))
+
+
+# Catalogue and retail names in the vocabulary of the rules; (name, line, family, category) and titles.
+TARGETS = [
+    ("Leche entera", "Leche entera", "Lacteos", "Alimento"), ("Agua", "", "Bebidas", "Alimento"),
+    ("Agua saborizada", "", "Bebidas", "Alimento"), ("Arroz primera", "", "Granos", "Alimento"), ("Vinagre", "", "", "Alimento"),
+    ("Tomate en lata", "", "", "Alimento"), ("Tomates", "", "Fruver", "Alimento"), ("Pollo entero", "Aves", "Carnicos", "Alimento"),
+    ("Jugo de limón concentrado", "", "", "Alimento"), ("Embutidos varios (chorizos, mortadelas)", "", "Carnicos", "Alimento"),
+    ("Alimento licuado para bebé", "", "", "Alimento"), ("Vasos plásticos 9oz 150und", "", "", "No alimento"),
+    ("Galleta", "", "", ""), ("Masa para pan", "", "Panadería", "Alimento"), ("Rollos de queso", "", "Panadería", "Alimento"),
+    ("Hongos", "", "", "Alimento"), ("Aceite vegetal", "", "", "Alimento"), ("Helado variado", "", "", ""),
+    ("Pan muffin", "", "", "Alimento"), ("Leche", "Leche en polvo", "", "Alimento"), ("Fiambreras 7x7 200 unid", "", "", "No alimento"),
+    ("Harina de maíz", "", "", ""), ("Huevos de gallina", "", "", "Alimento"), ("Alcohol en gel", "", "", ""), ("del", "", "", "")]
+TITLES = [
+    "Leche Entera Estrella", "Leche Entera en Polvo", "Leche Descremada", "Agua Mineral con Gas", "Agua Saborizada Limón",
+    "Agua Oxigenada", "Arroz Primera", "Arroz Integral", "Vinagre Blanco", "Vinagre de Manzana", "Tomate Enlatado Pelado",
+    "Tomate Fresco a Granel", "Pasta de Tomate", "Pollo Entero Congelado", "Pollo Asado Entero", "Puré Gerber Bebé Manzana",
+    "Detergente Limón", "Jugo de Limón Concentrado", "Jugo Piña y Limón Concentrado", "Chorizo Parrillero", "Salsa Maggi con Hongos",
+    "Marca Fina con Hongos", "Champiñones Enteros", "Galletas Chocolate Orgánico", "Galleta Soda Perro", "Pan de Masa Madre",
+    "Queso Crema Rollo", "Aceite Vegetal Spray", "Alimento para Perro Pollo", "Helado Vainilla Ron", "Vasos Plásticos Foam 16oz",
+    "Fiambreras Plásticas 8x8", "Huevos de Codorniz", "Harina de Maíz Precocida", "Muffin Mezcla Pan", "Super Marca Gran Oferta Nueva Agua",
+    "Hongos Empanizado", "Cerveza sin Alcohol Agua", "100"]
+
+
+def catalog(spark: SparkSession, folder: str) -> DataFrame:
+    """X2 targets: one catalogue product per part; `grp` gathers the parts that are compared with each other."""
+    key = F.col("p_partkey")
+    i = key * 7 + F.floor(key / 12)
+    col = lambda k: pick(i, [t[k] for t in TARGETS])
+    size = F.when(key % 3 == 0, F.concat(F.lit(" "), F.col("p_size"), F.lit("g"))).when(key % 3 == 1, F.concat(F.lit(" "), F.col("p_size"), F.lit("ml"))).otherwise("")
+    blank = F.lit("")
+    return read(spark, folder, "part").select(
+        key.alias("product_code"), F.floor(key / 12).alias("grp"), F.concat(col(0), size).alias("name"),
+        F.when(key % 4 != 0, F.col("p_size") / 40.0).alias("weight_kg"), F.col("p_type").alias("product_type"),
+        F.struct(col(1).alias("line"), col(2).alias("family"), blank.alias("description"), blank.alias("grp"), col(3).alias("category")).alias("context"))
+
+
+def retail(spark: SparkSession, folder: str) -> DataFrame:
+    """X2 listings: one retail title per part, with prices and unit attributes."""
+    key = F.col("p_partkey")
+    size = (F.when(key % 5 == 0, F.concat(F.lit(" "), F.col("p_size"), F.lit("g"))).when(key % 5 == 1, F.concat(F.lit(" "), F.col("p_size"), F.lit("ml")))
+            .when(key % 5 == 2, F.concat(F.lit(" "), F.col("p_size"), F.lit(" unidades"))).otherwise(""))
+    attrs = F.when(key % 3 == 0, F.create_map(F.lit("unit"), F.lit("kg"))).when(
+        key % 3 == 1, F.create_map(F.lit("size"), F.concat(F.col("p_size"), F.lit("g")))).otherwise(F.create_map().cast("map<string,string>"))
+    return read(spark, folder, "part").select(
+        (key % 4).alias("store"), key.cast("string").alias("sku"), F.floor(key / 12).alias("grp"),
+        F.concat(pick(key * 5 + F.floor(key / 12), TITLES), size).alias("title"), attrs.alias("attrs"),
+        F.when(key % 6 != 0, F.col("p_retailprice") / 100).alias("regular_price"), F.when(key % 10 != 0, F.col("p_retailprice") / 110).alias("final_price"),
+        F.lit(None).cast("double").alias("price"), F.lit(None).cast("string").alias("price_basis"))
+
+
+# A package size written in twelve ways.
+QUANTITY_TEXTS = ["Leche {n} x 170g", "Jugo {n}ml x 6", "Helado 1/2 gl", "Agua 24/{n}ml", "Soda Pet 6 2LT", "Arroz {n} kg",
+                  "Salami por Media Libra", "Escoba plástica", "Huevos {n} unidades", "Té Frío {n}ml 6 pack", "Tomate 3x3 kilo", "Pan {n} docenas"]
+
+
+def quantity_text(spark: SparkSession, folder: str) -> DataFrame:
+    key = F.col("p_partkey")
+    text = F.replace(pick(key, QUANTITY_TEXTS), F.lit("{n}"), F.col("p_size").cast("string"))
+    attrs = F.when(key % 5 == 0, F.create_map(F.lit("unit"), F.lit("kg"))).when(
+        key % 5 == 1, F.create_map(F.lit("size"), F.concat(F.col("p_size"), F.lit("g")))).otherwise(F.create_map().cast("map<string,string>"))
+    return read(spark, folder, "part").select(key.alias("product_code"), text.alias("text"), F.col("p_size").alias("n"), attrs.alias("attrs"))
