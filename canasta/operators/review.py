@@ -1,5 +1,258 @@
+"""The review of proposed prices: confidence, decisions from an append-only log, overrides and the export."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from canasta.functions import text as X
+from canasta.functions.money import fixed, valid_price
+from canasta.operators import pricing
+from canasta.operators.flags import evidence_flags, flag_codes, joined, reason_text
+from canasta.settings import PriceSettings, ReviewPolicy
+
+DECISIONS = ("accepted", "rejected", "manual", "pending")
+
+
+def store_support(stats: DataFrame, policy: ReviewPolicy = ReviewPolicy()) -> DataFrame:
+    """Listings per product with each store capped, so one large catalogue does not dominate the evidence."""
+    return stats.groupBy("product_code").agg(F.sum(F.least("n", F.lit(policy.matches_per_store))).alias("support"))
+
+
+def confidence_points(stores: Column, support: Column, confidence: Column, estimate: Column, current: Column, cv: Column,
+                      settings: PriceSettings = PriceSettings(), policy: ReviewPolicy = ReviewPolicy()) -> Column:
+    """Evidence points before penalties: stores, listings, search, closeness to the current price, spread."""
+    p = policy
+    change = F.when(valid_price(current) & valid_price(estimate), F.abs(estimate - current) / current)
+    credit = F.lit(0.0)
+    for level, value in p.query_credit.items():
+        credit = F.when(F.upper(confidence) == level, value).otherwise(credit)
+    near = (F.when(change <= F.lit(settings.change_limit + 1e-12), 1.0).when(change.isNotNull(), settings.change_limit / change)
+            .when(~valid_price(current), p.missing_current_credit).otherwise(0.0))
+    tight = F.when(cv.isNull(), 0.0).when(cv <= settings.spread_cv_limit, 1.0).otherwise(F.lit(settings.spread_cv_limit) / cv)
+    return (p.weight_stores * F.least(F.lit(1.0), stores / p.target_stores)
+            + p.weight_matches * F.least(F.lit(1.0), F.coalesce(support, F.lit(0)) / (p.target_stores * p.matches_per_store))
+            + p.weight_query * credit + p.weight_current * near + p.weight_spread * tight)
+
+
+def confidence_grade(points: Column, flags: Column, estimate: Column, current: Column,
+                     settings: PriceSettings = PriceSettings(), policy: ReviewPolicy = ReviewPolicy()) -> Column:
+    """struct(score 1..5, points): penalties and caps per flag, a cap for a large change, nothing without an estimate."""
+    p = policy
+
+    def by_flag(table: dict, flag: Column, other: int) -> Column:
+        out = F.lit(other)
+        for name, value in table.items():
+            out = F.when(flag == name, value).otherwise(out)
+        return out
+
+    penalty = F.aggregate(flags, F.lit(0), lambda a, f: a + by_flag(p.penalties, f, p.unknown_penalty))
+    cap = F.aggregate(flags, F.lit(5), lambda a, f: F.least(a, by_flag(p.caps, f, 5)))
+    change = F.when(valid_price(current) & valid_price(estimate), F.abs(estimate - current) / current)
+    cap = F.when(change > settings.change_limit + 1e-12, F.least(cap, F.lit(p.large_change_cap))).otherwise(cap)
+    left = F.greatest(F.lit(0.0), F.least(F.lit(100.0), points - penalty))
+    passed = sum((F.when(left >= b, 1).otherwise(0) for b in p.boundaries), F.lit(1))
+    has = valid_price(estimate)
+    return F.struct(F.when(has, F.least(cap, passed)).otherwise(1).alias("score"),
+                    F.when(has, fixed(left, 1).cast("double")).otherwise(0.0).alias("points"))
+
+
+def review_notes(n: Column, stores: Column, estimate: Column, current: Column, quality: Column, confidence: Column,
+                 request_error: Column, cv: Column, ident: Column, settings: PriceSettings = PriceSettings()) -> Column:
+    """Short observations for the person who decides, in a fixed order."""
+    q = F.coalesce(quality, F.lit(""))
+    limit = f"{settings.change_limit:.0%}"
+    parts = [
+        F.concat(F.lit("Based on "), n.cast("string"), F.lit(" comparable listings from "), stores.cast("string"), F.lit(" stores.")),
+        F.when(~valid_price(estimate), "No usable estimate was found. A price can be entered manually."),
+        F.when(~valid_price(current), "No positive current price is available for comparison.").when(
+            F.abs(estimate - current) / current > settings.change_limit + 1e-12,
+            f"The estimate differs from the current price by more than {limit}. Check the product and package size."),
+        F.when(q.contains("TARGET SIZE WARNING"), "The product name and spreadsheet list different package sizes."),
+        F.when(F.upper(F.coalesce(confidence, F.lit(""))) == "LOW", "The search terms are broad; check whether the store products are comparable."),
+        F.when((F.coalesce(request_error, F.lit("")) != "") | q.contains("REQUEST ERROR"), "Some store searches failed, so the evidence may be incomplete."),
+        F.when(cv > settings.spread_cv_limit, "Comparable store prices vary considerably."),
+        F.when(F.coalesce(ident, F.lit("")) == "", "Salesforce Id is missing. This item needs a current-price record before CSV export."),
+    ]
+    return F.array_compact(F.array(*parts))
 
-def match_group(queries):
+
+def category_merge(base: DataFrame, product: DataFrame, result: DataFrame, fields: list[str]) -> DataFrame:
+    """Category fields by product code; the later non-empty source wins."""
+    rows = (result.select("product_code", *[F.col(f).alias(f"r_{f}") for f in fields])
+            .join(product.select("product_code", *[F.col(f).alias(f"p_{f}") for f in fields]), "product_code", "left")
+            .join(base.select("product_code", *[F.col(f).alias(f"b_{f}") for f in fields]), "product_code", "left"))
+
+    def filled(c: str) -> Column:
+        return F.when(F.col(c).cast("string") != "", F.col(c).cast("string"))
+
+    return rows.select("product_code", *[F.trim(F.coalesce(filled(f"r_{f}"), filled(f"p_{f}"), filled(f"b_{f}"), F.lit(""))).alias(f) for f in fields])
+
+
+def match_group(queries: Column) -> Column:
+    """The first generated query, used as one more category."""
     return F.trim(F.substring_index(queries, "|", 1))
+
+
+def accept_price(estimate: Column, current: Column) -> Column:
+    """What 'accept' approves: the proposal, or the current price when there is no usable proposal."""
+    return F.when(valid_price(estimate), estimate).otherwise(current)
+
+
+def validate_decisions(log: DataFrame, items: DataFrame) -> DataFrame:
+    """Each decision with `error`: unknown, manual without a positive price, or accepting without any price."""
+    rows = log.join(items.select("product_code", "estimate", "current_price"), "product_code", "left")
+    error = (F.when(~F.col("action").isin(*DECISIONS), "Unknown decision")
+             .when((F.col("action") == "manual") & ~valid_price(F.col("price")), "Enter a positive price for one selected item.")
+             .when((F.col("action") == "accepted") & ~valid_price(accept_price(F.col("estimate"), F.col("current_price"))),
+                   "No proposed or current price. Enter the price manually first."))
+    return rows.withColumn("error", error)
+
+
+def decision_state(log: DataFrame, items: DataFrame) -> DataFrame:
+    """The latest valid decision of every product (pending before the first) with its price in cents."""
+    valid = validate_decisions(log, items).where(F.col("error").isNull())
+    last = valid.groupBy("product_code").agg(F.max(F.struct("seq", "action", "price")).alias("d"))
+    rows = items.join(last, "product_code", "left")
+    value = F.when(F.col("d.action") == "manual", F.col("d.price")).when(
+        F.col("d.action") == "accepted", accept_price(F.col("estimate"), F.col("current_price")))
+    return rows.withColumns({"decision": F.coalesce("d.action", F.lit("pending")), "price": fixed(value).cast("double")}).drop("d")
+
+
+def _places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Walk each session in order, keeping only its position and the end of its redo range."""
+    session, at, top = None, 0, 0
+    for batch in batches:
+        where = []
+        for name, code in zip(batch["session_id"], batch["code"]):
+            if name != session:
+                session, at, top = name, 0, 0
+            if code == 0:
+                at = top = at + 1
+            else:
+                at = max(at - 1, 0) if code < 0 else min(at + 1, top)
+            where.append(at)
+        yield batch.assign(level=where)
+
+
+def undo_redo_replay(log: DataFrame) -> DataFrame:
+    """The changes still applied at the end of each session: session_id, level, seq, product_code, action, price.
+
+    Undo steps back, redo forward, and a new change ends what could be redone. The walk needs the order of a session but
+    only two numbers of state, so sorted partitions are streamed and no session is held in memory. The surviving change
+    of a level is the last one written there; that and the final level are partial aggregates.
+    """
+    code = F.when(F.col("action") == "undo", -1).when(F.col("action") == "redo", 1).otherwise(0)
+    ordered = (log.select("session_id", "seq", code.alias("code")).repartition("session_id")
+               .sortWithinPartitions("session_id", "seq"))
+    placed = ordered.mapInPandas(_places, "session_id string, seq bigint, code int, level bigint")
+    ends = placed.groupBy("session_id").agg(F.max_by("level", "seq").alias("depth"))
+    made = placed.where(F.col("code") == 0).groupBy("session_id", "level").agg(F.max("seq").alias("seq"))
+    alive = made.join(ends, "session_id").where(F.col("level") <= F.col("depth")).drop("depth")
+    return alive.join(log.select("session_id", "seq", "product_code", "action", "price"), ["session_id", "seq"])
+
+
+def override_recalc(audit: DataFrame, overrides: DataFrame, summary: DataFrame, settings: PriceSettings = PriceSettings()) -> DataFrame:
+    """Prices and evidence of the products whose listings a person included or excluded; no filter runs again.
+
+    `audit`: product_code, store, sku, accepted, price_per_kg. `overrides`: product_code, store, sku, included.
+    `summary`: product_code, target_kg, confidence, quality. `problem` names products that cannot be recalculated.
+    """
+    chosen = (audit.join(overrides.select("product_code").distinct(), "product_code", "left_semi")
+              .join(overrides, ["product_code", "store", "sku"], "left")
+              .withColumn("used", F.coalesce("included", "accepted")))
+    usable = F.coalesce(F.col("price_per_kg") > 0, F.lit(False))
+    used = chosen.where(F.col("used") & usable)
+    totals = chosen.groupBy("product_code").agg(F.count(F.lit(1)).alias("listings"), F.count_if(F.col("used") & ~usable).alias("unpriced"))
+    priced = pricing.estimates(used, settings)
+    rows = totals.join(priced, "product_code", "left").join(summary.select("product_code", "target_kg", "confidence", "quality"), "product_code", "left")
+    n, stores = F.coalesce("n", F.lit(0)), F.coalesce("store_count", F.lit(0))
+    rebuilt = ("NO MATCHES", "VERY HIGH RISK", "HIGH RISK", "ONE STORE ONLY", "LOW SEARCH CONFIDENCE", "OK", "")
+    kept = F.filter(F.transform(F.split(F.coalesce("quality", F.lit("")), r"\|"), lambda f: F.trim(f)), lambda f: ~F.substring_index(f, ":", 1).isin(*rebuilt))
+    flags = joined([F.array_join(kept, " | "), *evidence_flags(n, stores, F.col("confidence"), 2, settings, "selected")], "OK")
+    problem = (F.when(F.col("unpriced") > 0, "Cannot include a listing without a usable price and size")
+               .when(~F.coalesce(F.col("target_kg") > 0, F.lit(False)), "The target package quantity is missing"))
+    estimate = F.when(problem.isNull(), pricing.estimate_price(F.col("market"), F.col("target_kg"), settings))
+    return rows.select("product_code", n.alias("accepted_count"), (F.col("listings") - n).alias("rejected_count"), stores.alias("store_count"),
+                       estimate.alias("estimate"), "market", "median", "cv", flags.alias("quality"), problem.alias("problem"), F.lit("pending").alias("decision"))
+
+
+def export_check(state: DataFrame) -> DataFrame:
+    """Why an export must stop: invalid approved prices, products without an export id, nothing approved."""
+    approved = state.where(F.col("decision").isin("accepted", "manual"))
+    invalid = approved.where(~valid_price(F.col("price"))).select(F.lit("invalid price").alias("problem"), F.col("product_code").cast("string").alias("key"))
+    missing = approved.where(F.coalesce("id", F.lit("")) == "").select(F.lit("missing id").alias("problem"), F.col("product_code").cast("string").alias("key"))
+    none = approved.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.lit("nothing approved").alias("problem"), F.lit("").alias("key"))
+    return invalid.unionByName(missing).unionByName(none)
+
+
+def approved_prices(state: DataFrame, include_unchanged: bool = False) -> DataFrame:
+    """id and price (cents) of approved products, optionally with the undecided ones at their current price."""
+    approved = F.col("decision").isin("accepted", "manual")
+    value = F.when(approved, F.col("price"))
+    if include_unchanged:
+        value = F.coalesce(value, F.when(~approved & valid_price(F.col("current_price")), F.col("current_price")))
+    return state.select("id", fixed(value).cast("double").alias("price")).where(F.col("price").isNotNull())
+
+
+def stale_review(log: DataFrame, run_id: str) -> DataFrame:
+    """Decisions of other result files are set aside, not replayed."""
+    return log.withColumn("stale", F.col("run_id") != run_id)
+
+
+def review_filter(items: DataFrame, score: int | None = None, decision: str = "all", category: str | None = None,
+                  product_type: str | None = None, text: str = "") -> DataFrame:
+    """Conjunction of the review list's filters; `decision` is all, pending, approved, rejected or problem."""
+    state = F.col("decision")
+    tests = {"all": F.lit(True), "pending": state == "pending", "approved": state.isin("accepted", "manual"), "rejected": state == "rejected",
+             "problem": (state == "rejected") | (~valid_price(F.col("estimate")) & ~state.isin("accepted", "manual"))}
+    out = items.where(tests[decision])
+    if score is not None:
+        out = out.where(F.col("score") == score)
+    if category is not None:
+        out = out.where(F.col("category") == category)
+    if product_type is not None:
+        out = out.where(F.col("type") == product_type)
+    hay = X.norm_text(F.concat_ws(" ", F.col("product_code").cast("string"), "name", "type", "category"))
+    return out.where(hay.contains(X.norm_text(F.lit(text)))) if text else out
+
+
+def candidate_filter(audit: DataFrame, used: str = "all", original: str = "all", text: str = "") -> DataFrame:
+    """Listings of the audit by current use (all, included, excluded, changed), first verdict and text."""
+    now, first = F.col("included"), F.col("accepted")
+    tests = {"all": F.lit(True), "included": now, "excluded": ~now, "changed": now != first}
+    firsts = {"all": F.lit(True), "accepted": first, "rejected": ~first}
+    out = audit.where(tests[used]).where(firsts[original])
+    hay = X.norm_text(F.concat_ws(" ", "title", "sku", "reason", "query", reason_text(F.col("reason"))))
+    return out.where(hay.contains(X.norm_text(F.lit(text)))) if text else out
+
+
+def review_sort(items: DataFrame, column: str, descending: bool = False) -> DataFrame:
+    """By any column, missing values last (a descending sort reverses everything), then by name and code."""
+    keys = [F.col(column), X.norm_text(F.col("name")), F.col("product_code")]
+    return items.orderBy(keys[0].desc_nulls_first(), keys[1].desc(), keys[2].desc()) if descending else items.orderBy(
+        keys[0].asc_nulls_last(), keys[1].asc(), keys[2].asc())
+
+
+def candidate_sort(audit: DataFrame, column: str, descending: bool = False) -> DataFrame:
+    """By any column; missing values are last in both directions."""
+    return audit.orderBy(F.col(column).desc_nulls_last() if descending else F.col(column).asc_nulls_last(), "product_code", "store", "sku")
+
+
+def decision_counts(items: DataFrame) -> DataFrame:
+    return items.groupBy("decision").agg(F.count(F.lit(1)).alias("n"))
+
+
+def inclusion_counts(audit: DataFrame) -> DataFrame:
+    return audit.groupBy("store").agg(F.count_if("included").alias("included"), F.count(F.lit(1)).alias("total"))
+
+
+def graded(items: DataFrame, settings: PriceSettings = PriceSettings(), policy: ReviewPolicy = ReviewPolicy()) -> DataFrame:
+    """Items with points, score and flags from their evidence columns."""
+    points = confidence_points(F.col("store_count"), F.col("support"), F.col("confidence"), F.col("estimate"), F.col("current_price"), F.col("cv"), settings, policy)
+    rows = items.withColumn("flags", flag_codes(F.col("quality"), F.col("request_error"))).withColumn("_p", points)
+    grade = confidence_grade(F.col("_p"), F.col("flags"), F.col("estimate"), F.col("current_price"), settings, policy)
+    return rows.withColumn("_g", grade).withColumns({"score": F.col("_g.score"), "points": F.col("_g.points")}).drop("_p", "_g")

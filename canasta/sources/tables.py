@@ -105,6 +105,10 @@ def write_results(summary: DataFrame, audit: DataFrame, path: str) -> None:
     audit.write.mode("overwrite").partitionBy("store").parquet(f"{path}/audit")
 
 
+def price_lines(approved: DataFrame) -> DataFrame:
+    return approved.select(F.col("id").alias("Id"), fixed(F.col("price")).alias("UnitPrice"))
+
+
 def write_prices(approved: DataFrame, path: str) -> None:
     """`Id,UnitPrice` with two decimals; the committer publishes the files only when all are written."""
-    approved.select(F.col("id").alias("Id"), fixed(F.col("price")).alias("UnitPrice")).write.mode("errorifexists").csv(path, header=True)
+    price_lines(approved).write.mode("errorifexists").csv(path, header=True)
