@@ -182,47 +182,70 @@ def _words(df: DataFrame) -> Column:
 TWIN = [*PRODUCT_STORE, "_kg", "_u", "_t"]
 
 
-def _twin_keys(cands: DataFrame, live: str) -> DataFrame:
-    """Rows without a positive size and unit price repeat nothing; their key stays NULL."""
-    usable = F.col(live) & F.coalesce((F.col("kg") > 0) & (F.col("price_per_kg") > 0), F.lit(False))
-    return cands.withColumns({"_kg": F.when(usable, F.col("kg")), "_u": F.when(usable, F.col("price_per_kg")),
-                              "_t": F.when(usable, _words(cands))})
+def _fold(lists: DataFrame, settings: PriceSettings) -> Column:
+    """The greedy choice over `xs` (structs with x, in order): the same structs with the sku of their keeper."""
+    item = lists.schema["xs"].dataType.elementType
+    fields = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in item.fields)
+    start = F.array().cast(f"array<struct<{fields},keeper:string>>")
+
+    def step(done: Column, e: Column) -> Column:
+        hits = F.filter(done, lambda k: (k["keeper"] == k["x"]["sku"]) & near_duplicate(k["x"], e["x"], settings))
+        keeper = F.when(F.size(hits) > 0, F.get(hits, F.lit(0))["keeper"]).otherwise(e["x"]["sku"])
+        return F.concat(done, F.array(F.struct(*[e[f.name].alias(f.name) for f in item.fields], keeper.alias("keeper"))))
+
+    return F.aggregate("xs", start, step)
+
+
+def _lists(rows: DataFrame, columns: list[str], fold_rows: int) -> DataFrame:
+    """The first fold_rows + 1 rows of each product and store by sku, as one array: longer means too large to fold.
+
+    The limited window keeps that many rows per group and map task, and the grouping reuses its partitioning.
+    """
+    order = Window.partitionBy(*PRODUCT_STORE).orderBy("x.sku")
+    return (rows.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= fold_rows + 1)
+            .groupBy(*PRODUCT_STORE).agg(F.collect_list(F.struct("_r", "x", *columns)).alias("xs"))
+            .withColumn("xs", F.array_sort("xs", lambda a, b: a["_r"] - b["_r"])))
 
 
 def dedupe_greedy(cands: DataFrame, settings: PriceSettings = PriceSettings(), live: str = "accepted",
                   fold_rows: int = FOLD_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Adds `duplicate_of`: the sku of the kept listing of the same product and store that a row repeats, else NULL.
 
-    Rows are taken in sku order; a row is kept unless it nearly repeats a kept one. Listings that agree in size, unit
-    price and words are folded first: the first by sku stands for all. Groups of up to `fold_rows` are decided inside
-    one row (the window limit that collects them passes at most fold_rows + 1 rows per group and map task); larger ones
-    are resolved in parallel rounds. The decisions are written to the shared folder. (product_code, store, sku) is unique.
+    Rows are taken in sku order; a row is kept unless it nearly repeats a kept one. (product_code, store, sku) is unique.
+    Groups of up to `fold_rows` are decided inside one row, with a single shuffle of the listings, and written to the
+    shared folder. Larger groups are decided on one representative of all listings that agree in size, unit price and
+    words: by the same fold if few are left, otherwise in parallel rounds.
     """
-    rows = _twin_keys(cands, live)
-    twins = (rows.where(F.col("_u").isNotNull()).groupBy(*TWIN)
-             .agg(F.min("sku").alias("sku"), F.count(F.lit(1)).alias("twins")))
-    reps = twins.select(*PRODUCT_STORE, "twins",
-                        F.struct("sku", F.col("_kg").alias("kg"), F.col("_u").alias("u"), F.col("_t").alias("toks")).alias("x"))
-    order = Window.partitionBy(*PRODUCT_STORE).orderBy("x.sku")
-    lists = (reps.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= fold_rows + 1)
-             .groupBy(*PRODUCT_STORE).agg(F.array_sort(F.collect_list(F.struct("x", "twins"))).alias("xs")))
-    start = F.array().cast("array<struct<x:struct<sku:string,kg:double,u:double,toks:array<string>>,twins:bigint,keeper:string>>")
+    usable = F.coalesce(F.col(live) & (F.col("kg") > 0) & (F.col("price_per_kg") > 0), F.lit(False))
+    x = F.struct("sku", F.col("kg").cast("double").alias("kg"), F.col("price_per_kg").alias("u"), _words(cands).alias("toks"))
+    rows = cands.where(usable).select(*PRODUCT_STORE, x.alias("x"), F.struct(*cands.columns).alias("row"))
+    lists = _lists(rows, ["row"], fold_rows)
+    small = F.size("xs") <= fold_rows
+    decided = cut(lists.select(*[F.col(c).alias(f"_{c}") for c in PRODUCT_STORE], (~small).alias("_large"),
+                               F.inline_outer(F.when(small, _fold(lists, settings))))
+                  .select("_product_code", "_store", "_large", "row", "keeper"), "decided")
+    mark = F.when(F.col("keeper") != F.col("sku"), F.col("keeper")).alias("duplicate_of")
+    out = decided.where("not _large").select("row.*", "keeper").select(*cands.columns, mark)
+    out = out.unionByName(cands.where(~usable).withColumn("duplicate_of", F.lit(None).cast("string")))
+    large = decided.where("_large").select(F.col("_product_code").alias("product_code"), F.col("_store").alias("store"))
+    if not large.isEmpty():
+        out = out.unionByName(_dedupe_large(cands.where(usable).join(large, PRODUCT_STORE, "left_semi"), settings, fold_rows, hot_rows))
+    return out
 
-    def step(done: Column, e: Column) -> Column:
-        hits = F.filter(done, lambda k: (k["keeper"] == k["x"]["sku"]) & near_duplicate(k["x"], e["x"], settings))
-        keeper = F.when(F.size(hits) > 0, F.get(hits, F.lit(0))["keeper"]).otherwise(e["x"]["sku"])
-        return F.concat(done, F.array(F.struct(e["x"].alias("x"), e["twins"].alias("twins"), keeper.alias("keeper"))))
 
+def _dedupe_large(cands: DataFrame, settings: PriceSettings, fold_rows: int, hot_rows: int) -> DataFrame:
+    rows = cands.withColumns({"_kg": F.col("kg").cast("double"), "_u": F.col("price_per_kg"), "_t": _words(cands)})
+    twins = rows.groupBy(*TWIN).agg(F.min("sku").alias("sku"), F.count(F.lit(1)).alias("twins"))
+    x = F.struct("sku", F.col("_kg").alias("kg"), F.col("_u").alias("u"), F.col("_t").alias("toks"))
+    reps = cut(twins.select(*PRODUCT_STORE, "twins", x.alias("x")), "representatives")
+    lists = _lists(reps, ["twins"], fold_rows)
     small = F.size("xs") <= fold_rows
-    folded = F.when(small, F.aggregate("xs", start, step))
-    decided = cut(lists.select(*PRODUCT_STORE, (~small).alias("large"), F.inline_outer(folded)), "decided")
+    decided = cut(lists.select(*PRODUCT_STORE, (~small).alias("large"), F.inline_outer(F.when(small, _fold(lists, settings)))).drop("_r"), "decided")
     large = decided.where("large").select(*PRODUCT_STORE)
     decided = decided.where("not large").drop("large")
     if not large.isEmpty():
-        hot = reps.join(large, PRODUCT_STORE, "left_semi")
-        decided = decided.unionByName(dedupe_rounds(cut(hot, "large_groups"), settings))
-    verdict = decided.select(*PRODUCT_STORE, F.col("x.kg").alias("_kg"), F.col("x.u").alias("_u"),
-                             F.col("x.toks").alias("_t"), "twins", "keeper")
+        decided = decided.unionByName(dedupe_rounds(reps.join(large, PRODUCT_STORE, "left_semi"), settings))
+    verdict = decided.select(*PRODUCT_STORE, F.col("x.kg").alias("_kg"), F.col("x.u").alias("_u"), F.col("x.toks").alias("_t"), "twins", "keeper")
     full = attach(rows, verdict, TWIN, "twins", hot_rows=hot_rows)
     return full.select(*cands.columns, F.when(F.col("keeper") != F.col("sku"), F.col("keeper")).alias("duplicate_of"))
 
@@ -307,14 +330,14 @@ def clean_listings(cands: DataFrame, settings: PriceSettings = PriceSettings(),
     """Size peers over all stores, then near-duplicates per store, then price outliers over all stores.
 
     Every row ends with one `status`: REJECTED (before cleaning), SIZE, DUPLICATE, OUTLIER or ACCEPTED, and a reason.
-    The candidates and the two middle steps are written to the shared folder, so no step is computed twice.
+    The two middle steps are written to the shared folder, so no step is computed twice.
     """
     s = settings
     had_reason = F.col("reason") if "reason" in cands.columns else F.lit(None).cast("string")
     cands = cands.withColumn("reason", had_reason)
     sized = cut(size_filter(cands, s, hot_rows), "size_peers")
-    single = cut(dedupe_greedy(sized, s, "size_kept", hot_rows=hot_rows)
-                 .withColumn("_unique", F.col("size_kept") & F.col("duplicate_of").isNull()), "unique")
+    single = (dedupe_greedy(sized, s, "size_kept", hot_rows=hot_rows)
+              .withColumn("_unique", F.col("size_kept") & F.col("duplicate_of").isNull()))
     tested = outlier_tests(single, s, "_unique", hot_rows)
     status = (F.when(~F.col("accepted"), "REJECTED").when(~F.col("size_kept"), "SIZE")
               .when(F.col("duplicate_of").isNotNull(), "DUPLICATE")

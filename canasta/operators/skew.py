@@ -37,6 +37,13 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for costly per-row work on a table that was read in fewer splits; large tables stay as they are.
+    `df` is a scan with narrow steps."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _hashable(df: DataFrame) -> list[str]:
     def has_map(t):
         if isinstance(t, T.MapType):

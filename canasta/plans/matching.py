@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from canasta.operators import candidates, identity
+from canasta.operators.skew import cut, spread
 from canasta.plans.numeric import near
 from canasta.plans.registry import query
 from canasta.plans.texts import FEATURES, LISTING, canon, lst, minus, norm, unparen, within
@@ -16,8 +17,8 @@ from canasta.functions.text import both_forms
 
 def pairs(spark, folder):
     """Every catalogue product against the retail titles of its group of parts."""
-    t = identity.target_features(fixtures.catalog(spark, folder))
-    return t.join(identity.listing_features(fixtures.retail(spark, folder)), "grp")
+    t = cut(identity.target_features(fixtures.catalog(spark, folder)), "targets")
+    return t.join(cut(identity.listing_features(fixtures.retail(spark, folder)), "listings"), "grp")
 
 
 def by_head(table: dict, both: bool = False) -> str:
@@ -198,7 +199,7 @@ def series(spark, folder):
     """Names with a series word shared by twelve parts, so a target reaches as many listings at every scale."""
     word = F.concat(F.lit("serie"), F.floor(F.col("p_partkey") / 12))
     ctx = F.struct(*[F.lit("").alias(c) for c in ("line", "family", "description", "grp", "category")])
-    part = fixtures.read(spark, folder, "part")
+    part = spread(fixtures.read(spark, folder, "part"))
     targets = part.select(F.col("p_partkey").alias("product_code"), F.concat_ws(" ", word, "p_name").alias("name"), F.lit(None).cast("double").alias("weight_kg"), ctx.alias("context"))
     titles = part.select((F.col("p_partkey") % 4).alias("store"), F.col("p_partkey").cast("string").alias("sku"),
                          F.concat_ws(" ", "p_name", "p_type", word, F.concat("p_size", F.lit("kg"))).alias("title"), F.create_map().cast("map<string,string>").alias("attrs"))

@@ -8,6 +8,7 @@ from canasta.functions import money as M
 from canasta.functions import quantity as Q
 from canasta.functions import text as X
 from canasta.plans.numeric import near
+from canasta.operators.skew import spread
 from canasta.plans.registry import query
 from canasta.sources import fixtures, tables
 from canasta.vocabulary import SPANISH as V
@@ -102,7 +103,7 @@ FEATURES = f"""{TARGET}, tk0 AS (SELECT *, {raw_tokens('name')} AS r, {raw_token
 
 
 def texts(spark, folder):
-    return fixtures.read(spark, folder, "documents").select("doc_id", "text", "lang", "source")
+    return spread(fixtures.read(spark, folder, "documents").select("doc_id", "text"))
 
 
 @query("norm_text", f"SELECT doc_id, {norm('text')} AS text FROM documents")

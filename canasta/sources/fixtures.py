@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from canasta.operators.skew import spread
+
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
@@ -88,7 +90,7 @@ def catalog(spark: SparkSession, folder: str) -> DataFrame:
     col = lambda k: pick(i, [t[k] for t in TARGETS])
     size = F.when(key % 3 == 0, F.concat(F.lit(" "), F.col("p_size"), F.lit("g"))).when(key % 3 == 1, F.concat(F.lit(" "), F.col("p_size"), F.lit("ml"))).otherwise("")
     blank = F.lit("")
-    return read(spark, folder, "part").select(
+    return spread(read(spark, folder, "part")).select(
         key.alias("product_code"), F.floor(key / 12).alias("grp"), F.concat(col(0), size).alias("name"),
         F.when(key % 4 != 0, F.col("p_size") / 40.0).alias("weight_kg"), F.col("p_type").alias("product_type"),
         F.struct(col(1).alias("line"), col(2).alias("family"), blank.alias("description"), blank.alias("grp"), col(3).alias("category")).alias("context"))
@@ -101,7 +103,7 @@ def retail(spark: SparkSession, folder: str) -> DataFrame:
             .when(key % 5 == 2, F.concat(F.lit(" "), F.col("p_size"), F.lit(" unidades"))).otherwise(""))
     attrs = F.when(key % 3 == 0, F.create_map(F.lit("unit"), F.lit("kg"))).when(
         key % 3 == 1, F.create_map(F.lit("size"), F.concat(F.col("p_size"), F.lit("g")))).otherwise(F.create_map().cast("map<string,string>"))
-    return read(spark, folder, "part").select(
+    return spread(read(spark, folder, "part")).select(
         (key % 4).alias("store"), key.cast("string").alias("sku"), F.floor(key / 12).alias("grp"),
         F.concat(pick(key * 5 + F.floor(key / 12), TITLES), size).alias("title"), attrs.alias("attrs"),
         F.when(key % 6 != 0, F.col("p_retailprice") / 100).alias("regular_price"), F.when(key % 10 != 0, F.col("p_retailprice") / 110).alias("final_price"),
@@ -118,4 +120,4 @@ def quantity_text(spark: SparkSession, folder: str) -> DataFrame:
     text = F.replace(pick(key, QUANTITY_TEXTS), F.lit("{n}"), F.col("p_size").cast("string"))
     attrs = F.when(key % 5 == 0, F.create_map(F.lit("unit"), F.lit("kg"))).when(
         key % 5 == 1, F.create_map(F.lit("size"), F.concat(F.col("p_size"), F.lit("g")))).otherwise(F.create_map().cast("map<string,string>"))
-    return read(spark, folder, "part").select(key.alias("product_code"), text.alias("text"), F.col("p_size").alias("n"), attrs.alias("attrs"))
+    return spread(read(spark, folder, "part")).select(key.alias("product_code"), text.alias("text"), F.col("p_size").alias("n"), attrs.alias("attrs"))

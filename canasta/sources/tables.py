@@ -75,7 +75,10 @@ def scan_price_book(df: DataFrame) -> DataFrame:
 
 
 def scan_delimited(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
-    """A delimited text file with a header row, all columns as text (amounts: functions.money.parse_money)."""
+    """A delimited text file with a header row, all columns as text (amounts: functions.money.parse_money).
+
+    Encodings are those of the CSV source (UTF-8, UTF-16, ISO-8859-1); spark.sql.legacy.javaCharsets admits cp1252.
+    """
     return spark.read.csv(path, sep=sep, encoding=encoding, header=True, inferSchema=False)
 
 

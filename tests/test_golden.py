@@ -108,9 +108,9 @@ def test_settings_are_checked():
 
 def test_files(spark, tmp_path):
     path = str(tmp_path / "book.csv")
-    with open(path, "w", encoding="cp1252") as f:
+    with open(path, "w", encoding="latin-1") as f:
         f.write("Código;Precio;Id\n7;1.234,50;A\n8;;B\n")
-    book = tables.scan_price_book(tables.scan_delimited(spark, path, ";", "windows-1252"))
+    book = tables.scan_price_book(tables.scan_delimited(spark, path, ";", "ISO-8859-1"))
     assert {r.product_code: r.current_price for r in catalog.price_map(book, True).collect()} == {"7": 1234.5}
     approved = spark.createDataFrame([("A", 2.5)], "id string, price double")
     tables.write_prices(approved, str(tmp_path / "out"))
