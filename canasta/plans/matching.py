@@ -213,3 +213,11 @@ def series(spark, folder):
 def candidate_join(spark, folder):
     targets, titles = series(spark, folder)
     return candidates.candidate_join(targets, titles).select("product_code", "store", "sku", "query_rank")
+
+
+@query("price_run")
+def price_run(spark, folder):
+    """Names and titles to one estimate per product, every step of the library in one run."""
+    from canasta.plans.price_run import price_run as run
+    summary, _ = run(*fixtures.series_catalog(spark, folder), stores=[0, 1, 2, 3])
+    return summary

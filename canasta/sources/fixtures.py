@@ -121,3 +121,27 @@ def quantity_text(spark: SparkSession, folder: str) -> DataFrame:
     attrs = F.when(key % 5 == 0, F.create_map(F.lit("unit"), F.lit("kg"))).when(
         key % 5 == 1, F.create_map(F.lit("size"), F.concat(F.col("p_size"), F.lit("g")))).otherwise(F.create_map().cast("map<string,string>"))
     return spread(read(spark, folder, "part")).select(key.alias("product_code"), text.alias("text"), F.col("p_size").alias("n"), attrs.alias("attrs"))
+
+
+def series_catalog(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """X2 with a series word shared by sixty parts: each product finds the listings of its own series only, so candidates
+    grow in step with the tables. Four of five titles carry the product's own words."""
+    key = F.col("p_partkey")
+    word = F.concat(F.lit("serie"), F.floor(key / 60).cast("string"))
+    group = F.floor(key / 60)
+    part = spread(read(spark, folder, "part"))
+    blank = F.lit("")
+    names = [t[0] for t in TARGETS[:6]]
+    name = pick(group, names)
+    targets = part.select(
+        key.alias("product_code"), F.concat_ws(" ", name, word, F.concat((F.col("p_size") * 20).cast("string"), F.lit("g"))).alias("name"),
+        F.when(key % 4 != 0, F.col("p_size") / 40.0).alias("weight_kg"),
+        F.struct(*[blank.alias(c) for c in ("line", "family", "description", "grp")], F.lit("Alimento").alias("category")).alias("context"))
+    title = F.when(key % 5 == 0, pick(key, TITLES)).otherwise(F.concat_ws(" ", name, pick(key, ["Estrella", "Bonlac", "Dos Pinos", "Super"])))
+    listings = part.select(
+        (key % 4).alias("store"), key.cast("string").alias("sku"),
+        F.concat_ws(" ", title, word, F.concat((F.col("p_size") * 20).cast("string"), F.lit("g"))).alias("title"),
+        F.create_map().cast("map<string,string>").alias("attrs"),
+        (F.col("p_retailprice") / 400 * (F.col("p_size") + 10) / 30).alias("regular_price"), F.lit(None).cast("double").alias("final_price"),
+        F.lit(None).cast("double").alias("price"), F.lit(None).cast("string").alias("price_basis"))
+    return targets, listings
