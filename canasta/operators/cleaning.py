@@ -62,7 +62,7 @@ def size_neutral(banded: DataFrame) -> DataFrame:
     return banded.withColumn("set_aside", aside)
 
 
-def retail_cluster(banded: DataFrame, settings: PriceSettings = PriceSettings()) -> DataFrame:
+def retail_cluster(banded: DataFrame, settings: PriceSettings = PriceSettings(), hot_rows: int = HOT_ROWS) -> DataFrame:
     """The anchor size of each fallback product: best tier first, then the size nearest to the target's.
 
     A group holds the sizes within `cluster_factor` of its anchor. Tier 3: enough listings from two stores; 2 and 1:
@@ -88,14 +88,14 @@ def retail_cluster(banded: DataFrame, settings: PriceSettings = PriceSettings())
              .groupBy(*PRODUCT, "band")
              .agg(F.collect_list(F.struct(F.col("size_ratio").alias("r"), "store", F.least("n", F.lit(enough)).alias("n"))).alias("near")))
     totals = base.groupBy(*PRODUCT).agg(F.min("store").alias("_s0"), F.max("store").alias("_s1"))
-    anchors = (sizes.groupBy(*PRODUCT, "band", F.col("size_ratio").alias("anchor")).agg(F.sum("n").alias("_same"))
-               .join(reach, [*PRODUCT, "band"]))
+    anchors = sizes.select(*PRODUCT, "band", F.col("size_ratio").alias("anchor")).distinct()
+    spots = anchors.groupBy(*PRODUCT, "band").agg(F.count(F.lit(1)).alias("_n"))
+    anchors = attach(anchors, reach.join(spots, [*PRODUCT, "band"]).join(totals, PRODUCT), [*PRODUCT, "band"], "_n", "inner", hot_rows)
     inside = F.filter("near", lambda x: (x["r"] / F.col("anchor")).between(F.lit(1 / factor), F.lit(factor)))
     anchors = (anchors.withColumn("inside", inside)
-               .select(*PRODUCT, "anchor",
+               .select(*PRODUCT, "anchor", "_s0", "_s1",
                        F.aggregate("inside", F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("members"),
-                       (F.array_min(F.transform("inside", lambda x: x["store"])) != F.array_max(F.transform("inside", lambda x: x["store"]))).alias("_two"))
-               .join(totals, PRODUCT))
+                       (F.array_min(F.transform("inside", lambda x: x["store"])) != F.array_max(F.transform("inside", lambda x: x["store"]))).alias("_two")))
     multi = F.col("_two") | (F.col("_s0") == F.col("_s1"))
     tier = (F.when((F.col("members") >= enough) & multi, 3).when(F.col("members") >= few, F.when(multi, 2).otherwise(1)).otherwise(0))
     best = F.max(F.struct(tier.alias("tier"), (-size_distance(F.col("anchor"))).alias("near"), (-F.col("anchor")).alias("small")))
@@ -122,10 +122,12 @@ def closest_per_store(cluster: DataFrame, k: int = 10) -> DataFrame:
 def size_filter(cands: DataFrame, settings: PriceSettings = PriceSettings(), hot_rows: int = HOT_ROWS) -> DataFrame:
     """Keep the peer group of each product: adds strategy, anchor, `size_kept` and the reason text."""
     s = settings
-    banded = size_neutral(size_band(cands, s, hot_rows))
-    anchors = cut(retail_cluster(banded, s).select(*PRODUCT, "anchor"), "anchors")
-    members = (banded.where((F.col("strategy") == "FALLBACK") & _sized() & ~F.col("set_aside"))
-               .join(anchors, PRODUCT).where(in_cluster(s)))
+    bands = cut(size_bands(cands, s).select(*PRODUCT, "n_rows", "strategy", "n_packaged"), "bands")
+    banded = size_neutral(attach(cands, bands, PRODUCT, "n_rows", hot_rows=hot_rows).drop("n_rows"))
+    anchors = cut(retail_cluster(banded, s, hot_rows).select(*PRODUCT, "anchor"), "anchors")
+    choosing = banded.where((F.col("strategy") == "FALLBACK") & _sized() & ~F.col("set_aside"))
+    weighted = anchors.join(bands.select(*PRODUCT, "n_rows"), PRODUCT)
+    members = attach(choosing, weighted, PRODUCT, "n_rows", "inner", hot_rows).where(in_cluster(s))
     # The k-th nearest listing of each store is the cut-off; the limited window keeps k rows per map task.
     last = (closest_per_store(members, s.fallback_per_store).groupBy(*PRODUCT_STORE)
             .agg(F.max(F.struct(size_distance(F.col("size_ratio")).alias("d"), "sku", "price")).alias("last")))

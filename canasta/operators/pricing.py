@@ -135,14 +135,13 @@ def dashboard_kpis(summary: DataFrame, audit: DataFrame) -> DataFrame:
     """Processed products, with price, with two stores, without alerts, listings checked; shares of the first."""
     s = summary.agg(F.count(F.lit(1)).alias("total"), F.count("estimate").alias("priced"),
                     F.count_if(F.coalesce("store_count", F.lit(0)) >= 2).alias("multi"), F.count_if(F.col("quality") == "OK").alias("ok"))
-    both = s.crossJoin(audit.agg(F.count(F.lit(1)).alias("checked")))   # one row each
 
-    def row(name: str, col: str, share: bool = True) -> Column:
-        part = F.try_divide(F.col(col), F.col("total")) if share else F.lit(None).cast("double")
-        return F.struct(F.lit(name).alias("indicator"), F.col(col).alias("quantity"), part.alias("share"))
+    def row(name: str, col: str) -> Column:
+        return F.struct(F.lit(name).alias("indicator"), F.col(col).alias("quantity"), F.try_divide(F.col(col), F.col("total")).alias("share"))
 
-    return both.select(F.inline(F.array(row("products", "total"), row("with_price", "priced"), row("two_stores", "multi"),
-                                        row("no_alerts", "ok"), row("listings", "checked", False))))
+    shares = s.select(F.inline(F.array(row("products", "total"), row("with_price", "priced"), row("two_stores", "multi"), row("no_alerts", "ok"))))
+    checked = audit.agg(F.count(F.lit(1)).alias("quantity"))
+    return shares.unionByName(checked.select(F.lit("listings").alias("indicator"), "quantity", F.lit(None).cast("double").alias("share")))
 
 
 def run_summary(summary: DataFrame) -> DataFrame:

@@ -63,13 +63,41 @@ def attach(rows: DataFrame, stats: DataFrame, keys: Sequence[str], size: str, ho
     keys = list(keys)
     parts = F.ceil(F.col(size) / F.lit(hot_rows)).cast("int")
     hot = stats.where(F.col(size) > hot_rows).select(*keys, parts.alias("_parts")).distinct()
-    spread = F.pmod(F.xxhash64(*_hashable(rows)) + F.spark_partition_id() * 7919, F.col("_parts").cast("long"))
     salted = (rows.join(F.broadcast(hot), keys, "left")
-              .withColumn("_salt", F.coalesce(spread, F.lit(0)).cast("int")).drop("_parts"))
+              .withColumn("_salt", F.coalesce(_salt(rows, F.col("_parts")), F.lit(0))).drop("_parts"))
     repeated = stats.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)))
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
+def _salt(df: DataFrame, parts: Column) -> Column:
+    return F.pmod(F.xxhash64(*_hashable(df)) + F.spark_partition_id() * 7919, parts.cast("long")).cast("int")
+
+
+def grid_join(left: DataFrame, right: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, hot_pairs: int = 50_000_000) -> DataFrame:
+    """Inner equi-join of two tables that may both repeat a key often.
+
+    A key with too many rows on a side, or too many pairs, becomes a grid of tasks: each side is salted along its own
+    axis and repeated along the other. The list of such keys is broadcast; it has at most
+    (rows left + rows right) / hot_rows + pairs / hot_pairs entries. Both inputs are read twice: pass written tables.
+    """
+    keys = list(keys)
+    n, m = F.col("_n"), F.col("_m")
+    sizes = (left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).join(right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m")), keys))
+    rows, cols = F.ceil(n / hot_rows), F.ceil(m / hot_rows)
+    more = F.ceil(n.cast("double") * m / rows / cols / hot_pairs)
+    hot = (sizes.select(*keys, (rows * F.when(n >= m, more).otherwise(1)).cast("int").alias("_rows"),
+                        (cols * F.when(n < m, more).otherwise(1)).cast("int").alias("_cols"))
+           .where(F.col("_rows") * F.col("_cols") > 1))
+    hot = cut(hot, "hot_keys")
+
+    def placed(df: DataFrame, own: str, other: str) -> DataFrame:
+        spot = F.coalesce(_salt(df, F.col(f"_{own}s")), F.lit(0)).alias(f"_{own}")
+        copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(f"_{other}s"), F.lit(1)) - 1)).alias(f"_{other}")
+        return df.join(F.broadcast(hot), keys, "left").select(*df.columns, spot, copies)
+
+    return placed(left, "row", "col").join(placed(right, "col", "row"), [*keys, "_row", "_col"]).drop("_row", "_col")
+
+
 def value_band(value: Column, per_unit: int = 4096) -> Column:
     """A coarse, order-preserving number for a value: 4096 bands per factor e, mirrored below zero."""
     log_band = F.floor(F.ln(F.abs(value)) * per_unit)

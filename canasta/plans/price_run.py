@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from canasta.functions import quantity as Q
 from canasta.operators import candidates, cleaning, flags, identity, pricing
 from canasta.operators.cleaning import PRODUCT
-from canasta.operators.skew import HOT_ROWS, attach, cut, spread
+from canasta.operators.skew import HOT_ROWS, attach, cut, grid_join, spread
 from canasta.settings import PriceSettings
 from canasta.vocabulary import SPANISH, Vocabulary
 
@@ -26,8 +26,8 @@ def match(targets: DataFrame, listings: DataFrame, settings: PriceSettings = Pri
     """
     t = cut(identity.target_features(spread(targets), v), "targets")
     found_in = cut(identity.listing_features(spread(listings), v), "listings")
-    found = candidates.candidate_join(t, found_in, hot_rows)
-    pairs = found.join(found_in, ["store", "sku"])
+    found = cut(candidates.candidate_join(t, found_in, hot_rows), "found")
+    pairs = grid_join(found, found_in, ["store", "sku"], hot_rows)
     sizes = found.groupBy(*PRODUCT).agg(F.count(F.lit(1)).alias("_n"))
     keep = ["name", "weight_kg", *[c for c in t.columns if c.startswith("t_") and c not in ("t_tokens", "t_mods", "t_surface", "t_search", "t_qty")]]
     pairs = attach(pairs, t.select(*PRODUCT, *keep).join(sizes, PRODUCT), PRODUCT, "_n", "inner", hot_rows)

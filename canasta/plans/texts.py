@@ -146,15 +146,18 @@ def strip_quantities(spark, folder):
     return a.unionByName(b)
 
 
-WORDS = f"w AS (SELECT DISTINCT unnest(string_split({norm('text')}, ' ')) AS word FROM documents UNION SELECT unnest({lst(sorted({*V.aliases, *V.stop, *V.processed, *V.gendered, *[g[:-1] + 'a' for g in V.gendered], *[n + 's' for n in V.nouns]}))}))"
+WORDS = f"""{TARGET}, {RETAIL}, w AS (SELECT DISTINCT unnest(string_split({norm('text')}, ' ')) AS word FROM documents UNION SELECT unnest(string_split({norm('name')}, ' ')) FROM tg
+ UNION SELECT unnest(string_split({norm('title')}, ' ')) FROM rt)"""
 
 
 @query("canonical_word", f"WITH {WORDS} SELECT word, {canon('[word]')}[1] AS canonical FROM w")
 def canonical_word(spark, folder):
-    known = sorted({*V.aliases, *V.stop, *V.processed, *V.gendered, *[g[:-1] + "a" for g in V.gendered], *[n + "s" for n in V.nouns]})
-    seen = texts(spark, folder).select(F.explode(F.split(X.norm_text(F.col("text")), " ")).alias("word"))
-    listed = texts(spark, folder).limit(1).select(F.explode(X.words(known)).alias("word"))
-    return seen.unionByName(listed).distinct().select("word", X.canonical_word(F.col("word")).alias("canonical"))
+    """Every distinct word of the documents, catalogue names and titles."""
+    names = fixtures.catalog(spark, folder).select(F.col("name").alias("text"))
+    titles = fixtures.retail(spark, folder).select(F.col("title").alias("text"))
+    seen = texts(spark, folder).select("text").unionByName(names).unionByName(titles)
+    words = seen.select(F.explode(F.split(X.norm_text(F.col("text")), " ")).alias("word")).distinct()
+    return words.select("word", X.canonical_word(F.col("word")).alias("canonical"))
 
 
 @query("semantic_tokens", f"WITH {RETAIL}, a AS (SELECT sku, {raw_tokens('title')} AS r FROM rt) SELECT sku, array_to_string({ordered('r')}, ' ') AS tokens FROM a")
