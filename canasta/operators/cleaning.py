@@ -185,14 +185,14 @@ TWIN = [*PRODUCT_STORE, "_kg", "_u", "_t"]
 
 
 def _fold(lists: DataFrame, settings: PriceSettings) -> Column:
-    """The greedy choice over `xs` (structs with x, in order): the same structs with the sku of their keeper."""
+    """The greedy choice over `xs` (structs with x, in order): the same structs with the sku they repeat, NULL if kept."""
     item = lists.schema["xs"].dataType.elementType
     fields = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in item.fields)
     start = F.array().cast(f"array<struct<{fields},keeper:string>>")
 
     def step(done: Column, e: Column) -> Column:
-        hits = F.filter(done, lambda k: (k["keeper"] == k["x"]["sku"]) & near_duplicate(k["x"], e["x"], settings))
-        keeper = F.when(F.size(hits) > 0, F.get(hits, F.lit(0))["keeper"]).otherwise(e["x"]["sku"])
+        hits = F.filter(done, lambda k: k["keeper"].isNull() & near_duplicate(k["x"], e["x"], settings))
+        keeper = F.get(hits, F.lit(0))["x"]["sku"]
         return F.concat(done, F.array(F.struct(*[e[f.name].alias(f.name) for f in item.fields], keeper.alias("keeper"))))
 
     return F.aggregate("xs", start, step)
@@ -203,7 +203,7 @@ def _lists(rows: DataFrame, columns: list[str], fold_rows: int) -> DataFrame:
 
     The limited window keeps that many rows per group and map task, and the grouping reuses its partitioning.
     """
-    order = Window.partitionBy(*PRODUCT_STORE).orderBy("x.sku")
+    order = Window.partitionBy(*PRODUCT_STORE).orderBy("x.sku", "x.u")
     return (rows.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= fold_rows + 1)
             .groupBy(*PRODUCT_STORE).agg(F.collect_list(F.struct("_r", "x", *columns)).alias("xs"))
             .withColumn("xs", F.array_sort("xs", lambda a, b: a["_r"] - b["_r"])))
@@ -226,8 +226,7 @@ def dedupe_greedy(cands: DataFrame, settings: PriceSettings = PriceSettings(), l
     decided = cut(lists.select(*[F.col(c).alias(f"_{c}") for c in PRODUCT_STORE], (~small).alias("_large"),
                                F.inline_outer(F.when(small, _fold(lists, settings))))
                   .select("_product_code", "_store", "_large", "row", "keeper"), "decided")
-    mark = F.when(F.col("keeper") != F.col("sku"), F.col("keeper")).alias("duplicate_of")
-    out = decided.where("not _large").select("row.*", "keeper").select(*cands.columns, mark)
+    out = decided.where("not _large").select("row.*", F.col("keeper").alias("duplicate_of"))
     out = out.unionByName(cands.where(~usable).withColumn("duplicate_of", F.lit(None).cast("string")))
     large = decided.where("_large").select(F.col("_product_code").alias("product_code"), F.col("_store").alias("store"))
     if not large.isEmpty():
@@ -244,7 +243,7 @@ def _dedupe_large(cands: DataFrame, settings: PriceSettings, fold_rows: int, hot
     small = F.size("xs") <= fold_rows
     decided = cut(lists.select(*PRODUCT_STORE, (~small).alias("large"), F.inline_outer(F.when(small, _fold(lists, settings)))).drop("_r"), "decided")
     large = decided.where("large").select(*PRODUCT_STORE)
-    decided = decided.where("not large").drop("large")
+    decided = decided.where("not large").drop("large").withColumn("keeper", F.coalesce("keeper", "x.sku"))
     if not large.isEmpty():
         decided = decided.unionByName(dedupe_rounds(reps.join(large, PRODUCT_STORE, "left_semi"), settings))
     verdict = decided.select(*PRODUCT_STORE, F.col("x.kg").alias("_kg"), F.col("x.u").alias("_u"), F.col("x.toks").alias("_t"), "twins", "keeper")

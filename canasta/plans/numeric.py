@@ -51,18 +51,18 @@ MEMBERS = """me AS (SELECT ff.product_code, ff.store, ff.sku, ff.price, row_numb
 
 def greedy(source: str, flag: str) -> str:
     """Sequential greedy choice by a recursive query: the kept listings travel along each group in sku order."""
-    return f"""r AS (SELECT *, row_number() OVER (PARTITION BY product_code, store ORDER BY sku) AS rn FROM {source}
+    return f"""r AS (SELECT *, row_number() OVER (PARTITION BY product_code, store ORDER BY sku, price_per_kg) AS rn FROM {source}
   WHERE {flag} AND kg > 0 AND price_per_kg > 0),
  g AS (SELECT DISTINCT product_code, store, 0::BIGINT AS rn, []::STRUCT(sku VARCHAR, kg DOUBLE, u DOUBLE)[] AS kept,
-   NULL::VARCHAR AS sku, NULL::VARCHAR AS dup FROM r
+   NULL::VARCHAR AS sku, NULL::DOUBLE AS price, NULL::VARCHAR AS dup FROM r
   UNION ALL
-  SELECT product_code, store, rn, CASE WHEN dup IS NULL THEN list_append(kept, {{'sku': sku, 'kg': kg, 'u': u}}) ELSE kept END, sku, dup
-  FROM (SELECT g.product_code, g.store, r.rn, g.kept, r.sku, r.kg, r.price_per_kg AS u,
-     (list_filter(g.kept, lambda k: abs(k.kg - r.kg) / greatest(k.kg, r.kg) <= 0.1::DOUBLE
-       AND abs(k.u - r.price_per_kg) / greatest(k.u, r.price_per_kg) <= 0.15::DOUBLE)[1]).sku AS dup
+  SELECT product_code, store, rn, CASE WHEN dup IS NULL THEN list_append(kept, {{'sku': sku, 'kg': kg, 'u': u}}) ELSE kept END, sku, price, dup
+  FROM (SELECT g.product_code, g.store, r.rn, g.kept, r.sku, r.price, r.kg, r.price_per_kg AS u,
+     (list_filter(g.kept, lambda k: k.sku = r.sku OR (abs(k.kg - r.kg) / greatest(k.kg, r.kg) <= 0.1::DOUBLE
+       AND abs(k.u - r.price_per_kg) / greatest(k.u, r.price_per_kg) <= 0.15::DOUBLE))[1]).sku AS dup
     FROM g JOIN r ON r.product_code = g.product_code AND r.store = g.store AND r.rn = g.rn + 1)),
  d AS (SELECT s.*, g.dup AS duplicate_of FROM {source} s LEFT JOIN g ON g.rn > 0 AND s.product_code = g.product_code
-   AND s.store = g.store AND s.sku = g.sku)"""
+   AND s.store = g.store AND s.sku = g.sku AND s.price = g.price)"""
 
 
 def outliers(source: str, flag: str) -> str:

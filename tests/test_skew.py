@@ -73,7 +73,7 @@ def test_greedy_rounds_equal_the_sequential_choice(spark):
     rng = random.Random(3)
     vocab = [f"w{i}" for i in range(12)]
     data = [(rng.choice([1, 1, 1, 2]), 0, f"k{i:04d}", rng.uniform(0.9, 1.6), rng.uniform(2.0, 3.5), sorted(rng.sample(vocab, rng.choice([5, 6, 10, 11]))), True)
-            for i in range(260)] + [(1, 0, f"z{i:04d}", 1.25, 2.5, ["a", "b"], True) for i in range(40)]
+            for i in range(110)] + [(1, 0, f"z{i:04d}", 1.25, 2.5, ["a", "b"], True) for i in range(30)]
     df = spark.createDataFrame(data, "product_code int, store bigint, sku string, kg double, price_per_kg double, tokens array<string>, accepted boolean")
     expected = {}
     for code in (1, 2):
@@ -113,3 +113,11 @@ def test_retail_cluster_against_brute_force(spark):
         best = max((r for r, _ in mine), key=key)
         assert (anchor, tier) == (best, key(best)[0])
     assert len(got) == 60
+
+
+def test_grid_join_of_two_hot_sides(spark):
+    left = spark.createDataFrame([(1 if i < 90 else i, f"l{i}") for i in range(120)], "k int, a string")
+    right = spark.createDataFrame([(1 if i < 70 else i + 20, f"r{i}") for i in range(120)], "k int, b string")
+    plain = rows(left.join(right, "k"), "k", "a", "b")
+    assert rows(skew.grid_join(left, right, ["k"], hot_rows=20, hot_pairs=100), "k", "a", "b") == plain
+    assert rows(skew.grid_join(left, right, ["k"]), "k", "a", "b") == plain
