@@ -327,6 +327,18 @@ def outlier_tests(cands: DataFrame, settings: PriceSettings = PriceSettings(), l
             .drop("_log_median", "_mad"))
 
 
+def _keeper_titles(rows: DataFrame, hot_rows: int) -> DataFrame:
+    """Adds `_of`: the title of the listing that a near-duplicate repeats (NULL for other rows and without titles)."""
+    nothing = F.lit(None).cast("string")
+    if "title" not in rows.columns:
+        return rows.withColumn("_of", nothing)
+    keys, repeats = [*PRODUCT_STORE, "duplicate_of"], rows.where(F.col("duplicate_of").isNotNull())
+    counts = repeats.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    titles = rows.select(*PRODUCT_STORE, F.col("sku").alias("duplicate_of"), F.col("title").alias("_of")).join(counts, keys)
+    named = attach(repeats, titles, keys, "_n", hot_rows=hot_rows).drop("_n")
+    return rows.where(F.col("duplicate_of").isNull()).withColumn("_of", nothing).unionByName(named)
+
+
 def clean_listings(cands: DataFrame, settings: PriceSettings = PriceSettings(), hot_rows: int = HOT_ROWS) -> DataFrame:
     """Size peers over all stores, then near-duplicates per store, then price outliers over all stores.
 
@@ -339,6 +351,7 @@ def clean_listings(cands: DataFrame, settings: PriceSettings = PriceSettings(),
     sized = cut(size_filter(cands, s, hot_rows), "size_peers")
     single = (dedupe_greedy(sized, s, "size_kept", hot_rows=hot_rows)
               .withColumn("_unique", F.col("size_kept") & F.col("duplicate_of").isNull()))
+    single = _keeper_titles(single, hot_rows)
     tested = outlier_tests(single, s, "_unique", hot_rows)
     status = (F.when(~F.col("accepted"), "REJECTED").when(~F.col("size_kept"), "SIZE")
               .when(F.col("duplicate_of").isNotNull(), "DUPLICATE")
@@ -346,12 +359,13 @@ def clean_listings(cands: DataFrame, settings: PriceSettings = PriceSettings(),
     u, med = F.col("price_per_kg"), F.col("median_price")
     against = F.concat(F.lit("$"), fixed(u), F.lit("/kg vs median $"), fixed(med), F.lit("/kg "))
     why = (F.when(F.col("status") == "REJECTED", F.col("reason"))
-           .when(F.col("status") == "DUPLICATE", F.concat(F.lit("NEAR-DUPLICATE REMOVED: overlaps SKU "), "duplicate_of"))
+           .when(F.col("status") == "DUPLICATE", F.concat(
+               F.lit("NEAR-DUPLICATE REMOVED: overlaps SKU "), "duplicate_of", F.coalesce(F.concat(F.lit(" ("), "_of", F.lit(")")), F.lit(""))))
            .when(F.col("off_band"), F.concat(F.lit("PRICE OUTLIER REMOVED: "), against,
                  F.lit("(hard band $"), fixed(med * s.outlier_low), F.lit("-$"), fixed(med * s.outlier_high), F.lit(")")))
            .when(F.col("off_mad"), F.concat(F.lit("ROBUST PRICE OUTLIER REMOVED: "), against, F.lit("(log-MAD z="), fixed(F.col("mad_z")), F.lit(")")))
            .otherwise(F.coalesce("size_reason", "reason")))
-    return tested.withColumn("status", status).withColumn("reason", why).drop("_unique", "size_reason")
+    return tested.withColumn("status", status).withColumn("reason", why).drop("_unique", "size_reason", "_of")
 
 
 def cleaning_counts(cleaned: DataFrame) -> DataFrame:

@@ -16,6 +16,9 @@ def test_price_run(spark, folder):
     assert len({(r.product_code, r.store, r.sku) for r in evidence}) == len(evidence)
     assert {r.status for r in evidence} >= {"ACCEPTED", "REJECTED", "SIZE"}
     assert all(r.reason for r in evidence)
+    titles = {(r.product_code, r.store, r.sku): r.title for r in evidence}
+    repeats = [r for r in evidence if r.status == "DUPLICATE"]
+    assert repeats and all(r.reason == f"NEAR-DUPLICATE REMOVED: overlaps SKU {r.duplicate_of} ({titles[r.product_code, r.store, r.duplicate_of]})" for r in repeats)
     per = {}
     for r in evidence:
         if r.status == "ACCEPTED":
