@@ -93,11 +93,11 @@ ALERTS = [
 # Reason patterns in order, with the Spanish and English sentence (%1 = captured ratio as a percentage).
 REASONS = [
     (r"^accepted; sold by weight", "Aceptado: se vende por peso", "Accepted: sold by weight"),
-    (r"^accepted; size strategy=PREFERRED.*?ratio=([\d.]+)", "Aceptado: tamaño parecido (%1 del producto BAP)", "Accepted: similar size (%1 of the BAP product)"),
-    (r"^accepted; size strategy=CLOSE.*?ratio=([\d.]+)", "Aceptado: tamaño cercano (%1 del producto BAP)", "Accepted: close size (%1 of the BAP product)"),
-    (r"^accepted; size strategy=FALLBACK.*?ratio=([\d.]+)", "Aceptado: el tamaño más cercano disponible (%1 del producto BAP)", "Accepted: nearest size available (%1 of the BAP product)"),
+    (r"^accepted; size strategy=PREFERRED.*?ratio=([\d.]+)", "Aceptado: tamaño parecido (%1 del producto{owner})", "Accepted: similar size (%1 of the{owner} product)"),
+    (r"^accepted; size strategy=CLOSE.*?ratio=([\d.]+)", "Aceptado: tamaño cercano (%1 del producto{owner})", "Accepted: close size (%1 of the{owner} product)"),
+    (r"^accepted; size strategy=FALLBACK.*?ratio=([\d.]+)", "Aceptado: el tamaño más cercano disponible (%1 del producto{owner})", "Accepted: nearest size available (%1 of the{owner} product)"),
     (r"^accepted", "Aceptado", "Accepted"),
-    (r"SIZE-DISTANT MATCH REMOVED: ratio=([\d.]+)", "Tamaño muy distinto (%1 del producto BAP)", "Size too different (%1 of the BAP product)"),
+    (r"SIZE-DISTANT MATCH REMOVED: ratio=([\d.]+)", "Tamaño muy distinto (%1 del producto{owner})", "Size too different (%1 of the{owner} product)"),
     (r"SIZE PEER REMOVED", "Sin tamaño, mientras otros productos sí lo tienen", "No size, while other listings have one"),
     (r"cannot normalize candidate to kg", "No se pudo leer el tamaño del paquete", "The package size couldn't be read"),
     (r"cannot count units", "No se pudieron contar las unidades del paquete", "The number of units couldn't be read"),
@@ -105,8 +105,8 @@ REASONS = [
     (r"missing required identity word\(s\): (.+)", "Le faltan palabras clave: $1", "Missing key words: $1"),
     (r"unexpected subtype for plain '(.+?)': (.+)", "Variante distinta de «$1»: $2", "Different kind of “$1”: $2"),
     (r"PRICE OUTLIER REMOVED: \$([\d.,]+)/kg vs median \$([\d.,]+)/kg", "Precio fuera de rango: \\$$1/kg frente a la mediana \\$$2/kg", "Price out of range: \\$$1/kg vs median \\$$2/kg"),
-    (r"different item size: target ([\d.]+), candidate ([\d.]+)", "Tamaño por unidad distinto: BAP $1, tienda $2 (kg/L)", "Different unit size: BAP $1, store $2 (kg/L)"),
-    (r"different dimensions: target (\S+), candidate (\S+)", "Medidas distintas: BAP $1, tienda $2", "Different dimensions: BAP $1, store $2"),
+    (r"different item size: target ([\d.]+), candidate ([\d.]+)", "Tamaño por unidad distinto: propio $1, tienda $2 (kg/L)", "Different unit size: own $1, store $2 (kg/L)"),
+    (r"different dimensions: target (\S+), candidate (\S+)", "Medidas distintas: propias $1, tienda $2", "Different dimensions: own $1, store $2"),
     (r"target word only appears after '(.+?)'", "La palabra clave solo aparece después de «$1» (ingrediente o sabor, no el producto)", "The key word only appears after “$1” (ingredient or flavour, not the product)"),
     (r"different product: title leads with '(.+?)'", "Otro producto: el nombre empieza con «$1»", "Different product: the name starts with “$1”"),
     (r"speciality/premium version of the product: (.+)", "Versión especial o premium: $1", "Special or premium version: $1"),
@@ -150,14 +150,14 @@ def _pieces(text: str) -> list[str]:
     return [p for p in re.split(r"(\$\d|#\d)", text) if p]
 
 
-def reason_text(reason: Column, lang: str = "es") -> Column:
+def reason_text(reason: Column, lang: str = "es", owner: str = "") -> Column:
     """A technical reason as a sentence in Spanish ('es') or English ('en'); unknown reasons stay as written."""
     column = 1 if lang == "es" else 2
 
     def sentence(r: Column) -> Column:
         out = r
         for rule in reversed(REASONS):
-            pattern, text = "(?i)" + rule[0], rule[column]
+            pattern, text = "(?i)" + rule[0], rule[column].replace("{owner}", f" {owner}" if owner else "")
             hit = F.regexp_extract(r, pattern, 0)
             if "%1" in text:
                 share = F.call_function("format_number", F.regexp_extract(r, pattern, 1).try_cast("double") * 100, F.lit("0"))
@@ -187,27 +187,28 @@ SUMMARY_HEADERS = {
     "size_removed": "Descartados por tamaño", "duplicates": "Duplicados descartados", "outliers": "Precios atípicos descartados",
     "n": "Productos comparables", "rejected": "Productos descartados", "target_kg": "Peso del producto (kg)", "target_source": "Origen del peso",
     "average": "Precio promedio por kg", "median": "Precio mediano por kg", "economy": "Precio económico por kg",
-    "price_level": "Nivel de precio de mercado", "estimate": "Precio BAP propuesto", "min": "Precio mínimo por kg", "max": "Precio máximo por kg",
+    "price_level": "Nivel de precio de mercado", "estimate": "Precio{owner} propuesto", "min": "Precio mínimo por kg", "max": "Precio máximo por kg",
     "ratio": "Relación máximo / mínimo", "cv": "Variación de precios (CV)", "price_basis": "Base de precio", "quality": "Alertas (código)",
-    "request_error": "Error de supermercado", "notes": "Notas técnicas", "market_percent": "Porcentaje BAP",
-    "store_weight_cap": "Límite de peso por supermercado", "economy_percentile": "Percentil económico", "current_price": "Precio BAP actual",
+    "request_error": "Error de supermercado", "notes": "Notas técnicas", "market_percent": "Porcentaje{owner}",
+    "store_weight_cap": "Límite de peso por supermercado", "economy_percentile": "Percentil económico", "current_price": "Precio{owner} actual",
     "difference": "Diferencia vs. actual", "large_change": "Cambio grande", "id": "Id de Salesforce",
     "needs_review": "Necesita revisión", "review_reason": "Motivo de revisión",
 }
 AUDIT_HEADERS = {
-    "product_code": "Código de producto", "target_name": "Producto BAP", "store": "Supermercado (código)", "store_name": "Supermercado",
+    "product_code": "Código de producto", "target_name": "Producto{owner}", "store": "Supermercado (código)", "store_name": "Supermercado",
     "query": "Búsqueda", "verdict": "Estado", "sku": "SKU", "title": "Producto en el supermercado", "url": "Enlace",
     "regular_price": "Precio regular", "final_price": "Precio final", "price": "Precio", "chosen_basis": "Base de precio", "discount": "Descuento",
-    "currency": "Moneda", "kg": "Tamaño (kg)", "target_unit_kg": "Tamaño por unidad BAP (kg)", "candidate_unit_kg": "Tamaño por unidad en tienda (kg)",
+    "currency": "Moneda", "kg": "Tamaño (kg)", "target_unit_kg": "Tamaño por unidad{owner} (kg)", "candidate_unit_kg": "Tamaño por unidad en tienda (kg)",
     "size_ratio": "Relación de tamaño", "price_per_kg": "Precio por kg", "quantity_source": "Tamaño leído de", "reason": "Motivo (técnico)",
 }
 VALUES = {"verdict": {"ACCEPTED": "Aceptado", "REJECTED": "Rechazado"}, "large_change": {"YES": "SÍ"}, "needs_review": {"YES": "SÍ", "NO": "NO"}}
 
 
-def display_columns(df: DataFrame, headers: dict[str, str], back: bool = False) -> DataFrame:
-    """Internal columns and values under their display names, or (`back`) the other way round."""
+def display_columns(df: DataFrame, headers: dict[str, str], back: bool = False, owner: str = "") -> DataFrame:
+    """Internal columns and values under their display names, or (`back`) the other way round; `owner` names whose prices they are."""
     out = []
     for name, shown in headers.items():
+        shown = shown.replace("{owner}", f" {owner}" if owner else "")
         source, target = (shown, name) if back else (name, shown)
         if source not in df.columns:
             continue

@@ -203,10 +203,10 @@ def flag_codes(spark, folder):
 
 REASON_SAMPLES = ["missing required identity word(s): leche, polvo", "accepted; size strategy=CLOSE 0.67-1.50x; ratio=0.82", "PRICE OUTLIER REMOVED: $9.10/kg vs median $3.00/kg (hard band $1.50-$6.00)",
                   "unexpected subtype for plain 'agua': gas", "different dimensions: target 7x7, candidate 8x8", "SIZE PEER REMOVED: unit-size ratio unavailable while sized peers exist", "something else"]
-REASON_ES = ["Le faltan palabras clave: leche, polvo", "Aceptado: tamaño cercano (82 % del producto BAP)", "Precio fuera de rango: $9.10/kg frente a la mediana $3.00/kg",
-             "Variante distinta de «agua»: gas", "Medidas distintas: BAP 7x7, tienda 8x8", "Sin tamaño, mientras otros productos sí lo tienen", "something else"]
-REASON_EN = ["Missing key words: leche, polvo", "Accepted: close size (82 % of the BAP product)", "Price out of range: $9.10/kg vs median $3.00/kg",
-             "Different kind of “agua”: gas", "Different dimensions: BAP 7x7, store 8x8", "No size, while other listings have one", "something else"]
+REASON_ES = ["Le faltan palabras clave: leche, polvo", "Aceptado: tamaño cercano (82 % del producto)", "Precio fuera de rango: $9.10/kg frente a la mediana $3.00/kg",
+             "Variante distinta de «agua»: gas", "Medidas distintas: propias 7x7, tienda 8x8", "Sin tamaño, mientras otros productos sí lo tienen", "something else"]
+REASON_EN = ["Missing key words: leche, polvo", "Accepted: close size (82 % of the product)", "Price out of range: $9.10/kg vs median $3.00/kg",
+             "Different kind of “agua”: gas", "Different dimensions: own 7x7, store 8x8", "No size, while other listings have one", "something else"]
 
 
 def sql_list(items_) -> str:
