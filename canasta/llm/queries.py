@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from canasta.llm import language, mixing, packing, secrets, simhash
+from canasta.llm import chat, language, mixing, packing, secrets, simhash, topk, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -16,8 +16,14 @@ def table(name: str, digest: Callable[[DataFrame], DataFrame]) -> Callable[[Spar
     return lambda spark, folder: digest(spark.read.parquet(f"{folder}/{name}.parquet"))
 
 
+QUERIES["op1_embedding_near_dedup"] = table("embeddings", vectors.digest)
+ORACLE["op1_embedding_near_dedup"] = vectors.SQL
 QUERIES["op2_packing"] = table("documents", packing.digest)
 QUERIES["op3_secret_scan"] = table("documents", secrets.digest)
 QUERIES["op4_source_mixing"] = table("documents", mixing.digest)
 QUERIES["op5_simhash_near_dedup"] = table("documents", simhash.digest)
+QUERIES["op7_exact_topk"] = table("embeddings", topk.digest)
+ORACLE["op7_exact_topk"] = topk.SQL
+QUERIES["op9_chat_format"] = table("conversations", chat.digest)
+ORACLE["op9_chat_format"] = chat.SQL
 QUERIES["op10_language_id"] = table("documents", language.digest)
