@@ -22,26 +22,42 @@ class Encoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True      # their strings in a text are ordinary text
+        vocabulary = self.tokenizer.get_vocab()
+        self.blank = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.blank[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True    # tokens that begin with a blank
         self.known: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each chunk. Words with a blank before them are encoded as one line, and told apart by the blanks' tokens."""
+        line = [c for c in chunks if c[:1] == " " and len(c) > 1 and not c[1].isspace() and not c[-1].isspace()]
+        ids = np.frombuffer(self.whole(["".join(line)])[0], "<u4") if line else np.empty(0, "<u4")
+        begins = np.flatnonzero(self.blank[ids]).tolist() if line else []
+        if len(begins) != len(line):
+            return self.whole(chunks)
+        data, ends = ids.tobytes(), [*begins[1:], len(ids)]
+        own = {c: data[4 * a:4 * b] for c, a, b in zip(line, begins, ends)}
+        rest = [c for c in chunks if c not in own]
+        own.update(zip(rest, self.whole(rest)) if rest else ())
+        return [own[c] for c in chunks]
+
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         if "\0" in text or _INNER_BLANK.search(text):
             return self.whole([text])[0]
-        known = self.known
         chunks = text.replace(" ", "\0 ").split("\0")
-        try:
-            return b"".join([known[c] for c in chunks])
-        except KeyError:
-            new = [c for c in dict.fromkeys(chunks) if c not in known]
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = list(dict.fromkeys(chunks))
-            known.update(zip(new, self.whole(new)))
-            return b"".join([known[c] for c in chunks])
+        found = list(map(self.known.get, chunks))
+        if None in found:
+            missing = [i for i, x in enumerate(found) if x is None]
+            new = list(dict.fromkeys(chunks[i] for i in missing))
+            if len(self.known) + len(new) > REMEMBERED:
+                self.known.clear()
+            self.known.update(zip(new, self._chunks(new)))
+            for i in missing:
+                found[i] = self.known[chunks[i]]
+        return b"".join(found)
 
 
 _ENCODERS: dict[str, Encoder] = {}
