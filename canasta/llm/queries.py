@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from canasta.llm import chat, language, mixing, packing, secrets, simhash, topk, vectors
+from canasta.llm import chat, language, mixing, packing, secrets, simhash, substring, topk, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -22,6 +22,7 @@ QUERIES["op2_packing"] = table("documents", packing.digest)
 QUERIES["op3_secret_scan"] = table("documents", secrets.digest)
 QUERIES["op4_source_mixing"] = table("documents", mixing.digest)
 QUERIES["op5_simhash_near_dedup"] = table("documents", simhash.digest)
+QUERIES["op6_substring_dedup"] = table("documents", substring.digest)
 QUERIES["op7_exact_topk"] = table("embeddings", topk.digest)
 ORACLE["op7_exact_topk"] = topk.SQL
 QUERIES["op9_chat_format"] = table("conversations", chat.digest)
