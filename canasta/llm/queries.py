@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from canasta.llm import chat, language, mixing, packing, secrets, simhash, substring, topk, vectors
+from canasta.llm import chat, language, mixing, packing, quality, secrets, simhash, substring, topk, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -25,6 +25,8 @@ QUERIES["op5_simhash_near_dedup"] = table("documents", simhash.digest)
 QUERIES["op6_substring_dedup"] = table("documents", substring.digest)
 QUERIES["op7_exact_topk"] = table("embeddings", topk.digest)
 ORACLE["op7_exact_topk"] = topk.SQL
+QUERIES["op8_quality_cotraining"] = lambda spark, folder: quality.classify(
+    spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet"))
 QUERIES["op9_chat_format"] = table("conversations", chat.digest)
 ORACLE["op9_chat_format"] = chat.SQL
 QUERIES["op10_language_id"] = table("documents", language.digest)
