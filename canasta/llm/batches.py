@@ -28,9 +28,16 @@ def groups(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield begin, len(sizes)
 
 
+# Texts and vectors are large: 10,000 of them in one Arrow batch fill a worker's memory. A session's own setting wins.
+BYTES_PER_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+DEFAULT_BYTES, BATCH_BYTES = "67108864b", str(4 << 20)
+
+
 def deliver(spark: SparkSession) -> None:
-    """Give the Python workers of a local session this package, wherever it was started. On a cluster the package is installed or sent
-    along (`--py-files`), as any library."""
+    """Prepare a session for Python inside tasks: Arrow batches of bounded bytes, and this package for the workers of a local session,
+    wherever it was started. On a cluster the package is installed or sent along (`--py-files`), as any library."""
+    if spark.conf.get(BYTES_PER_BATCH, None) == DEFAULT_BYTES:
+        spark.conf.set(BYTES_PER_BATCH, BATCH_BYTES)
     context = spark.sparkContext
     folder = Path(canasta.__file__).parent
     if context.master.split("[")[0] == "local" and not any(f.rstrip("/").endswith(f"/{folder.name}") for f in context.listFiles):
@@ -38,5 +45,11 @@ def deliver(spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """`mapInArrow` in a prepared session; a task gives back Arrow's free memory at its end, for workers live on."""
     deliver(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def task(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(task, schema)
