@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -44,6 +45,12 @@ def deliver(spark: SparkSession) -> None:
         context.addFile(str(folder), recursive=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps whose results are written: it does so when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
     """`mapInArrow` in a prepared session; a task gives back Arrow's free memory at its end, for workers live on."""
     deliver(df.sparkSession)

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canasta.llm.batches import groups, map_arrow, texts_of
+from canasta.llm.batches import groups, map_arrow, release, texts_of
 from canasta.llm.words import Words, grams, least
 from canasta.operators.skew import cut
 
@@ -180,10 +180,11 @@ def _unpacked(column: pa.Array) -> list[bytes]:
     return [z.decompress(v) for v in column.to_pylist()]
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, mark, starts): first words of the windows to remove, for documents (doc_id, mark, text) that have some."""
-    if window <= GROUP or window & (window - 1) == 0:
-        raise ValueError(f"the window must be longer than {GROUP} and no power of two")
+CONTENT = ["route", "h1", "h2"]
+
+
+def shared_segments(docs: DataFrame, window: int) -> DataFrame:
+    """(doc_id, mark, route, at, words, h1, h2): the segments whose key occurs in more than one document, written to the shared folder."""
 
     def keyed(batches):
         for batch in batches:
@@ -230,9 +231,12 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                                              ["doc_id", "mark", "route", "at", "words"])
 
     found = map_arrow(_packed(docs.select("doc_id", "mark", "text")).join(wanted, "doc_id"), segments, "doc_id long, mark long, route long, at int, words binary")
-    found = cut(found.select("*", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2")), "segments")
-    content = ["route", "h1", "h2"]
-    different = cut(found.groupBy(*content).agg(F.min("doc_id").alias("doc_id"), F.first("words").alias("words")), "different_segments")
+    return cut(found.select("*", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2")), "segments", "zstd")
+
+
+def searched_segments(found: DataFrame, window: int) -> DataFrame:
+    """(route, h1, h2, best): for each different segment the smallest document per window, written to the shared folder."""
+    different = cut(found.groupBy(*CONTENT).agg(F.min("doc_id").alias("doc_id"), F.first("words").alias("words")), "different_segments", "zstd")
     size = different.agg(F.sum(F.length("words"))).first()[0] or 0
     shards = max(1, -(-size // (6 * SHARD_WORDS)))
 
@@ -242,15 +246,25 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             sizes = np.diff(words.first)
             best = least_documents(words.hash, sizes, rows.column("doc_id").to_numpy(), window)
             offsets = np.concatenate([[0], np.cumsum(np.maximum(sizes - window + 1, 0))]).astype(np.int32)
-            return pa.RecordBatch.from_arrays([*[rows.column(c).combine_chunks() for c in content], pa.ListArray.from_arrays(offsets, pa.array(best))], [*content, "best"])
+            return pa.RecordBatch.from_arrays([*[rows.column(c).combine_chunks() for c in CONTENT], pa.ListArray.from_arrays(offsets, pa.array(best))], [*CONTENT, "best"])
 
         yield from by_group(batches, "shard", shard)
 
     dealt = different.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards)).cast("int")).repartition("shard").sortWithinPartitions("shard")
-    best = map_arrow(dealt, searched, "route long, h1 long, h2 long, best array<long>")
+    return cut(map_arrow(dealt, searched, "route long, h1 long, h2 long, best array<long>"), "searched_segments", "zstd")
+
+
+def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(doc_id, mark, starts): first words of the windows to remove, for documents (doc_id, mark, text) that have some."""
+    if window <= GROUP or window & (window - 1) == 0:
+        raise ValueError(f"the window must be longer than {GROUP} and no power of two")
+    found = shared_segments(docs, window)
+    release(docs.sparkSession)
+    best = searched_segments(found, window)
+    release(docs.sparkSession)
     windows = F.transform("best", lambda d, i: F.when(d < F.col("doc_id"), F.col("at") + i))
     gone = F.filter(windows, lambda x: x.isNotNull())
-    return (found.select("doc_id", "mark", "at", *content).join(best, content).select("doc_id", "mark", gone.alias("gone")).where(F.size("gone") > 0)
+    return (found.select("doc_id", "mark", "at", *CONTENT).join(best, CONTENT).select("doc_id", "mark", gone.alias("gone")).where(F.size("gone") > 0)
             .groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("gone")).alias("starts")))
 
 

@@ -12,7 +12,7 @@ import re
 
 import numpy as np
 
-REMEMBERED = 300_000                         # chunks, some 70 MB; the memory is emptied beyond that
+REMEMBERED = 500_000                         # chunks, some 120 MB; the memory is emptied beyond that
 _INNER_BLANK = re.compile(r"\s (?:\s|\Z)")
 
 
