@@ -23,7 +23,8 @@ SCALE = 1024
 K = 10
 BLOCK = 4096            # candidates of a block
 QUERIES = 256           # queries of a block
-FIRST_DEPTH = 64        # entries of each list that are read first; the depth doubles from there
+DEPTHS = (1, 2, 4, 6, 7, 8)   # depths at which bounds are looked at, in eighths of the lists
+FEW = 4                 # one in so many candidates may be left for final scores when reading stops
 
 
 def quantised(vector: Column, scale: int = SCALE) -> Column:
@@ -33,41 +34,47 @@ def quantised(vector: Column, scale: int = SCALE) -> Column:
 
 
 class Lists:
-    """A block of candidates as one sorted list per component."""
+    """A block of candidates as one list per component, sorted from the largest value down.
 
-    def __init__(self, values: np.ndarray) -> None:
-        self.values = values                                    # candidate x component
-        self.order = np.argsort(-values, axis=0, kind="stable").T.copy()   # component x rank
-        self.sorted = np.take_along_axis(values.T, self.order, 1)
-        self.read = 0                                            # list entries read, for tests
+    What has been read of the lists to a depth is the same for all queries that read them from the same end, so a block of queries
+    reads together: bounds are two matrix products per depth. Whole numbers below 2^53 are exact in them.
+    """
 
-    def best(self, query: np.ndarray, k: int, alive: np.ndarray) -> np.ndarray:
-        """Candidates (of those alive) whose score may be among the k best, ties included; exact scores decide between them."""
+    def __init__(self, values: np.ndarray) -> None:
+        n = len(values)
+        order = np.argsort(-values, axis=0, kind="stable")
+        self.values = values.astype(np.float64)                     # candidate x component
+        self.sorted = np.take_along_axis(self.values, order, 0)     # rank x component
+        self.rank = np.empty((n, values.shape[1]), np.int32)
+        np.put_along_axis(self.rank, order, np.arange(n, dtype=np.int32)[:, None], 0)
+        self.read = 0                                               # list entries read, for tests
+
+    def best(self, queries: np.ndarray, k: int, shut: np.ndarray) -> list[np.ndarray]:
+        """For each query the candidates whose score may be among the k best, ties included. `shut` (candidate x query) are left out."""
         n, d = self.values.shape
-        count = int(alive.sum())
-        if count <= k:
-            return np.flatnonzero(alive)
-        up = query >= 0
-        worst = np.where(up, self.sorted[:, -1], self.sorted[:, 0]) * query
-        low = np.full(n, worst.sum(), np.int64)
-        low[~alive] = np.iinfo(np.int64).min // 2
-        known, seen = np.zeros(n, np.int64), np.zeros((n, d), np.float64)
-        begin, depth = 0, min(FIRST_DEPTH, n)
-        while True:
-            for j in np.flatnonzero(query):
-                rank = slice(begin, depth) if up[j] else slice(n - depth, n - begin)
-                at, part = self.order[j, rank], self.sorted[j, rank] * query[j]
-                known[at] += part
-                low[at] += part - worst[j]
-                seen[at, j] = 1
-            self.read += (depth - begin) * d
-            border = np.where(up, self.sorted[:, depth - 1], self.sorted[:, n - depth]) * query
-            high = known + border.sum() - np.rint(seen @ border.astype(np.float64)).astype(np.int64)
-            bound = np.partition(low, n - k)[n - k]
-            left = np.flatnonzero((high >= bound) & alive)
-            if len(left) <= max(4 * k, n // 32) or depth == n:
-                return left
-            begin, depth = depth, min(2 * depth, n)
+        out: list = [None] * len(queries)
+        active = np.arange(len(queries))
+        before = 0
+        for share in DEPTHS:
+            depth = -(-n * share // DEPTHS[-1])
+            ask = queries[active].astype(np.float64).T
+            above, below = np.maximum(ask, 0), np.minimum(ask, 0)   # lists read from the top and from the bottom
+            top, bottom = self.rank < depth, self.rank >= n - depth
+            bounds = [np.where(top, self.values, self.sorted[x]) @ above + np.where(bottom, self.values, self.sorted[y]) @ below
+                      for x, y in ((n - 1, 0), (depth - 1, n - depth))]
+            low, high = bounds
+            low[shut[:, active]] = -np.inf
+            reach = np.partition(low, max(n - k, 0), axis=0)[max(n - k, 0)]
+            may = (high >= reach) & ~shut[:, active]
+            self.read += (depth - before) * d * len(active)
+            before = depth
+            done = (may.sum(0) <= max(4 * k, n // FEW)) | (depth == n)
+            for q in np.flatnonzero(done):
+                out[active[q]] = np.flatnonzero(may[:, q])
+            active = active[~done]
+            if not len(active):
+                break
+        return out
 
 
 def top_k(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = K, scale: int = SCALE,
@@ -102,11 +109,9 @@ def top_k(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str
         if asked.num_rows and held.num_rows:
             order = held.column("id").combine_chunks()
             ids, missing = order.fill_null(0).to_numpy(zero_copy_only=False), order.is_null().to_numpy(zero_copy_only=False)
-            values = matrix(held)
-            lists = Lists(values)
-            for q, query, mark in zip(asked.column("id").to_pylist(), matrix(asked), range(asked.num_rows)):
-                alive = missing | (ids != q)
-                left = lists.best(query, k, alive)
+            values, queries = matrix(held), matrix(asked)
+            own = ~missing[:, None] & (ids[:, None] == asked.column("id").to_numpy()[None])
+            for mark, (q, query, left) in enumerate(zip(asked.column("id").to_pylist(), queries, Lists(values).best(queries, k, own))):
                 score = values[left] @ query
                 first = left[np.lexsort((ids[left], missing[left], -score))][:k]
                 for i in first:

@@ -354,9 +354,12 @@ def test_reading_stops_before_the_lists_end():
     values = r.integers(-10, 10, (4096, 8))
     values[:20] += 1000
     lists = topk.Lists(values)
-    left = lists.best(np.full(8, 5), 10, np.ones(4096, bool))
-    score = values @ np.full(8, 5)
-    assert set(np.lexsort((np.arange(4096), -score))[:10]) <= set(left) and lists.read < 4096 * 8 / 4
+    queries = np.array([[5] * 8, [-3, 0, 2, 1, 0, 0, 0, 1]])
+    for query, left in zip(queries, lists.best(queries, 10, np.zeros((4096, 2), bool))):
+        assert set(np.lexsort((np.arange(4096), -(values @ query)))[:10]) <= set(left)
+    lists.read = 0
+    lists.best(queries[:1], 10, np.zeros((4096, 1), bool))
+    assert lists.read < 4096 * 8 / 4
 
 
 @pytest.mark.parametrize("block", [16, 1024])
