@@ -85,8 +85,12 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = PENAL
     ridge[-1] = 1e-6
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        gradient = x.T @ (weight * (p - y)) + ridge * beta
-        hessian = (x * (weight * p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(ridge)
+        gradient, hessian = ridge * beta, np.diag(ridge)
+        for i in range(0, len(x), 4096):                   # in parts, to keep copies small
+            part, w = x[i:i + 4096], weight[i:i + 4096]
+            q = p[i:i + 4096]
+            gradient = gradient + part.T @ (w * (q - y[i:i + 4096]))
+            hessian = hessian + (part * (w * q * (1 - q) + 1e-9)[:, None]).T @ part
         step = np.linalg.solve(hessian, gradient)
         beta -= step
         if np.abs(step).max() < 1e-6:
@@ -136,8 +140,14 @@ def _dot(vector: str, beta: np.ndarray) -> Column:
     return F.aggregate(F.zip_with(F.col(vector), weights, lambda a, b: a * b), F.lit(float(beta[-1])), lambda s, v: s + v)
 
 
-def _matrix(rows, name: str) -> np.ndarray:
-    return np.array([r[name] for r in rows], np.float64)
+def _fetched(rows: DataFrame) -> dict:
+    """A bounded number of rows on the driver, by key: the keys and each view as a matrix."""
+    table = rows.dropDuplicates(["key"]).orderBy("key").toArrow()
+    out = {"key": table.column("key").to_pylist()}
+    for c in table.column_names[1:]:
+        values = table.column(c).combine_chunks()
+        out[c] = (values.flatten().to_numpy().reshape(len(values), -1) if pa.types.is_list(values.type) else values.to_numpy()) if len(values) else np.empty((0, 1))
+    return out
 
 
 def co_train(views: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", labelled: int = LABELLED, rounds: int = ROUNDS,
@@ -150,12 +160,11 @@ def co_train(views: DataFrame, labels: DataFrame, key: str = "doc_id", label: st
     known = (labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("key"))
              .agg(F.min(label).cast("double").alias("y"), F.max(label).cast("double").alias("y2")).where(F.col("y") == F.col("y2")).drop("y2"))
     chosen = known.orderBy(F.xxhash64("key", F.lit(SEED)), "key").limit(labelled)
-    rows = views.join(F.broadcast(chosen), "key").dropDuplicates(["key"]).collect()
-    rows.sort(key=lambda r: r["key"])
-    y = np.array([r["y"] for r in rows])
+    seen = _fetched(views.join(F.broadcast(chosen), "key"))
+    y = seen["y"].ravel()
     if len(set(y.tolist())) < 2:
         return None
-    seen = {"tv": _matrix(rows, "tv"), "pv": _matrix(rows, "pv")}
+    seen = {"tv": seen["tv"], "pv": seen["pv"]}
     own = {v: (x, y) for v, x in seen.items()}
     betas = {v: fit(x, t, balanced(t)) for v, (x, t) in own.items()}
     free = views.where(F.col("key").isNotNull()).join(known.select("key"), "key", "left_anti").dropDuplicates(["key"])
@@ -176,12 +185,12 @@ def co_train(views: DataFrame, labels: DataFrame, key: str = "doc_id", label: st
         if not picks:
             break
         wanted = views.sparkSession.createDataFrame([(k,) for k in picks], views.select("key").schema)
-        found = sorted(free.join(F.broadcast(wanted), "key").collect(), key=lambda r: r["key"])
+        found = _fetched(free.join(F.broadcast(wanted), "key"))
         for v, other in (("tv", "pv"), ("pv", "tv")):      # what the other view is sure of
-            given = [r for r in found if other in picks[r["key"]]]
+            given = [i for i, k in enumerate(found["key"]) if other in picks[k]]
             if given:
                 x, t = own[v]
-                own[v] = (np.vstack([x, _matrix(given, v)]), np.concatenate([t, [picks[r["key"]][other] for r in given]]))
+                own[v] = (np.vstack([x, found[v][given]]), np.concatenate([t, [picks[found["key"][i]][other] for i in given]]))
         taken += list(picks)
         betas = {v: fit(x, t, balanced(t)) for v, (x, t) in own.items()}
     scales = {}
