@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canasta.functions.money import fixed
-from canasta.operators.skew import HOT_ROWS, attach, cut, exact_quantiles
+from canasta.functions.text import token_jaccard
+from canasta.operators.skew import HOT_ROWS, attach, cut, exact_quantiles, grid_join
 from canasta.settings import PriceSettings
 
 PRODUCT = ["product_code"]
@@ -161,19 +162,13 @@ def relative_difference(a: Column, b: Column) -> Column:
     return F.when(a.isNotNull() & b.isNotNull() & (top > 0), F.abs(a - b) / top)
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    """Shared over all distinct tokens; 0 when either side is empty."""
-    return (F.when((F.size(a) > 0) & (F.size(b) > 0),
-                   F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).otherwise(F.lit(0.0)))
-
-
 def near_duplicate(a: Column, b: Column, settings: PriceSettings = PriceSettings()) -> Column:
     """Two listings (structs sku, kg, u, toks) of one product and store describe the same article."""
     s = settings
     close = (F.coalesce(relative_difference(a["kg"], b["kg"]) <= F.lit(s.duplicate_size), F.lit(False))
              & F.coalesce(relative_difference(a["u"], b["u"]) <= F.lit(s.duplicate_price), F.lit(False)))
     names = (((F.array_sort(a["toks"]) == F.array_sort(b["toks"])) & (F.round(a["kg"], 3) == F.round(b["kg"], 3)))
-             | (jaccard(a["toks"], b["toks"]) >= F.lit(s.duplicate_jaccard)))
+             | (token_jaccard(a["toks"], b["toks"]) >= F.lit(s.duplicate_jaccard)))
     return (a["sku"] == b["sku"]) | (close & names)
 
 
@@ -192,60 +187,73 @@ def _fold(lists: DataFrame, settings: PriceSettings) -> Column:
 
     def step(done: Column, e: Column) -> Column:
         hits = F.filter(done, lambda k: k["keeper"].isNull() & near_duplicate(k["x"], e["x"], settings))
-        keeper = F.get(hits, F.lit(0))["x"]["sku"]
+        last = F.get(done, F.size(done) - 1)
+        repeat = F.coalesce(last["x"]["sku"] == e["x"]["sku"], F.lit(False))
+        keeper = F.when(repeat, F.coalesce(last["keeper"], last["x"]["sku"])).otherwise(F.get(hits, F.lit(0))["x"]["sku"])
         return F.concat(done, F.array(F.struct(*[e[f.name].alias(f.name) for f in item.fields], keeper.alias("keeper"))))
 
     return F.aggregate("xs", start, step)
 
 
-def _lists(rows: DataFrame, columns: list[str], fold_rows: int) -> DataFrame:
-    """The first fold_rows + 1 rows of each product and store by sku, as one array: longer means too large to fold.
+def _by_size(rows: DataFrame, fold_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of groups that one row can hold, and the rows of larger groups (None if there are none).
 
-    The limited window keeps that many rows per group and map task, and the grouping reuses its partitioning.
+    Sizes come from counts that Spark combines before the shuffle; no row of a large group is gathered.
     """
-    order = Window.partitionBy(*PRODUCT_STORE).orderBy("x.sku", "x.u")
-    return (rows.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= fold_rows + 1)
-            .groupBy(*PRODUCT_STORE).agg(F.collect_list(F.struct("_r", "x", *columns)).alias("xs"))
-            .withColumn("xs", F.array_sort("xs", lambda a, b: a["_r"] - b["_r"])))
+    sizes = cut(rows.groupBy(*PRODUCT_STORE).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > fold_rows), "large_groups")
+    if sizes.isEmpty():
+        return rows, None
+    groups = sizes.select(*PRODUCT_STORE)
+    return rows.join(groups, PRODUCT_STORE, "left_anti"), rows.join(groups, PRODUCT_STORE, "left_semi")
+
+
+def _lists(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of each product and store as one array, by sku and then unit price, size and words."""
+    entry = F.struct(F.struct("x.sku", "x.u", "x.kg", "x.toks").alias("o"), "x", *columns)
+    return rows.groupBy(*PRODUCT_STORE).agg(F.array_sort(F.collect_list(entry)).alias("xs"))
 
 
 def dedupe_greedy(cands: DataFrame, settings: PriceSettings = PriceSettings(), live: str = "accepted",
                   fold_rows: int = FOLD_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Adds `duplicate_of`: the sku of the kept listing of the same product and store that a row repeats, else NULL.
 
-    Rows are taken in sku order; a row is kept unless it nearly repeats a kept one. (product_code, store, sku) is unique.
-    Groups of up to `fold_rows` are decided inside one row, with a single shuffle of the listings, and written to the
-    shared folder. Larger groups are decided on one representative of all listings that agree in size, unit price and
-    words: by the same fold if few are left, otherwise in parallel rounds.
+    Rows are taken in sku order (then unit price, size, words); a row is kept unless it nearly repeats a kept one. Of rows that
+    repeat a sku the first stands for all: the others repeat it, or what it repeats. Groups of up to `fold_rows` are decided inside one
+    row, with a single shuffle of the listings, and written to the shared folder. Larger groups are decided on one representative of
+    all listings that agree in size, unit price and words: by the same fold if few are left, otherwise in parallel rounds. The result
+    does not depend on which way a group takes.
     """
     usable = F.coalesce(F.col(live) & (F.col("kg") > 0) & (F.col("price_per_kg") > 0), F.lit(False))
     x = F.struct("sku", F.col("kg").cast("double").alias("kg"), F.col("price_per_kg").alias("u"), _words(cands).alias("toks"))
-    rows = cands.where(usable).select(*PRODUCT_STORE, x.alias("x"), F.struct(*cands.columns).alias("row"))
-    lists = _lists(rows, ["row"], fold_rows)
-    small = F.size("xs") <= fold_rows
-    decided = cut(lists.select(*[F.col(c).alias(f"_{c}") for c in PRODUCT_STORE], (~small).alias("_large"),
-                               F.inline_outer(F.when(small, _fold(lists, settings))))
-                  .select("_product_code", "_store", "_large", "row", "keeper"), "decided")
-    out = decided.where("not _large").select("row.*", F.col("keeper").alias("duplicate_of"))
+    small, large = _by_size(cands.where(usable), fold_rows)
+    lists = _lists(small.select(*PRODUCT_STORE, x.alias("x"), F.struct(*cands.columns).alias("row")), ["row"])
+    decided = cut(lists.select(F.inline(_fold(lists, settings))).select("row", "keeper"), "decided")
+    out = decided.select("row.*", F.col("keeper").alias("duplicate_of"))
     out = out.unionByName(cands.where(~usable).withColumn("duplicate_of", F.lit(None).cast("string")))
-    large = decided.where("_large").select(F.col("_product_code").alias("product_code"), F.col("_store").alias("store"))
-    if not large.isEmpty():
-        out = out.unionByName(_dedupe_large(cands.where(usable).join(large, PRODUCT_STORE, "left_semi"), settings, fold_rows, hot_rows))
-    return out
+    if large is None:
+        return out
+    again = Window.partitionBy(*PRODUCT_STORE, "sku").orderBy("price_per_kg", "kg", _words(cands))
+    numbered = cut(large.withColumn("_again", F.row_number().over(again) > 1), "large_rows")
+    first = cut(_dedupe_large(numbered.where(~F.col("_again")).drop("_again"), settings, fold_rows, hot_rows), "large_decided")
+    repeats = numbered.where("_again").drop("_again")
+    keys = [*PRODUCT_STORE, "sku"]
+    fate = first.select(*keys, F.coalesce("duplicate_of", "sku").alias("duplicate_of"))
+    sizes = repeats.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return out.unionByName(first).unionByName(attach(repeats, fate.join(sizes, keys), keys, "_n", hot_rows=hot_rows).drop("_n"))
 
 
 def _dedupe_large(cands: DataFrame, settings: PriceSettings, fold_rows: int, hot_rows: int) -> DataFrame:
+    """The same for large groups in which no sku repeats."""
     rows = cands.withColumns({"_kg": F.col("kg").cast("double"), "_u": F.col("price_per_kg"), "_t": _words(cands)})
     twins = rows.groupBy(*TWIN).agg(F.min("sku").alias("sku"), F.count(F.lit(1)).alias("twins"))
     x = F.struct("sku", F.col("_kg").alias("kg"), F.col("_u").alias("u"), F.col("_t").alias("toks"))
     reps = cut(twins.select(*PRODUCT_STORE, "twins", x.alias("x")), "representatives")
-    lists = _lists(reps, ["twins"], fold_rows)
-    small = F.size("xs") <= fold_rows
-    decided = cut(lists.select(*PRODUCT_STORE, (~small).alias("large"), F.inline_outer(F.when(small, _fold(lists, settings)))).drop("_r"), "decided")
-    large = decided.where("large").select(*PRODUCT_STORE)
-    decided = decided.where("not large").drop("large").withColumn("keeper", F.coalesce("keeper", "x.sku"))
-    if not large.isEmpty():
-        decided = decided.unionByName(dedupe_rounds(reps.join(large, PRODUCT_STORE, "left_semi"), settings))
+    small, large = _by_size(reps, fold_rows)
+    lists = _lists(small, ["twins"])
+    decided = lists.select(*PRODUCT_STORE, F.inline(_fold(lists, settings))).drop("o").withColumn("keeper", F.coalesce("keeper", "x.sku"))
+    decided = cut(decided, "decided")
+    if large is not None:
+        decided = decided.unionByName(dedupe_rounds(large, settings))
     verdict = decided.select(*PRODUCT_STORE, F.col("x.kg").alias("_kg"), F.col("x.u").alias("_u"), F.col("x.toks").alias("_t"), "twins", "keeper")
     full = attach(rows, verdict, TWIN, "twins", hot_rows=hot_rows)
     return full.select(*cands.columns, F.when(F.col("keeper") != F.col("sku"), F.col("keeper")).alias("duplicate_of"))
@@ -290,11 +298,11 @@ def dedupe_rounds(reps: DataFrame, settings: PriceSettings = PriceSettings()) ->
         kept = cut(open_rows.join(first, [*group, "sku"], "left_semi"), "kept")
         kept_parts.append(kept)
         reach = around(blocks(kept)).select(*cell, F.col("x").alias("k"))
-        gone = (here.join(reach, cell).where(near_duplicate(F.col("k"), F.col("x"), s)).select(*group, "sku").distinct())
+        gone = (grid_join(cut(here, "blocks"), cut(reach, "reach"), cell).where(near_duplicate(F.col("k"), F.col("x"), s)).select(*group, "sku").distinct())
         open_rows = cut(open_rows.join(gone, [*group, "sku"], "left_anti"), "open")
     kept = reduce(DataFrame.unionByName, kept_parts)
     reach = around(blocks(kept)).select(*cell, F.col("x").alias("k"))
-    keeper = (blocks(everything).join(reach, cell)
+    keeper = (grid_join(cut(blocks(everything), "blocks"), cut(reach, "reach"), cell)
               .where((F.col("k.sku") < F.col("sku")) & near_duplicate(F.col("k"), F.col("x"), s))
               .groupBy(*group, "sku").agg(F.min("k.sku").alias("keeper")))
     return (everything.select(*group, "x", "twins", "sku").join(keeper, [*group, "sku"], "left")
@@ -342,7 +350,8 @@ def _keeper_titles(rows: DataFrame, hot_rows: int) -> DataFrame:
 def clean_listings(cands: DataFrame, settings: PriceSettings = PriceSettings(), hot_rows: int = HOT_ROWS) -> DataFrame:
     """Size peers over all stores, then near-duplicates per store, then price outliers over all stores.
 
-    Every row ends with one `status`: REJECTED (before cleaning), SIZE, DUPLICATE, OUTLIER or ACCEPTED, and a reason.
+    Every row ends with one `status`: REJECTED (before cleaning), SIZE, DUPLICATE, OUTLIER or ACCEPTED, a reason and its code (the
+    status for the three steps here, the rule's code for earlier ones).
     The two middle steps are written to the shared folder, so no step is computed twice.
     """
     s = settings
@@ -365,7 +374,10 @@ def clean_listings(cands: DataFrame, settings: PriceSettings = PriceSettings(),
                  F.lit("(hard band $"), fixed(med * s.outlier_low), F.lit("-$"), fixed(med * s.outlier_high), F.lit(")")))
            .when(F.col("off_mad"), F.concat(F.lit("ROBUST PRICE OUTLIER REMOVED: "), against, F.lit("(log-MAD z="), fixed(F.col("mad_z")), F.lit(")")))
            .otherwise(F.coalesce("size_reason", "reason")))
-    return tested.withColumn("status", status).withColumn("reason", why).drop("_unique", "size_reason", "_of")
+    code = F.when(F.col("status").isin("SIZE", "DUPLICATE", "OUTLIER"), F.col("status")).otherwise(
+        F.col("reason_code") if "reason_code" in cands.columns else F.when(F.col("status") == "ACCEPTED", "OK"))
+    return (tested.withColumn("status", status).withColumn("reason", why).withColumn("reason_code", code)
+            .drop("_unique", "size_reason", "_of"))
 
 
 def cleaning_counts(cleaned: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from canasta.functions import quantity as Q
 from canasta.functions import text as X
 from canasta.functions.money import choose_price, fixed, unit_price
-from canasta.functions.text import both_forms, canonical_word, let, one_of, words
+from canasta.functions.text import canonical_word, let, one_of, words
 from canasta.settings import PriceSettings
 from canasta.vocabulary import (ALCOHOL_EXCUSED, ALCOHOL_FREE, BAKERY_FAMILIES, FRESH_FAMILIES, LATEST_HEAD_POSITION,
                                 RAW_MEAT_LINES, SPANISH, Vocabulary, WEIGHED_NEUTRAL_FAMILIES)
@@ -24,10 +24,10 @@ def _none() -> Column:
     return F.array().cast("array<string>")
 
 
-def _by_head(head: Column, table: dict, v: Vocabulary, both: bool = False) -> Column:
+def _by_head(head: Column, table: dict) -> Column:
     out = _none()
     for family, items in table.items():
-        out = F.when(head == family, words(both_forms(items, v) if both else list(items))).otherwise(out)
+        out = F.when(head == family, words(items)).otherwise(out)
     return out
 
 
@@ -48,7 +48,7 @@ def _target_columns(v: Vocabulary) -> list[dict[str, Column]]:
     food = F.when(F.col("t_category") != "", F.col("t_category") != "no alimento").otherwise(~F.arrays_overlap("t_all", words(v.non_food)))
     purpose = F.array_union(_next_words(F.col("t_words"), ["para", "con"]), F.when(
         one_of(F.col("t_family"), BAKERY_FAMILIES), _next_words(F.col("t_words"), ["de"], 1)).otherwise(_none()))
-    subtypes = _by_head(head, v.family_subtypes, v, True)
+    subtypes = _by_head(head, v.family_subtypes)
     return [
         {"t_tokens": X.semantic_tokens(name, v), "t_words": X.title_words(X.drop_parens(name)), "t_variety": X.is_variety(name, v),
          "t_line": X.norm_text(ctx["line"]), "t_family": X.norm_text(ctx["family"]), "t_category": X.norm_text(ctx["category"]),
@@ -57,8 +57,8 @@ def _target_columns(v: Vocabulary) -> list[dict[str, Column]]:
         {"t_req": X.required_tokens(F.col("t_tokens"), F.col("t_mods"), F.col("t_family"), v), "t_all": F.array_union("t_tokens", "t_mods"),
          "t_basis": Q.quantity_basis(F.col("t_count.n"), F.col("t_size.total_kg"), ctx["category"])},
         {"t_eff": X.effective_required(F.col("t_req"), v), "t_head": F.get("t_req", F.lit(0)), "t_all": reduce(F.array_union, allows, F.col("t_all"))},
-        {"t_food": food, "t_members": _by_head(head, v.members, v), "t_forbidden": _by_head(head, v.family_forbidden, v),
-         "t_generic": _by_head(head, v.generic_forbidden, v), "t_purpose": F.array_intersect(purpose, F.col("t_eff")),
+        {"t_food": food, "t_members": _by_head(head, v.members), "t_forbidden": _by_head(head, v.family_forbidden),
+         "t_generic": _by_head(head, v.generic_forbidden), "t_purpose": F.array_intersect(purpose, F.col("t_eff")),
          "t_subtypes": F.when(F.col("t_variety"), F.array_except(subtypes, words(["saborizado", "saborizada"]))).otherwise(subtypes),
          "t_canned": F.arrays_overlap("t_words", words(v.canned)),
          "t_qty": Q.target_quantity(F.col("t_basis"), F.col("t_count"), F.col("t_size"), F.col("weight_kg")),
@@ -145,8 +145,8 @@ def rule_forbidden(v: Vocabulary = SPANISH) -> list[Column]:
     """Words that make a listing another kind of product, unless the target has them too."""
     cand, allowed = _cand(v), F.col("t_all")
 
-    def bad(items: list[str] | Column, both: bool = False) -> Column:
-        items = items if isinstance(items, Column) else words(both_forms(items, v) if both else items)
+    def bad(items: list[str] | Column) -> Column:
+        items = items if isinstance(items, Column) else words(items)
         return F.array_except(F.array_intersect(cand, items), allowed)
 
     drinks = bad(v.alcohol)
@@ -158,10 +158,10 @@ def rule_forbidden(v: Vocabulary = SPANISH) -> list[Column]:
         _found("R04", bad(v.pets), "pet product: "),
         _found("R05", drinks, "alcoholic product: ", ~F.array_contains(allowed, "vinagre")),
         _found("R06", bad(v.derived), "preparation/mix, not the product itself: ", ~F.col("t_variety")),
-        _found("R07", bad(v.speciality, True), "speciality/premium version of the product: "),
-        _found("R08", bad(v.prepared, True), "breaded/prepared version of the product: "),
-        _found("R09", bad(v.deli, True), "cooked/deli/seasoned version of a raw meat product: ", one_of(F.col("t_line"), RAW_MEAT_LINES)),
-        _found("R14", F.array_except(F.array_intersect(seen, words(both_forms(v.processed, v))), allowed),
+        _found("R07", bad(v.speciality), "speciality/premium version of the product: "),
+        _found("R08", bad(v.prepared), "breaded/prepared version of the product: "),
+        _found("R09", bad(v.deli), "cooked/deli/seasoned version of a raw meat product: ", one_of(F.col("t_line"), RAW_MEAT_LINES)),
+        _found("R14", F.array_except(F.array_intersect(seen, words(v.processed)), allowed),
                "processed/canned product for a fresh-produce target: ", one_of(F.col("t_family"), FRESH_FAMILIES)),
         _found("R15", F.array_intersect(F.col("l_words"), words(v.fresh_signs)), "fresh product for a canned target: ",
                F.col("t_canned") & ~F.arrays_overlap("l_words", words(v.canned))),
@@ -179,7 +179,7 @@ def rule_exclusive_group(v: Vocabulary = SPANISH) -> list[Column]:
     cand, out = _cand(v), []
     groups = [("R16", g, "conflicting subtype") for g in v.modifier_groups] + [("R17", v.form, "conflicting product form")]
     for code, group, text in groups:
-        g = words(both_forms(group, v))
+        g = words(group)
         t, c = F.array_intersect("t_all", g), F.array_intersect(cand, g)
         clash = (F.size(t) > 0) & (F.size(c) > 0) & ~F.arrays_overlap(t, c)
         out.append(_reject(code, clash, F.concat(F.lit(text + ": target="), _quoted(t), F.lit(", candidate="), _quoted(c))))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,6 +14,7 @@ from canasta.functions import text as X
 from canasta.functions.money import fixed, valid_price
 from canasta.operators import pricing
 from canasta.operators.flags import evidence_flags, flag_codes, joined, reason_text
+from canasta.operators.skew import HOT_ROWS, attach, cut
 from canasta.settings import PriceSettings, ReviewPolicy
 
 DECISIONS = ("accepted", "rejected", "manual", "pending")
@@ -102,9 +105,11 @@ def accept_price(estimate: Column, current: Column) -> Column:
     return F.when(valid_price(estimate), estimate).otherwise(current)
 
 
-def validate_decisions(log: DataFrame, items: DataFrame) -> DataFrame:
+def validate_decisions(log: DataFrame, items: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Each decision with `error`: unknown, manual without a positive price, or accepting without any price."""
-    rows = log.join(items.select("product_code", "estimate", "current_price"), "product_code", "left")
+    sizes = log.groupBy("product_code").agg(F.count(F.lit(1)).alias("_n"))
+    known = sizes.join(items.select("product_code", "estimate", "current_price"), "product_code", "left")
+    rows = attach(log, known, ["product_code"], "_n", hot_rows=hot_rows).drop("_n")
     error = (F.when(~F.col("action").isin(*DECISIONS), "Unknown decision")
              .when((F.col("action") == "manual") & ~valid_price(F.col("price")), "Enter a positive price for one selected item.")
              .when((F.col("action") == "accepted") & ~valid_price(accept_price(F.col("estimate"), F.col("current_price"))),
@@ -112,9 +117,12 @@ def validate_decisions(log: DataFrame, items: DataFrame) -> DataFrame:
     return rows.withColumn("error", error)
 
 
-def decision_state(log: DataFrame, items: DataFrame) -> DataFrame:
-    """The latest valid decision of every product (pending before the first) with its price in cents."""
-    valid = validate_decisions(log, items).where(F.col("error").isNull())
+def decision_state(log: DataFrame, items: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The latest valid decision of every product (pending before the first) with its price in cents.
+
+    `log` holds decisions; of a log with undo and redo steps, `current_state` takes what is left.
+    """
+    valid = validate_decisions(log, items, hot_rows).where(F.col("error").isNull())
     last = valid.groupBy("product_code").agg(F.max(F.struct("seq", "action", "price")).alias("d"))
     rows = items.join(last, "product_code", "left")
     value = F.when(F.col("d.action") == "manual", F.col("d.price")).when(
@@ -155,20 +163,54 @@ def undo_redo_replay(log: DataFrame) -> DataFrame:
     return alive.join(log.select("session_id", "seq", "product_code", "action", "price"), ["session_id", "seq"])
 
 
-def override_recalc(audit: DataFrame, overrides: DataFrame, summary: DataFrame, settings: PriceSettings = PriceSettings()) -> DataFrame:
+def current_state(log: DataFrame, items: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """`decision_state` of the changes that undo and redo have left."""
+    return decision_state(undo_redo_replay(log), items, hot_rows)
+
+
+STORED = ("market_percent", "store_weight_cap", "economy_percentile", "price_level", "average_mode")
+MOST_SETTINGS = 64     # different settings in one summary; each is a pass over its products
+
+
+def override_recalc(audit: DataFrame, overrides: DataFrame, summary: DataFrame, settings: PriceSettings = PriceSettings(),
+                    stores: list | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Prices and evidence of the products whose listings a person included or excluded; no filter runs again.
 
     `audit`: product_code, store, sku, accepted, price_per_kg. `overrides`: product_code, store, sku, included.
-    `summary`: product_code, target_kg, confidence, quality. `problem` names products that cannot be recalculated.
+    `summary`: product_code, target_kg, confidence, quality, and the settings its rows were priced with (STORED), which win over
+    `settings`; missing or null ones are taken from there. `problem` names products that cannot be recalculated. `stores` asks for
+    stores_used and the text of store averages.
     """
-    chosen = (audit.join(overrides.select("product_code").distinct(), "product_code", "left_semi")
-              .join(overrides, ["product_code", "store", "sku"], "left")
-              .withColumn("used", F.coalesce("included", "accepted")))
+    base = {c: getattr(settings, c, "store_balanced") for c in STORED}
+    have = [F.coalesce(F.col(c) if c in summary.columns else F.lit(None), F.lit(d)).cast(type(d).__name__.replace("str", "string").replace("float", "double")).alias(c)
+            for c, d in base.items()]
+    asked = overrides.select("product_code").distinct()
+    named = cut(summary.join(asked, "product_code", "left_semi").select("product_code", "target_kg", "confidence", "quality", F.struct(*have).alias("with")), "recalculated")
+    sizes = audit.join(asked, "product_code", "left_semi").groupBy("product_code").agg(F.count(F.lit(1)).alias("_n"))
+    chosen = attach(audit.select("product_code", "store", "sku", "accepted", "price_per_kg"), sizes, ["product_code"], "_n", "inner", hot_rows).drop("_n")
+    chosen = cut(chosen.join(overrides, ["product_code", "store", "sku"], "left").withColumn("used", F.coalesce("included", "accepted")), "chosen")
+    different = sorted(named.select("with").distinct().limit(MOST_SETTINGS + 1).collect(), key=str)
+    if len(different) > MOST_SETTINGS:
+        raise ValueError(f"more than {MOST_SETTINGS} different settings in one summary")
+    parts = []
+    for row in different or [None]:
+        own = base if row is None else row["with"].asDict()
+        mode = own.pop("average_mode")
+        group = named if row is None else named.where(F.struct(*[F.col(f"with.{c}") for c in STORED]) == F.struct(*[F.lit(v) for v in (*own.values(), mode)]))
+        parts.append(_recalculated(chosen, group, replace(settings, **own), mode != "all_candidates", stores, hot_rows))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _recalculated(chosen: DataFrame, summary: DataFrame, settings: PriceSettings, balanced: bool, store_order: list | None,
+                  hot_rows: int) -> DataFrame:
+    chosen = chosen.join(summary.select("product_code"), "product_code", "left_semi")
     usable = F.coalesce(F.col("price_per_kg") > 0, F.lit(False))
     used = chosen.where(F.col("used") & usable)
     totals = chosen.groupBy("product_code").agg(F.count(F.lit(1)).alias("listings"), F.count_if(F.col("used") & ~usable).alias("unpriced"))
-    priced = pricing.estimates(used, settings)
-    rows = totals.join(priced, "product_code", "left").join(summary.select("product_code", "target_kg", "confidence", "quality"), "product_code", "left")
+    priced = pricing.estimates(used, settings, balanced, hot_rows)
+    rows = totals.join(priced, "product_code", "left").join(summary, "product_code", "left")
+    if store_order is not None:
+        rows = rows.join(pricing.store_averages_text(pricing.store_stats(used, settings, hot_rows), store_order).drop("store_count"), "product_code", "left")
     n, stores = F.coalesce("n", F.lit(0)), F.coalesce("store_count", F.lit(0))
     rebuilt = ("NO MATCHES", "VERY HIGH RISK", "HIGH RISK", "ONE STORE ONLY", "LOW SEARCH CONFIDENCE", "OK", "")
     kept = F.filter(F.transform(F.split(F.coalesce("quality", F.lit("")), r"\|"), lambda f: F.trim(f)), lambda f: ~F.substring_index(f, ":", 1).isin(*rebuilt))
@@ -177,14 +219,18 @@ def override_recalc(audit: DataFrame, overrides: DataFrame, summary: DataFrame,
                .when(~F.coalesce(F.col("target_kg") > 0, F.lit(False)), "The target package quantity is missing"))
     estimate = F.when(problem.isNull(), pricing.estimate_price(F.col("market"), F.col("target_kg"), settings))
     return rows.select("product_code", n.alias("accepted_count"), (F.col("listings") - n).alias("rejected_count"), stores.alias("store_count"),
-                       estimate.alias("estimate"), "market", "median", "cv", flags.alias("quality"), problem.alias("problem"), F.lit("pending").alias("decision"))
+                       estimate.alias("estimate"), "market", "average", "median", "economy", "min", "max", "ratio", "cv", flags.alias("quality"), problem.alias("problem"),
+                       F.lit("pending").alias("decision"), *([] if store_order is None else ["stores_used", "store_averages"]))
 
 
-def export_check(state: DataFrame) -> DataFrame:
-    """Why an export must stop: invalid approved prices, products without an export id, nothing approved."""
+def export_check(state: DataFrame, include_unchanged: bool = False) -> DataFrame:
+    """Why an export must stop: invalid approved prices, products without an export id, nothing approved. With `include_unchanged` the
+    products that stay at their current price need an id too."""
     approved = state.where(F.col("decision").isin("accepted", "manual"))
     invalid = approved.where(~valid_price(F.col("price"))).select(F.lit("invalid price").alias("problem"), F.col("product_code").cast("string").alias("key"))
-    missing = approved.where(F.coalesce("id", F.lit("")) == "").select(F.lit("missing id").alias("problem"), F.col("product_code").cast("string").alias("key"))
+    leaving = F.col("decision").isin("accepted", "manual")
+    leaving = leaving | valid_price(F.col("current_price")) if include_unchanged else leaving
+    missing = state.where(leaving & (F.coalesce("id", F.lit("")) == "")).select(F.lit("missing id").alias("problem"), F.col("product_code").cast("string").alias("key"))
     none = approved.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.lit("nothing approved").alias("problem"), F.lit("").alias("key"))
     return invalid.unionByName(missing).unionByName(none)
 

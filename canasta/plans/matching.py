@@ -12,7 +12,6 @@ from canasta.plans.texts import FEATURES, LISTING, canon, lst, minus, norm, unpa
 from canasta.sources import fixtures
 from canasta.vocabulary import ALCOHOL_EXCUSED, ALCOHOL_FREE, BAKERY_FAMILIES, FRESH_FAMILIES, RAW_MEAT_LINES
 from canasta.vocabulary import SPANISH as V
-from canasta.functions.text import both_forms
 
 
 def pairs(spark, folder):
@@ -21,8 +20,8 @@ def pairs(spark, folder):
     return t.join(cut(identity.listing_features(fixtures.retail(spark, folder)), "listings"), "grp")
 
 
-def by_head(table: dict, both: bool = False) -> str:
-    return "CASE head " + " ".join(f"WHEN '{k}' THEN {lst(both_forms(x) if both else x)}" for k, x in table.items()) + " ELSE []::VARCHAR[] END"
+def by_head(table: dict) -> str:
+    return "CASE head " + " ".join(f"WHEN '{k}' THEN {lst(x)}" for k, x in table.items()) + " ELSE []::VARCHAR[] END"
 
 
 def after(marks, start: int = 1) -> str:
@@ -36,7 +35,7 @@ PAIRS = f"""{FEATURES}, {LISTING},
    list_has_any(string_split({norm(unparen('name'))}, ' '), {lst(V.variety)}) AS variety, {norm('line')} AS nline, {norm('category')} AS ncat FROM tf),
  th1 AS (SELECT *, {canon('tw')} AS tcw FROM th0),
  th AS (SELECT *, {by_head(V.members)} AS members, {by_head(V.family_forbidden)} AS ffor, {by_head(V.generic_forbidden)} AS gfor,
-   CASE WHEN variety THEN {minus(by_head(V.family_subtypes, True), "['saborizado', 'saborizada']")} ELSE {by_head(V.family_subtypes, True)} END AS subs,
+   CASE WHEN variety THEN {minus(by_head(V.family_subtypes), "['saborizado', 'saborizada']")} ELSE {by_head(V.family_subtypes)} END AS subs,
    CASE WHEN ncat <> '' THEN ncat <> 'no alimento' ELSE NOT list_has_any(allw, {lst(V.non_food)}) END AS food,
    list_intersect(list_concat({after(['para', 'con'])}, CASE WHEN nfamily IN {within(BAKERY_FAMILIES)} THEN {after(['de'], 2)} ELSE []::VARCHAR[] END), eff) AS purpose,
    list_has_any(tw, {lst(V.canned)}) AS canned, name LIKE 'Vasos%' OR name LIKE 'Fiambreras%' AS counted,
@@ -61,8 +60,8 @@ def bad(items: str) -> str:
     return f"list_sort(list_distinct({minus(inter('cand', items), 'allw')}))"
 
 
-def bad_words(items, both: bool = False) -> str:
-    return bad(lst(both_forms(items) if both else items))
+def bad_words(items) -> str:
+    return bad(lst(items))
 
 
 def joined(e: str) -> str:
@@ -80,7 +79,7 @@ def found(code: str, e: str, text: str, also: str = "true") -> str:
 MISSING = f"list_sort(CASE WHEN list_has_any(cand, members) THEN {minus(minus('eff', 'cand'), '[head]')} ELSE {minus('eff', 'cand')} END)"
 DRINKS = bad_words(V.alcohol)
 DRINKS = f"(CASE WHEN list_has_any(w, {lst(ALCOHOL_FREE)}) THEN {minus(DRINKS, lst(ALCOHOL_EXCUSED))} ELSE {DRINKS} END)"
-PROC = f"list_sort(list_distinct({minus(inter('list_concat(cand, w)', lst(both_forms(V.processed))), 'allw')}))"
+PROC = f"list_sort(list_distinct({minus(inter('list_concat(cand, w)', lst(V.processed)), 'allw')}))"
 FRESHLY = f"list_sort(list_distinct({inter('w', lst(V.fresh_signs))}))"
 OWN = inter("allw", lst(V.flavors))
 R01 = when("R01", "len(req) = 0 OR len(ord) = 0", "'missing usable identity tokens'")
@@ -89,9 +88,9 @@ BAN = [
     found("R03", bad_words(V.non_food), "non-food product for a food target: ", "food"), found("R04", bad_words(V.pets), "pet product: "),
     found("R05", DRINKS, "alcoholic product: ", "NOT list_contains(allw, 'vinagre')"),
     found("R06", bad_words(V.derived), "preparation/mix, not the product itself: ", "NOT variety"),
-    found("R07", bad_words(V.speciality, True), "speciality/premium version of the product: "),
-    found("R08", bad_words(V.prepared, True), "breaded/prepared version of the product: "),
-    found("R09", bad_words(V.deli, True), "cooked/deli/seasoned version of a raw meat product: ", f"nline IN {within(RAW_MEAT_LINES)}"),
+    found("R07", bad_words(V.speciality), "speciality/premium version of the product: "),
+    found("R08", bad_words(V.prepared), "breaded/prepared version of the product: "),
+    found("R09", bad_words(V.deli), "cooked/deli/seasoned version of a raw meat product: ", f"nline IN {within(RAW_MEAT_LINES)}"),
     found("R14", PROC, "processed/canned product for a fresh-produce target: ", f"nfamily IN {within(FRESH_FAMILIES)}"),
     found("R15", FRESHLY, "fresh product for a canned target: ", f"canned AND NOT list_has_any(w, {lst(V.canned)})"),
     found("R18", f"list_sort(list_distinct({inter('cand', 'ffor')}))", "false-positive family term(s): "),
@@ -101,7 +100,7 @@ BAN = [
 
 
 def group_rule(code: str, group, text: str) -> str:
-    g = lst(both_forms(group))
+    g = lst(group)
     t, c = f"list_sort(list_distinct({inter('allw', g)}))", f"list_sort(list_distinct({inter('cand', g)}))"
     show = lambda e: f"'[''' || array_to_string({e}, ''', ''') || ''']'"
     return when(code, f"len({t}) > 0 AND len({c}) > 0 AND NOT list_has_any({t}, {c})", f"'{text}: target=' || {show(t)} || ', candidate=' || {show(c)}")

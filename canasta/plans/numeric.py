@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from canasta.operators import candidates, cleaning, pricing
+from canasta.operators import candidates, cleaning, flags, pricing
 from canasta.functions.money import choose_price, fixed, unit_price
 from canasta.plans.registry import query
 from canasta.settings import PriceSettings
@@ -193,6 +193,11 @@ def cleaning_counts(spark, folder):
     return cleaning.cleaning_counts(cleaning.clean_listings(x1_holes(spark, folder)))
 
 
+@query("reason_codes", f"""{CLEAN} SELECT CASE status WHEN 'REJECTED' THEN NULL WHEN 'ACCEPTED' THEN 'OK' ELSE status END AS reason_code, count(*) AS n FROM c GROUP BY 1""")
+def reason_codes(spark, folder):
+    return flags.reason_counts(cleaning.clean_listings(x1_holes(spark, folder)))
+
+
 @query("reason_breakdown", f"""{CLEAN} SELECT status, count(*) AS n, count(DISTINCT product_code) AS products FROM c GROUP BY 1""")
 def reason_breakdown(spark, folder):
     cleaned = cleaning.clean_listings(x1_holes(spark, folder))

@@ -347,26 +347,33 @@ def inclusion_counts(spark, folder):
     return review.inclusion_counts(x1(spark, folder).withColumn("included", F.col("accepted") != (F.col("page") == 3)))
 
 
-@query("undo_redo_replay", f"""WITH RECURSIVE lg AS (SELECT user_id || '/' || ts::DATE AS session_id, event_id AS seq, user_id AS product_code, CASE event_type WHEN 'purchase' THEN 'accepted' WHEN 'error' THEN 'rejected'
+REPLAY = """lg AS (SELECT user_id || '/' || ts::DATE AS session_id, event_id AS seq, user_id AS product_code, CASE event_type WHEN 'purchase' THEN 'accepted' WHEN 'error' THEN 'rejected'
    WHEN 'signup' THEN 'manual' WHEN 'click' THEN 'undo' ELSE 'redo' END AS action, round(value, 4) AS price FROM events),
  o AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS rn FROM lg),
  w AS (SELECT DISTINCT session_id, 0::BIGINT AS rn, []::BIGINT[] AS done, []::BIGINT[] AS undone FROM o
   UNION ALL SELECT w.session_id, o.rn, CASE action WHEN 'undo' THEN done[:-2] WHEN 'redo' THEN CASE WHEN len(undone) > 0 THEN list_append(done, undone[-1]) ELSE done END ELSE list_append(done, seq) END,
    CASE action WHEN 'undo' THEN CASE WHEN len(done) > 0 THEN list_append(undone, done[-1]) ELSE undone END WHEN 'redo' THEN undone[:-2] ELSE []::BIGINT[] END
   FROM w JOIN o ON o.session_id = w.session_id AND o.rn = w.rn + 1),
- f AS (SELECT session_id, arg_max(done, rn) AS done FROM w GROUP BY 1), u AS (SELECT session_id, unnest(done) AS seq, generate_subscripts(done, 1) AS level FROM f)
- SELECT u.session_id, u.level, u.seq, product_code, action, price FROM u JOIN lg USING (session_id, seq)""")
+ f AS (SELECT session_id, arg_max(done, rn) AS done FROM w GROUP BY 1), u AS (SELECT session_id, unnest(done) AS seq, generate_subscripts(done, 1) AS level FROM f)"""
+
+
+@query("undo_redo_replay", f"""WITH RECURSIVE {REPLAY} SELECT u.session_id, u.level, u.seq, product_code, action, price FROM u JOIN lg USING (session_id, seq)""")
 def undo_redo_replay(spark, folder):
     out = review.undo_redo_replay(fixtures.decisions(spark, folder))
     return out.select("session_id", "level", "seq", "product_code", "action", F.round("price", 4).alias("price"))
 
 
+@query("current_state", f"""WITH RECURSIVE {ITEMS}, {REPLAY}, {LOG.replace("lg AS (", "lgx AS (").replace("FROM lg LEFT", "FROM (SELECT lgx.* FROM lgx JOIN u ON u.seq = lgx.seq) lg LEFT")} SELECT product_code, decision, price FROM ds""")
+def current_state(spark, folder):
+    return review.current_state(fixtures.decisions(spark, folder), items(spark, folder)).select("product_code", "decision", "price")
+
+
 @query("override_recalc", f"""WITH {ITEMS}, oc AS (SELECT DISTINCT product_code FROM x WHERE page = 7),
  us AS (SELECT x.*, CASE WHEN page = 7 THEN NOT accepted ELSE accepted END AS used FROM x JOIN oc USING (product_code)), tt AS (SELECT product_code, count(*) AS listings FROM us GROUP BY 1),
  s2 AS (SELECT product_code, store, quantile_cont(price_per_kg, 0.25) AS economy, count(*) AS n FROM us WHERE used GROUP BY 1, 2),
- b2 AS (SELECT product_code, sum(economy * least(n, 3)) / sum(least(n, 3)) AS market, count(*) AS store_count, sum(n)::BIGINT AS n FROM s2 GROUP BY 1),
+ b2 AS (SELECT product_code, sum(economy * least(n, CASE WHEN product_code % 5 = 0 THEN 1 ELSE 3 END)) / sum(least(n, CASE WHEN product_code % 5 = 0 THEN 1 ELSE 3 END)) AS market, count(*) AS store_count, sum(n)::BIGINT AS n FROM s2 GROUP BY 1),
  m2 AS (SELECT product_code, quantile_cont(price_per_kg, 0.5) AS median, CASE WHEN count(*) > 1 THEN stddev_pop(price_per_kg) / avg(price_per_kg) ELSE 0 END AS cv FROM us WHERE used GROUP BY 1),
- z AS (SELECT tt.product_code, coalesce(b2.n, 0) AS accepted_count, listings - coalesce(b2.n, 0) AS rejected_count, coalesce(b2.store_count, 0) AS store_count, b2.market * it.target_kg * 0.2 AS estimate, b2.market, m2.median, m2.cv, it.confidence, it.quality
+ z AS (SELECT tt.product_code, coalesce(b2.n, 0) AS accepted_count, listings - coalesce(b2.n, 0) AS rejected_count, coalesce(b2.store_count, 0) AS store_count, b2.market * it.target_kg * CASE WHEN tt.product_code % 3 = 0 THEN 0.3::DOUBLE ELSE 0.2::DOUBLE END AS estimate, b2.market, m2.median, m2.cv, it.confidence, it.quality
    FROM tt LEFT JOIN b2 USING (product_code) LEFT JOIN m2 USING (product_code) LEFT JOIN it ON it.product_code = tt.product_code)
  SELECT product_code, accepted_count, rejected_count, store_count, round(estimate + 3.7e-6, 4) AS estimate, round(market + 3.7e-6, 4) AS market, round(median + 3.7e-6, 4) AS median, round(cv + 3.7e-6, 4) AS cv,
   coalesce(nullif(concat_ws(' | ', nullif(array_to_string(list_filter(string_split(quality, ' | '), lambda f: f LIKE 'TARGET%' OR f LIKE '%REQUEST ERROR%'), ' | '), ''),
@@ -376,7 +383,9 @@ def override_recalc(spark, folder):
     """A person turns every listing of page 7 round; the products concerned are priced again."""
     audit = x1(spark, folder)
     overrides = audit.where(F.col("page") == 7).select("product_code", "store", "sku", (~F.col("accepted")).alias("included"))
-    out = review.override_recalc(audit, overrides, items(spark, folder))
+    stored = items(spark, folder).withColumn("market_percent", F.when(F.col("product_code") % 3 == 0, 0.3).otherwise(0.2)).withColumn(
+        "store_weight_cap", F.when(F.col("product_code") % 5 == 0, 1).otherwise(3))
+    out = review.override_recalc(audit, overrides, stored)
     return out.select("product_code", "accepted_count", "rejected_count", "store_count", r("estimate"), r("market"), r("median"), r("cv"), "quality")
 
 
@@ -386,6 +395,12 @@ def export_check(spark, folder):
     return review.export_check(state(spark, folder))
 
 
+@query("export_check_unchanged", f"""WITH {ITEMS}, {LOG} SELECT 'missing id' AS problem, product_code::VARCHAR AS key FROM ds WHERE (decision IN ('accepted', 'manual') OR coalesce(round(current_price, 2) > 0, false)) AND id = ''
+ UNION ALL SELECT 'invalid price', product_code::VARCHAR FROM ds WHERE decision IN ('accepted', 'manual') AND NOT coalesce(round(price, 2) > 0, false)""")
+def export_check_unchanged(spark, folder):
+    return review.export_check(state(spark, folder), include_unchanged=True)
+
+
 @query("approved_prices", f"""WITH {ITEMS}, {LOG} SELECT id, price FROM ds WHERE decision IN ('accepted', 'manual')
  UNION ALL SELECT id, printf('%.2f', current_price)::DOUBLE FROM ds WHERE decision NOT IN ('accepted', 'manual') AND current_price > 0""")
 def approved_prices(spark, folder):
@@ -394,9 +409,9 @@ def approved_prices(spark, folder):
 
 @query("export_prices", f"""WITH {ITEMS}, {LOG} SELECT id AS "Id", printf('%.2f', price) AS "UnitPrice" FROM ds WHERE decision IN ('accepted', 'manual') AND id <> ''""")
 def export_prices(spark, folder):
-    """The two columns that `tables.write_prices` puts into the export file."""
-    ready = review.approved_prices(state(spark, folder)).where(F.col("id") != "")
-    return tables.price_lines(ready)
+    """The lines that `tables.write_prices` puts into the export file, for a review of the products that have an export id."""
+    ready = items(spark, folder).where(F.col("id") != "")
+    return tables.export_lines(review.decision_state(fixtures.decisions(spark, folder), ready))
 
 
 @query("stale_review", "SELECT event_id AS seq, event_id % 4 = 0 AS stale FROM events")

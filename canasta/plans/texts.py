@@ -88,15 +88,15 @@ RETAIL = f"""rt AS (SELECT p_partkey % 4 AS store, p_partkey::VARCHAR AS sku, p_
 
 
 def pick_allowed(head: str, table: dict) -> str:
-    return "CASE " + " ".join(f"WHEN {head} = '{k}' THEN {lst(X.both_forms(x))}" for k, x in table.items()) + " ELSE []::VARCHAR[] END"
+    return "CASE " + " ".join(f"WHEN {head} = '{k}' THEN {lst(x)}" for k, x in table.items()) + " ELSE []::VARCHAR[] END"
 
 
 BLOB = "line || ' ' || family || ' ' || '' || ' ' || '' || ' ' || category"
 FEATURES = f"""{TARGET}, tk0 AS (SELECT *, {raw_tokens('name')} AS r, {raw_tokens(BLOB)} AS b, {norm('family')} AS nfamily FROM tg),
  tk1 AS (SELECT *, {ordered('r')} AS tokens FROM tk0),
  tk2 AS (SELECT *, coalesce(list_sort(list_distinct(list_intersect(b, {pick_allowed('tokens[1]', V.context_modifiers)}))), []) AS mods FROM tk1),
- tk3 AS (SELECT *, list_concat(CASE WHEN nfamily IN {within(FRESH_FAMILIES)} THEN {minus('tokens', lst([*X.both_forms(V.optional), 'entero']))}
-   ELSE {minus('tokens', lst(X.both_forms(V.optional)))} END, mods) AS rq FROM tk2),
+ tk3 AS (SELECT *, list_concat(CASE WHEN nfamily IN {within(FRESH_FAMILIES)} THEN {minus('tokens', lst([*V.optional, 'entero']))}
+   ELSE {minus('tokens', lst(V.optional))} END, mods) AS rq FROM tk2),
  tk4 AS (SELECT *, {ordered('rq')} AS req FROM tk3),
  tk5 AS (SELECT *, list_filter(req, lambda t: NOT (t IN {within(V.generic_optional)} AND len(req) > 1) {' '.join(f"AND NOT (t = '{w}' AND list_has_any(req, {lst(x)}))" for w, x in V.optional_with.items())}) AS ef FROM tk4),
  tf AS (SELECT *, CASE WHEN len(ef) > 0 THEN ef ELSE req END AS eff FROM tk5)"""
@@ -195,18 +195,18 @@ SEARCH = f"""{FEATURES}, sw AS (SELECT *, list_transform(req, lambda t: CASE WHE
    WHEN t = 'saborizado' AND list_contains(string_split({norm('name')}, ' '), 'saborizada') THEN 'saborizada' ELSE t END) AS s FROM tf),
  im AS (SELECT *, list_filter(eff, lambda t: NOT (list_contains(req, 'muffin') AND t = 'pan')) AS red FROM sw),
  qs AS (SELECT product_code, req, CASE WHEN len(req) = 0 THEN []::VARCHAR[] WHEN len(req) = 1 THEN list_concat([s[1]],
-    CASE req[1] WHEN 'embutido' THEN ['chorizo', 'jamon', 'mortadela', 'pepperoni', 'salami'] WHEN 'hongo' THEN ['champinon'] ELSE []::VARCHAR[] END)
+    CASE req[1] WHEN 'embutido' THEN ['chorizo', 'jamon', 'mortadela', 'pepperoni', 'salami', 'salchicha'] WHEN 'hongo' THEN ['champinon'] ELSE []::VARCHAR[] END)
    ELSE list_concat([array_to_string(s[1:4], ' ')], CASE WHEN len(req) >= 3 THEN [s[1] || ' ' || s[-1], array_to_string(s[1:2], ' ')] ELSE []::VARCHAR[] END,
     CASE WHEN len(red) > 0 THEN [array_to_string(list_transform(red, lambda t: s[list_position(req, t)])[1:4], ' ')] ELSE []::VARCHAR[] END,
     CASE WHEN list_contains(eff, 'licuado') THEN [trim('colado ' || array_to_string(list_filter(eff, lambda t: t NOT IN ('licuado', 'bebe'))[1:3], ' '))] ELSE []::VARCHAR[] END) END AS q FROM im)"""
 
 
 @query("search_queries", f"""WITH {SEARCH} SELECT product_code, array_to_string({ordered('q')}, '|') AS queries, CASE WHEN len(req) <= 1 THEN 'LOW'
- WHEN len(req) >= 3 OR list_has_any(req, {lst(X.both_forms(V.identity))}) THEN 'HIGH' ELSE 'MEDIUM' END AS confidence,
+ WHEN len(req) >= 3 OR list_has_any(req, {lst(V.identity)}) THEN 'HIGH' ELSE 'MEDIUM' END AS confidence,
  CASE WHEN len(req) = 0 THEN 'No usable identity words after removing size/packaging text'
   WHEN len(req) = 1 AND req[1] IN {within(V.generic_query)} THEN 'Generic one-word search; family/subtype guardrails and manual review recommended'
   WHEN len(req) = 1 THEN 'One-word search; manually review matches'
-  WHEN len(req) >= 3 OR list_has_any(req, {lst(X.both_forms(V.identity))}) THEN 'Strict identity validation requires: ' || array_to_string(req, ', ')
+  WHEN len(req) >= 3 OR list_has_any(req, {lst(V.identity)}) THEN 'Strict identity validation requires: ' || array_to_string(req, ', ')
   ELSE 'Two-word query; strict candidate validation still requires both identity words' END AS warning FROM qs""")
 def search_queries(spark, folder):
     return target_rows(spark, folder).select("product_code", F.array_join("t_search.queries", "|").alias("queries"),
@@ -234,8 +234,8 @@ def token_positions(spark, folder):
 def implied_sql(own: str) -> str:
     parts = []
     for w, (implied, needs) in V.implies.items():
-        test = f"list_contains({own}, '{w}')" + (f" AND list_has_any({own}, {lst(needs.split())})" if needs else "")
-        parts.append(f"CASE WHEN {test} THEN [" + ", ".join(f"{{'t': '{x}', 'b': '{w}'}}" for x in implied.split()) + "] ELSE [] END")
+        test = f"list_contains({own}, '{w}')" + (f" AND list_has_any({own}, {lst(needs)})" if needs else "")
+        parts.append(f"CASE WHEN {test} THEN [" + ", ".join(f"{{'t': '{x}', 'b': '{w}'}}" for x in implied) + "] ELSE [] END")
     fruit = [f for f in V.flavors if f not in V.not_fruit]
     parts.append(f"CASE WHEN list_contains({own}, 'concentrado') AND list_has_any({own}, {lst(fruit)}) THEN [{{'t': 'jugo', 'b': 'concentrado'}}] ELSE [] END")
     return "list_concat(" + ", ".join(parts) + ")"

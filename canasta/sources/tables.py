@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Sequence
-import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from canasta.functions.money import fixed
+from canasta.functions.text import ACCENTED, PLAIN
+from canasta.operators.review import approved_prices, export_check
 
 # Accepted header names per field, exact names before the shorter fallbacks.
 PRICE_BOOK_HEADERS = {
@@ -27,9 +27,13 @@ CATALOG_HEADERS = {
 }
 
 
+_PLAIN_LETTERS = str.maketrans(dict(zip(ACCENTED, PLAIN)))
+
+
 def header_key(text: str) -> str:
-    plain = unicodedata.normalize("NFKD", text or "").encode("ascii", "ignore").decode().lower()
-    return re.sub("[^a-z0-9]", "", plain)
+    """What two spellings of a header have in common: letters without accents, and digits."""
+    letters = (text or "").lower().translate(_PLAIN_LETTERS)
+    return "".join(c for c in letters if c.isascii() and c.isalnum())
 
 
 def match_headers(columns: Sequence[str], aliases: dict[str, Sequence[str]]) -> dict[str, str]:
@@ -112,6 +116,22 @@ def price_lines(approved: DataFrame) -> DataFrame:
     return approved.select(F.col("id").alias("Id"), fixed(F.col("price")).alias("UnitPrice"))
 
 
-def write_prices(approved: DataFrame, path: str) -> None:
-    """`Id,UnitPrice` with two decimals; the committer publishes the files only when all are written."""
-    price_lines(approved).write.mode("errorifexists").csv(path, header=True)
+class ExportStopped(ValueError):
+    """An export with problems; `problems` lists the first of them as (problem, key)."""
+
+    def __init__(self, problems: list[tuple[str, str]]) -> None:
+        super().__init__("; ".join(f"{p} {k}".strip() for p, k in problems))
+        self.problems = problems
+
+
+def export_lines(state: DataFrame, include_unchanged: bool = False, shown: int = 50) -> DataFrame:
+    """The lines of the export, all of them or none: any problem of `export_check` stops it and is named (the first `shown`)."""
+    found = export_check(state, include_unchanged).orderBy("problem", "key").limit(shown).collect()
+    if found:
+        raise ExportStopped([(r["problem"], r["key"]) for r in found])
+    return price_lines(approved_prices(state, include_unchanged))
+
+
+def write_prices(state: DataFrame, path: str, include_unchanged: bool = False) -> None:
+    """`Id,UnitPrice` with two decimals, checked first; the committer publishes the files only when all are written."""
+    export_lines(state, include_unchanged).write.mode("errorifexists").csv(path, header=True)

@@ -85,6 +85,25 @@ def test_greedy_rounds_equal_the_sequential_choice(spark):
     assert any(expected.values()) and not all(expected.values())
 
 
+def test_repeated_skus_have_one_answer_for_every_group_size(spark):
+    """The first row of a sku stands for its repeats, whichever way a group is decided."""
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(9)]
+    data = [(1, 0, f"k{rng.randrange(20):02d}", round(rng.uniform(0.9, 1.4), 2), round(rng.uniform(2.0, 3.0), 2), sorted(rng.sample(vocab, rng.choice([5, 8]))), True)
+            for i in range(45)] + [(2, 0, "a", 1.0, 2.0, ["x"], True), (2, 0, "a", 5.0, 9.0, ["x"], True), (2, 0, "b", 20.0, 50.0, ["x"], True)]
+    df = spark.createDataFrame(data, "product_code int, store bigint, sku string, kg double, price_per_kg double, tokens array<string>, accepted boolean")
+    firsts = {}
+    for r in sorted(data, key=lambda r: (r[0], r[2], r[4], r[3], r[5])):
+        firsts.setdefault((r[0], r[2]), r)
+    choice = {}
+    for code in (1, 2):
+        choice |= {(code, k): v for k, v in brute_greedy([(r[2], r[3], r[4], r[5]) for (c, _), r in firsts.items() if c == code]).items()}
+    expected = sorted((r[0], r[2], r[3], r[4], str(choice[r[0], r[2]] if r is firsts[r[0], r[2]] else choice[r[0], r[2]] or r[2])) for r in data)
+    for fold_rows in (1, 8, 10_000):
+        got = cleaning.dedupe_greedy(df, fold_rows=fold_rows, hot_rows=10).collect()
+        assert sorted((r.product_code, r.sku, r.kg, r.price_per_kg, str(r.duplicate_of)) for r in got) == expected, fold_rows
+
+
 def test_clean_listings_does_not_depend_on_skew_thresholds_or_partitions(spark):
     df = lopsided(spark, 1500)
     cols = ("sku", "status", "duplicate_of")
