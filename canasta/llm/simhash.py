@@ -7,6 +7,7 @@ meet in a point are at most as many as the ball has points (65 for h = 1), whate
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -15,30 +16,41 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from canasta.llm.batches import map_arrow, texts_of
+from canasta.llm.batches import map_arrow, release, texts_of
 from canasta.llm.graph import components
+from canasta.llm.words import mixed
 from canasta.operators.skew import cut
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 HASHES = 1 << 16     # shingle hashes whose bits are counted together
 
 
-def fingerprint(text: bytes, words_per_shingle: int = 3, seed: int = 42) -> int:
-    """64 bits; a bit is 1 if more than half of the shingles' XXH64 values have it. A text without words gives 0."""
-    words = text.translate(LOWER).split()      # bytes split at space and \x09-\x0d only
-    if not words:
-        return 0
+def shingle_hashes(words: list[bytes], size: int, seed: int) -> Iterator[np.ndarray]:
+    """XXH64 of the shingles of `size` words, in parts; fewer words make one shingle."""
     line = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     begins = np.concatenate([[0], ends[:-1] + 1])
-    k = min(words_per_shingle, len(words))
+    k = min(size, len(words))
     n = len(words) - k + 1
-    hashed, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    hashed = xxhash.xxh64_intdigest
     spans = list(zip(begins[:n].tolist(), ends[k - 1:].tolist()))
     for i in range(0, n, HASHES):
-        part = np.array([hashed(line[a:b], seed) for a, b in spans[i:i + HASHES]], "<u8")
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
+        yield np.array([hashed(line[a:b], seed) for a, b in spans[i:i + HASHES]], "<u8")
+
+
+def majority(parts: Iterable[np.ndarray], width: int) -> np.ndarray:
+    """Packed bits that more than half of the hashes have; parts are hash x 64-bit word."""
+    ones, n = np.zeros(64 * width, np.int64), 0
+    for part in parts:
+        ones += np.unpackbits(np.ascontiguousarray(part).view(np.uint8).reshape(len(part), 8 * width), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        n += len(part)
+    return np.packbits(ones * 2 > n, bitorder="little")
+
+
+def fingerprint(text: bytes, words_per_shingle: int = 3, seed: int = 42) -> int:
+    """64 bits; a bit is 1 if more than half of the shingles' XXH64 values have it. A text without words gives 0."""
+    words = text.translate(LOWER).split()      # bytes split at space and \x09-\x0d only
+    return int(majority(shingle_hashes(words, words_per_shingle, seed), 1).view("<u8")[0]) if words else 0
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -88,11 +100,68 @@ def digest(docs: DataFrame) -> DataFrame:
     return groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 2) -> DataFrame:
-    """`docs` without near-duplicates: of each group the row with the smallest key stays (of rows that repeat it, one). In a group
-    without any key, one row stays. All columns come back as they were."""
-    row = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    found = groups(row.select(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("_row").alias("row")).alias("_key"),
-                              F.col(text).alias("_text")), "_key", "_text", radius)
-    kept = found.where(F.col("_key") == F.col("component_id")).select(F.col("_key.row").alias("_row"))
-    return row.join(kept, "_row", "left_semi").drop("_row")
+WIDTH = 8                # 64-bit words of a long fingerprint
+BAND = 32                # bits of a band
+ROUND = 4                # bands that are shuffled together
+FAR = 70                 # of 512 bits; two texts that share four of five 5-word shingles differ in some 60 (standard deviation 7)
+
+
+def long_fingerprint(text: bytes, seed: int = 42) -> tuple[int, np.ndarray]:
+    """(hash of the word sequence, 512 bits as 16 bands) of the 3-word shingles; the further words of each hash are mixed from the first."""
+    words = text.translate(LOWER).split()
+    line = xxhash.xxh64_intdigest(b" ".join(words), seed)
+    turns = np.arange(WIDTH, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    bits = majority((mixed(h[:, None] ^ turns) for h in shingle_hashes(words, 3, seed)), WIDTH) if words else np.zeros(8 * WIDTH, np.uint8)
+    return line, bits.view("<i4")
+
+
+def near_links(prints: DataFrame, far: int = FAR) -> DataFrame:
+    """Links (a, b) between rows (id, bands) whose long fingerprints differ in at most `far` bits.
+
+    Texts that alike differ in two bits or less of some band (of 16, with a chance of a third or more each at the similarity of 0.8), and
+    bands meet as fingerprints do: each emits its variants within one bit, the variants are shuffled, a few bands at a time. In a
+    bucket every row is paired with the first one and the one before it, and every pair is verified on all bits.
+    """
+    masks = [0, *[1 << i for i in range(BAND)]]
+    found = None
+    bands = 64 * WIDTH // BAND
+    for first in range(0, bands, ROUND):
+        band = prints.select("id", F.posexplode(F.slice("bands", first + 1, ROUND)).alias("band", "value"))
+        base = F.col("value").cast("long").bitwiseAND(F.lit((1 << BAND) - 1))
+        points = band.select("id", "band", F.explode(F.array(*[base.bitwiseXOR(F.lit(m)) for m in masks])).alias("point"))
+        order = Window.partitionBy("band", "point").orderBy("id")
+        met = points.select("id", F.first("id").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("lead"), F.lag("id").over(order).alias("before"))
+        pairs = met.where(F.col("before").isNotNull()).select(F.explode(F.array("lead", "before")).alias("a"), F.col("id").alias("b")).distinct()
+        part = cut(pairs, "met")
+        release(prints.sparkSession)
+        found = part if found is None else found.unionByName(part)
+    left, right = (prints.select(F.col("id").alias(c), F.col("bands").alias(f"{c}_bands")) for c in "ab")
+    apart = F.aggregate(F.zip_with("a_bands", "b_bands", lambda x, y: F.bit_count(x.bitwiseXOR(y).cast("long").bitwiseAND(F.lit((1 << BAND) - 1)))), F.lit(0), lambda n, x: n + x)
+    return found.distinct().join(left, "a").join(right, "b").where(apart <= far).select("a", "b")
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", far: int = FAR) -> DataFrame:
+    """`docs` without near-duplicates, that is texts which share some four of five 5-word shingles or more: of each group the row with
+    the smallest key stays (of rows that repeat it, one; a null key comes last). Texts with the same words, upper and lower case A-Z alike,
+    are copies whatever their length; texts without words are copies of each other. All columns come back as they were.
+    """
+    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "rows", "zstd")
+    source = rows.select("_row", F.col(key), F.col(text))
+
+    def run(batches):
+        for batch in batches:
+            made = [long_fingerprint(t) for t in texts_of(batch.column(2))]
+            lines = np.array([m[0] for m in made], np.uint64).view(np.int64)
+            flat = np.concatenate([m[1] for m in made]) if made else np.empty(0, np.int32)
+            lists = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, 64 * WIDTH // BAND, dtype=np.int32), pa.array(flat, pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lines), lists], ["_row", "key", "line", "bands"])
+
+    kind = source.schema[key].dataType.simpleString()
+    prints = cut(map_arrow(source, run, f"_row long, key {kind}, line long, bands array<int>"), "prints")
+    place = F.struct(F.col("key").isNull().alias("none"), "key", "_row")
+    texts = cut(prints.groupBy("line", "bands").agg(F.min(place).alias("first")).withColumn("id", F.col("first._row")), "texts")
+    worded = texts.where(F.exists("bands", lambda x: x != 0))
+    roots = components(cut(near_links(worded.select("id", "bands"), far), "near")).select(F.col("node").alias("id"), "root")
+    kept = (texts.join(roots, "id", "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("first").alias("first"))
+            .select(F.col("first._row").alias("_row")))
+    return rows.join(kept, "_row", "left_semi").drop("_row")

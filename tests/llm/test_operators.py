@@ -143,6 +143,15 @@ def test_simhash_keeps_one_row_of_each_group(spark):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [2, 5, 7]
+    r = random.Random(9)
+    long = [[f"w{r.randrange(900)}" for _ in range(150)] for _ in range(40)]
+    near = [list(t) for t in long]
+    for t in near:
+        t[r.randrange(150)] = "changed"
+    half = [t[:75] + [f"v{r.randrange(900)}" for _ in range(75)] for t in long]
+    texts = [" ".join(t) for t in long + near + half] + [" ".join(long[0]).upper()]
+    found = {x.doc_id for x in simhash.keep_one(documents(spark, texts)).collect()}
+    assert set(range(40)) | set(range(80, 120)) == found - set(range(40, 80)) and len(found & set(range(40, 80))) <= 1
     only = documents(spark, ["a b c", "a b c"], ids=[None, None])
     assert simhash.keep_one(only).count() == 1
     assert simhash.keep_one(docs.limit(0)).count() == 0
