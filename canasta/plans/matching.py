@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from canasta.operators import candidates, identity
 from canasta.operators.skew import cut, spread
-from canasta.plans.numeric import near
+from canasta.plans.numeric import BALANCED, BAND, CLUSTER, MEMBERS, SPREAD, STATS, greedy, near, outliers
 from canasta.plans.registry import query
-from canasta.plans.texts import FEATURES, LISTING, canon, lst, minus, norm, unparen, within
+from canasta.plans.texts import FEATURES, LISTING, RETAIL, SEARCH, TARGET, TITLE_LIST, at, canon, lst, minus, norm, ordered, raw_tokens, unparen, within
 from canasta.sources import fixtures
 from canasta.vocabulary import ALCOHOL_EXCUSED, ALCOHOL_FREE, BAKERY_FAMILIES, FRESH_FAMILIES, RAW_MEAT_LINES
 from canasta.vocabulary import SPANISH as V
@@ -214,9 +214,49 @@ def candidate_join(spark, folder):
     return candidates.candidate_join(targets, titles).select("product_code", "store", "sku", "query_rank")
 
 
-@query("price_run")
+# -- the whole run: the series fixture's names and titles, joined by brute force, cleaned and priced ------------------
+
+SERIES_TARGET = f"""tg AS (SELECT p_partkey AS product_code, p_partkey // 60 AS grp, {at(lst([t[0] for t in fixtures.TARGETS[:6]]), 'p_partkey // 60')} || ' serie' || (p_partkey // 60) || ' ' || (p_size * 20) || 'g' AS name,
+ CASE WHEN p_partkey % 4 <> 0 THEN p_size / 40.0 END AS weight_kg, '' AS line, '' AS family, 'Alimento' AS category, p_size * 20 AS p_size, 0 AS sz FROM part)"""
+SERIES_TITLE = f"""CASE WHEN p_partkey % 5 = 0 THEN {at(TITLE_LIST, 'p_partkey')} ELSE {at(lst([t[0] for t in fixtures.TARGETS[:6]]), 'p_partkey // 60')} || ' ' || {at(lst(['Estrella', 'Bonlac', 'Dos Pinos', 'Super']), 'p_partkey')} END"""
+SERIES_RETAIL = f"""rt AS (SELECT p_partkey % 4 AS store, p_partkey::VARCHAR AS sku, p_partkey // 60 AS grp, {SERIES_TITLE} || ' serie' || (p_partkey // 60) || ' ' || (p_size * 20) || 'g' AS title,
+ p_retailprice / 400 * (p_size + 10) / 30 AS regular_price, NULL::DOUBLE AS final_price, 2 AS att, 0 AS sz, p_size * 20 AS p_size FROM part)"""
+SERIES_HITS = f"""qw0 AS (SELECT DISTINCT unnest({ordered('q')}) AS query FROM qs), qw1 AS (SELECT query, {raw_tokens('query')} AS qr FROM qw0), qw AS (SELECT query, {ordered('qr')} AS words FROM qw1),
+ ht AS (SELECT query, store, sku FROM qw JOIN lh ON len(words) > 0 AND list_has_all(toks, words)),
+ cj AS (SELECT DISTINCT product_code, store, sku FROM (SELECT product_code, unnest({ordered('q')}) AS query FROM qs) JOIN ht USING (query)),"""
+SERIES = (SEARCH.replace(TARGET, SERIES_TARGET) + APPLIED[len(FEATURES):].replace(RETAIL, SERIES_RETAIL).replace(" pr0 AS (", f" {SERIES_HITS} pr0 AS (")
+          .replace("FROM th JOIN lh USING (grp)", "FROM cj JOIN th ON cj.product_code = th.product_code JOIN lh ON cj.store = lh.store AND cj.sku = lh.sku"))
+ALIKE = """((list_sort(k.toks) = list_sort(r.own_words) AND round(k.kg, 3) = round(r.kg, 3))
+ OR len(list_intersect(k.toks, r.own_words)) / len(list_distinct(list_concat(k.toks, r.own_words))) >= 0.8::DOUBLE)"""
+NAMED_GREEDY = (greedy("sz", "size_kept").replace("u DOUBLE)[]", "u DOUBLE, toks VARCHAR[])[]").replace("'u': u}", "'u': u, 'toks': own_words}")
+                .replace("r.price_per_kg AS u,", "r.price_per_kg AS u, r.own_words,").replace("<= 0.15::DOUBLE))[1]", f"<= 0.15::DOUBLE AND {ALIKE}))[1]"))
+RUN = f"""WITH RECURSIVE {SERIES}, x AS (SELECT product_code, store, sku, list_distinct(ord) AS own_words, kg, chosen AS price, verdict IS NULL AS accepted, false AS size_neutral,
+  coalesce(split_part(verdict, '|', 1), 'OK') AS rule, CASE WHEN identified THEN chosen / kg END AS price_per_kg, CASE WHEN identified THEN unit / wanted END AS size_ratio FROM ap),
+ {BAND}, {CLUSTER}, {MEMBERS}, {NAMED_GREEDY}, u1 AS (SELECT *, size_kept AND duplicate_of IS NULL AS uq FROM d), {outliers('u1', 'uq')},
+ c AS (SELECT *, CASE WHEN NOT accepted THEN 'REJECTED' WHEN NOT size_kept THEN 'SIZE' WHEN duplicate_of IS NOT NULL THEN 'DUPLICATE'
+  WHEN off_band OR off_mad THEN 'OUTLIER' ELSE 'ACCEPTED' END AS status FROM o)"""
+PRICED = f"""{RUN}, {STATS}, {BALANCED}, {SPREAD}, ct AS (SELECT product_code, count(*) FILTER (status <> 'REJECTED') AS raw_accepted, count(*) FILTER (status = 'SIZE') AS size_removed,
+  count(*) FILTER (status = 'DUPLICATE') AS duplicates, count(*) FILTER (status = 'OUTLIER') AS outliers, count(*) FILTER (status = 'ACCEPTED') AS n, count(*) FILTER (status <> 'ACCEPTED') AS rejected FROM c GROUP BY 1)
+ SELECT tg.product_code, tg.name, coalesce(ct.raw_accepted, 0) AS raw_accepted, coalesce(ct.size_removed, 0) AS size_removed, coalesce(ct.duplicates, 0) AS duplicates, coalesce(ct.outliers, 0) AS outliers,
+  coalesce(ct.n, 0) AS n, coalesce(ct.rejected, 0) AS rejected, coalesce(ba.store_count, 0) AS store_count, round(p_size / 1000.0 + 3.7e-6, 4)::DOUBLE AS target_kg, round(ba.average + 3.7e-6, 4) AS average,
+  round(sp.median + 3.7e-6, 4) AS median, round(ba.economy + 3.7e-6, 4) AS economy, round(ba.economy * (p_size / 1000.0) * 0.2 + 3.7e-6, 4)::DOUBLE AS estimate, round(sp.min + 3.7e-6, 4) AS min, round(sp.max + 3.7e-6, 4) AS max,
+  round(sp.cv + 3.7e-6, 4) AS cv FROM tg LEFT JOIN ct USING (product_code) LEFT JOIN ba USING (product_code) LEFT JOIN sp USING (product_code)""".replace("FROM x WHERE accepted", "FROM c WHERE status = 'ACCEPTED'")
+
+
+def whole_run(spark, folder):
+    from canasta.plans.price_run import price_run as run
+    return run(*fixtures.series_catalog(spark, folder), stores=[0, 1, 2, 3])
+
+
+@query("price_run", PRICED)
 def price_run(spark, folder):
     """Names and titles to one estimate per product, every step of the library in one run."""
-    from canasta.plans.price_run import price_run as run
-    summary, _ = run(*fixtures.series_catalog(spark, folder), stores=[0, 1, 2, 3])
-    return summary
+    summary, _ = whole_run(spark, folder)
+    exact = ["product_code", "name", "raw_accepted", "size_removed", "duplicates", "outliers", "n", "rejected", "store_count"]
+    return summary.select(*exact, *[near(c).alias(c) for c in ("target_kg", "average", "median", "economy", "estimate", "min", "max", "cv")])
+
+
+@query("price_run_audit", f"{RUN} SELECT product_code, store, sku, status, CASE WHEN status IN ('REJECTED', 'ACCEPTED') THEN rule ELSE status END AS reason_code, duplicate_of FROM c")
+def price_run_audit(spark, folder):
+    """Every candidate of the whole run with its end and the reason's code."""
+    return whole_run(spark, folder)[1].select("product_code", "store", "sku", "status", "reason_code", "duplicate_of")
