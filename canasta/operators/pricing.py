@@ -110,14 +110,17 @@ def parse_store_counts(df: DataFrame, text: str = "store_averages") -> DataFrame
             .select(*PRODUCT, F.trim("e.s").alias("store"), F.col("e.n").cast("long").alias("n")))
 
 
-def estimates(clean: DataFrame, settings: PriceSettings = PriceSettings(), balanced: bool = True, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Market price of each product in the store-balanced or pooled mode, with its spread."""
+def market_levels(clean: DataFrame, settings: PriceSettings = PriceSettings(), balanced: bool = True, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Market price of each product in the store-balanced or pooled mode: average, economy, market, store_count."""
     if balanced:
-        level = store_balanced(store_stats(clean, settings, hot_rows), settings).drop("n")
-    else:
-        stores = clean.where("price_per_kg is not null").groupBy(*PRODUCT_STORE).count().groupBy(*PRODUCT).agg(F.count(F.lit(1)).alias("store_count"))
-        level = all_candidates(clean, settings, hot_rows).drop("n").join(stores, PRODUCT)
-    return level.join(spread_stats(clean, hot_rows), PRODUCT)
+        return store_balanced(store_stats(clean, settings, hot_rows), settings).drop("n")
+    stores = clean.where("price_per_kg is not null").groupBy(*PRODUCT_STORE).count().groupBy(*PRODUCT).agg(F.count(F.lit(1)).alias("store_count"))
+    return all_candidates(clean, settings, hot_rows).drop("n").join(stores, PRODUCT)
+
+
+def estimates(clean: DataFrame, settings: PriceSettings = PriceSettings(), balanced: bool = True, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """`market_levels` with the spread of the prices."""
+    return market_levels(clean, settings, balanced, hot_rows).join(spread_stats(clean, hot_rows), PRODUCT)
 
 
 def manual_average(df: DataFrame, keys: list[str], text: str = "typed") -> DataFrame:

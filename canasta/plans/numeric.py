@@ -272,10 +272,10 @@ def spread_ratio(spark, folder):
     return pricing.spread_stats(clean_x1(spark, folder)).select("product_code", r("spread"))
 
 
-def _priced(spark, folder):
+def _priced(spark, folder, price=pricing.market_levels):
     """Estimates of the accepted X1 listings with each product's target weight."""
     kg = fixtures.read(spark, folder, "part").select(F.col("p_partkey").alias("product_code"), F.col("p_size").cast("double").alias("target_kg"))
-    return pricing.estimates(clean_x1(spark, folder)).join(kg, "product_code")
+    return price(clean_x1(spark, folder)).join(kg, "product_code")
 
 
 @query("estimate_price", f"""WITH {X1}, {STATS}, {BALANCED} SELECT product_code, round(ba.economy + 3.7e-6, 4) AS market, p_size::DOUBLE AS target_kg,
@@ -289,7 +289,7 @@ def estimate_price(spark, folder):
  FROM sp JOIN part ON p_partkey = product_code""")
 def min_max_estimate(spark, folder):
     both = pricing.min_max_estimate(F.col("min"), F.col("max"), F.col("target_kg"))
-    return _priced(spark, folder).select("product_code", both.alias("e")).select(
+    return _priced(spark, folder, pricing.spread_stats).select("product_code", both.alias("e")).select(
         "product_code", near("e.low").alias("low"), near("e.high").alias("high"))
 
 

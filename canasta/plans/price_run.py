@@ -25,7 +25,8 @@ def match(targets: DataFrame, listings: DataFrame, settings: PriceSettings = Pri
     two equi-joins; products with very many candidates are salted.
     """
     t = cut(identity.target_features(spread(targets), v), "targets")
-    found_in = cut(identity.listing_features(spread(listings), v), "listings")
+    once = candidates.first_listing(listings, ("store", "sku"), ("title", "regular_price", "final_price", "price"))
+    found_in = cut(identity.listing_features(once, v), "listings")
     found = cut(candidates.candidate_join(t, found_in, hot_rows), "found")
     pairs = grid_join(found, found_in, ["store", "sku"], hot_rows)
     sizes = found.groupBy(*PRODUCT).agg(F.count(F.lit(1)).alias("_n"))
@@ -38,7 +39,8 @@ def match(targets: DataFrame, listings: DataFrame, settings: PriceSettings = Pri
 def price_run(targets: DataFrame, listings: DataFrame, stores: list, settings: PriceSettings = PriceSettings(), v: Vocabulary = SPANISH,
               balanced: bool = True, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
     """(summary, audit). `targets`: product_code, name, weight_kg, context. `listings`: store, sku, title, attrs, regular_price,
-    final_price, price, price_basis; (store, sku) is unique. Every candidate stays in the audit with a status and a reason.
+    final_price, price, price_basis; of rows that repeat (store, sku) the first by title and prices counts, and
+    rows without a sku are left out. Every candidate stays in the audit with a status and a reason.
     """
     s = settings
     t, judged = match(targets, listings, s, v, hot_rows)
