@@ -20,9 +20,11 @@ QUERIES["op1_embedding_near_dedup"] = table("embeddings", vectors.digest)
 ORACLE["op1_embedding_near_dedup"] = vectors.SQL
 QUERIES["op2_packing"] = table("documents", packing.digest)
 QUERIES["op3_secret_scan"] = table("documents", secrets.digest)
+ORACLE["op3_secret_scan"] = secrets.SQL
 QUERIES["op4_source_mixing"] = table("documents", mixing.digest)
 QUERIES["op5_simhash_near_dedup"] = table("documents", simhash.digest)
 QUERIES["op6_substring_dedup"] = table("documents", substring.digest)
+ORACLE["op6_substring_dedup"] = substring.SQL
 QUERIES["op7_exact_topk"] = table("embeddings", topk.digest)
 ORACLE["op7_exact_topk"] = topk.SQL
 QUERIES["op8_quality_cotraining"] = lambda spark, folder: quality.classify(

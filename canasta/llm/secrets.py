@@ -389,3 +389,25 @@ def digest(docs: DataFrame) -> DataFrame:
     base = [r.kind for r in RULES]
     return found.select("doc_id", *[F.size(of([k])).cast("long").alias(f"n_{k}") for k in base],
                         F.sha2(written(of(base)).cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
+def _either_case(words: Sequence[str]) -> str:
+    return "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in words)
+
+
+_WORDS = _either_case(["password", "passwd", "secret", "token"]) + "|" + _either_case(["api"]) + "_?" + _either_case(["key"])
+_PATTERNS = {"assign": rf"(?:{_WORDS})[\"'']?\x20*[:=]\x20*[\"'']?([A-Za-z0-9+/_.=-]+)", "access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]+"}
+_KEPT = {"assign": f"length(regexp_extract(p, '{_PATTERNS['assign']}', 1)) >= 6", "access": "length(p) >= 20", "hex": "length(p) >= 24"}
+_PIECES = " UNION ALL ".join(
+    f"SELECT doc_id, '{kind}' AS kind, {i} AS place, unnest(ps) AS p, generate_subscripts(ps, 1) AS k FROM "
+    f"(SELECT doc_id, regexp_extract_all(t, '(?s)(?:{pattern}|.)') AS ps FROM d WHERE regexp_matches(t, '{pattern}'))"
+    for i, (kind, pattern) in enumerate(_PATTERNS.items()))
+SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+pieces AS (SELECT *, sum(length(p)) OVER (PARTITION BY doc_id, kind ORDER BY k) AS e FROM ({_PIECES})),
+spans AS (SELECT doc_id, kind, place, CAST(e - length(p) AS BIGINT) AS b, CAST(e AS BIGINT) AS e FROM pieces
+          WHERE {' OR '.join(f"(kind = '{k}' AND length(p) > 1 AND {v})" for k, v in _KEPT.items())}),
+found AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS c, count(*) FILTER (kind = 'hex') AS h,
+          string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, place) AS s FROM spans GROUP BY 1)
+SELECT d.doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(s, '')) AS base_sha256, coalesce(s, '') AS spans
+FROM d LEFT JOIN found USING (doc_id)"""

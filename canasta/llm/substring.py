@@ -324,3 +324,15 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and the kept words' digest for every row."""
     return remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+SQL = rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(ws[i:i + {WINDOW - 1}], ' ') AS words
+            FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {WINDOW - 2})) AS i FROM w WHERE len(ws) >= {WINDOW})),
+first AS (SELECT words, min(doc_id) AS least FROM windows GROUP BY words),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + {WINDOW})) AS k FROM windows JOIN first USING (words) WHERE least < doc_id),
+placed AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS k FROM w),
+kept AS (SELECT placed.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY placed.k) AS text FROM placed ANTI JOIN gone USING (doc_id, k) GROUP BY 1)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(kept.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)"""
