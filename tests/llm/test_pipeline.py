@@ -11,7 +11,7 @@ from canasta.llm import mixing, secrets
 def odd_rows(spark, docs):
     rows = [(None, None, None, None, None), (7, None, "en", "src0", 0), (8, "", None, None, 0), (9, "123 !!", "xx", "src1", 6), (9, "123 !!", "xx", "src1", 6),
             (10, "the word of the day is here " * 3000, "en", None, 84000), (None, "le mot du jour est dans la phrase", "fr", "src2", 33),
-            (11, 'a note says password = "hunter2hunter2" and the key 0123456789abcdef0123456789abcdef', "en", "src1", 85)]
+            (900011, 'a note says password = "hunter2hunter2" and the key 0123456789abcdef0123456789abcdef', "en", "src1", 85)]
     return spark.createDataFrame(rows, docs.schema)
 
 
@@ -39,7 +39,7 @@ def test_stages_follow_each_other(spark, folder):
     assert len(clean) == len(single) and all(r.n_chars == len(r.text) for r in clean)
     machine = secrets.compile_rules(secrets.RULES)
     assert not list(secrets.scan_texts(machine, [r.text.encode() for r in clean]))
-    assert [r.text for r in clean if r.doc_id == 11] == ['a note says [assign]" and the key [hex]']
+    assert [r.text for r in clean if r.doc_id == 900011] == ['a note says [assign]" and the key [hex]']
     size = lambda rows: sum(len(words(r.text)) for r in rows)
     assert size(mixed) == pytest.approx(1.5 * size(clean), rel=0.05)
     assert max((mixed.count(r) for r in mixed[:50]), default=0) <= mixing.USES
