@@ -25,7 +25,7 @@ from canasta.llm.batches import map_arrow
 from canasta.llm.tokens import encoder
 
 CAPACITY = 1024
-WINDOWS = 128        # of a block, about
+WINDOWS = 96         # of a block, about
 ITEM = 256           # longest item; a document's rest has at most CAPACITY / ITEM of them
 
 

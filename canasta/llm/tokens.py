@@ -1,7 +1,7 @@
 """Token ids of whole texts with a byte-level BPE tokenizer file, fast on repeated words.
 
 In a byte-level BPE of this kind a blank after a character that is no white space always begins a new piece, and so does the last
-blank of a run of white space before a word. A text is therefore cut at its blanks, and every different chunk is encoded once by the
+blank of a run of white space before a word. A text is therefore cut at its blanks, and every different word is encoded once by the
 tokenizer and remembered (a bounded memory). A text with a blank between other white space is encoded as a whole.
 """
 
@@ -12,7 +12,7 @@ import re
 
 import numpy as np
 
-REMEMBERED = 500_000                         # chunks, some 120 MB; the memory is emptied beyond that
+REMEMBERED = 500_000                         # words, some 120 MB; beyond that the older half goes
 _INNER_BLANK = re.compile(r"\s (?:\s|\Z)")
 
 
@@ -25,7 +25,9 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.blank = np.zeros(max(vocabulary.values()) + 1, bool)
         self.blank[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True    # tokens that begin with a blank
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}                # words of late, and those before them
+        self.older: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}                # first words of texts
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -45,19 +47,31 @@ class Encoder:
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if "\0" in text or _INNER_BLANK.search(text):
+        if _INNER_BLANK.search(text):
             return self.whole([text])[0]
-        chunks = text.replace(" ", "\0 ").split("\0")
-        found = list(map(self.known.get, chunks))
+        head, *words = text.split(" ")                   # each word stands for itself with the blank before it
+        found = list(map(self.known.get, words))
         if None in found:
             missing = [i for i, x in enumerate(found) if x is None]
-            new = list(dict.fromkeys(chunks[i] for i in missing))
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known.clear()
-            self.known.update(zip(new, self._chunks(new)))
+            new = []
+            for w in dict.fromkeys(words[i] for i in missing):
+                x = self.older.get(w)
+                if x is None:
+                    new.append(w)
+                else:
+                    self.known[w] = x
+            if new:
+                self.known.update(zip(new, self._chunks([" " + w for w in new])))
             for i in missing:
-                found[i] = self.known[chunks[i]]
-        return b"".join(found)
+                found[i] = self.known[words[i]]
+            if len(self.known) > REMEMBERED // 2:
+                self.older, self.known = self.known, {}
+        first = self.heads.get(head)
+        if first is None:
+            if len(self.heads) > REMEMBERED // 10:
+                self.heads.clear()
+            first = self.heads[head] = self.whole([head])[0]
+        return first + b"".join(found)
 
 
 _ENCODERS: dict[str, Encoder] = {}
