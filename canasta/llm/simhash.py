@@ -16,9 +16,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from canasta.llm.batches import map_arrow, release, texts_of
+from canasta.llm.batches import groups as groups_of, map_arrow, release, texts_of
 from canasta.llm.graph import components
-from canasta.llm.words import mixed
+from canasta.llm.words import Words, grams
 from canasta.operators.skew import cut
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -100,68 +100,207 @@ def digest(docs: DataFrame) -> DataFrame:
     return groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-WIDTH = 8                # 64-bit words of a long fingerprint
-BAND = 32                # bits of a band
-ROUND = 4                # bands that are shuffled together
-FAR = 70                 # of 512 bits; two texts that share four of five 5-word shingles differ in some 60 (standard deviation 7)
+SHINGLE = 5              # words
+SHARE = 4, 5             # two texts are near copies if they share 4/5 of the shingles that either has
+TOGETHER = 1 << 18       # bytes of text whose words are hashed together
+SAMPLE = 5_000           # rows whose shingles tell which are common
+COMMON, MOST = 4, 500_000    # rows of the sample with a common shingle, and shingles the driver takes; both decide the order only
+FEW = 32                 # rows of a bucket whose pairs are listed
+BLOCK = 2048             # rows of a block of a larger bucket
 
 
-def long_fingerprint(text: bytes, seed: int = 42) -> tuple[int, np.ndarray]:
-    """(hash of the word sequence, 512 bits as 16 bands) of the 3-word shingles; the further words of each hash are mixed from the first."""
-    words = text.translate(LOWER).split()
-    line = xxhash.xxh64_intdigest(b" ".join(words), seed)
-    turns = np.arange(WIDTH, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    bits = majority((mixed(h[:, None] ^ turns) for h in shingle_hashes(words, 3, seed)), WIDTH) if words else np.zeros(8 * WIDTH, np.uint8)
-    return line, bits.view("<i4")
+def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the 5-word shingles of each text; fewer words make one shingle, none an empty set."""
+    out = []
+    for i, j in groups_of([len(t) for t in texts], TOGETHER):
+        words = Words([t.translate(LOWER) for t in texts[i:j]])
+        parts = [words.hash[a:b] for a, b in zip(words.first[:-1], words.first[1:])]
+        out += [np.unique(grams(h, min(SHINGLE, len(h)))) if len(h) else h for h in parts]
+    return out
 
 
-def near_links(prints: DataFrame, far: int = FAR) -> DataFrame:
-    """Links (a, b) between rows (id, bands) whose long fingerprints differ in at most `far` bits.
+def prefix(shingles: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, rare before common ones, of which a set that shares 4/5 with it has at least one in its own prefix."""
+    n = len(shingles)
+    if not n:
+        return shingles
+    late = np.zeros(n, np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+        late = np.where(common[at] == shingles, rank[at] + 1, 0)
+    return shingles[np.lexsort((shingles, late))][:n - -(-SHARE[0] * n // SHARE[1]) + 1]
 
-    Texts that alike differ in two bits or less of some band (of 16, with a chance of a third or more each at the similarity of 0.8), and
-    bands meet as fingerprints do: each emits its variants within one bit, the variants are shuffled, a few bands at a time. In a
-    bucket every row is paired with the first one and the one before it, and every pair is verified on all bits.
+
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    flat = np.concatenate([*parts, np.empty(0, np.uint64)]).view(np.int64)
+    return pa.ListArray.from_arrays(np.cumsum([0, *map(len, parts)]).astype(np.int32), pa.array(flat))
+
+
+def _sets(rows: DataFrame, text: str) -> DataFrame:
+    """(id, s): the shingles of each row."""
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(shingle_sets(texts_of(batch.column(1))))], ["id", "s"])
+
+    return map_arrow(rows.select(F.col("_row").alias("id"), F.col(text)), run, "id long, s array<long>")
+
+
+def _common(rows: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Common shingles in order of hash and their rank by frequency, from a sample of distinct texts that depends on the texts only."""
+    step = max(1, rows.count() // SAMPLE)
+    some = rows.where(F.pmod(F.xxhash64(text), F.lit(step)) == 0).groupBy(F.xxhash64(text), F.xxhash64(F.lit(1), text)).agg(F.min("_row").alias("_row"))
+    sets = _sets(rows.join(F.broadcast(some.select("_row")), "_row", "left_semi"), text)
+    found = (sets.select(F.explode("s").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
+             .orderBy(F.desc("n"), "s").limit(MOST).toArrow())
+    common = found.column("s").to_numpy().view(np.uint64)
+    order = np.argsort(common)
+    return common[order], order
+
+
+def _fits(n, m, i, j):
+    """May sets of n and m shingles be near copies if the first one they share is at places i and j of theirs?"""
+    a, b = SHARE
+    rest = F.least(n - i, m - j) if not isinstance(n, (int, np.integer)) else np.minimum(n - i, m - j)
+    return rest * (a + b) >= (n + m) * a
+
+
+def _alike(pairs: DataFrame, rows: DataFrame, text: str) -> DataFrame:
+    """The pairs (a, b) that share 4/5 of their shingles."""
+    pairs = cut(pairs.distinct(), "pairs")
+    ids = pairs.select(F.col("a").alias("_row")).union(pairs.select("b")).distinct()
+    sets = cut(_sets(rows.join(ids, "_row", "left_semi"), text), "sets")
+    release(rows.sparkSession)
+    both = pairs.join(sets.toDF("a", "s"), "a").join(sets.toDF("b", "t"), "b")
+    a, b = SHARE
+    return both.where(F.size(F.array_intersect("s", "t")) * (a + b) >= (F.size("s") + F.size("t")) * a).select("a", "b")
+
+
+def _cell(ids: np.ndarray, comp: np.ndarray, side: np.ndarray, n: np.ndarray, pos: np.ndarray, flat: np.ndarray, across: bool) -> list[tuple[int, int]]:
+    """Links between rows of a cell that connect what all its pairs connect; `across`: only pairs from different blocks."""
+    flat = np.unique(flat, return_inverse=True)[1]
+    ends = np.cumsum(n)
+    starts, root, links = ends - n, comp.copy(), []
+    mark = np.zeros(int(flat.max()) + 1, np.int64)
+    for i in range(len(ids) - 1):
+        j = np.flatnonzero((root != root[i]) & ((side != side[i]) if across else True) & (np.arange(len(ids)) > i) & _fits(n[i], n, pos[i], pos))
+        if not len(j):
+            continue
+        own = flat[starts[i]:ends[i]]
+        mark[own] = 1
+        if len(j) * 4 < len(ids):
+            shared = np.array([mark[flat[starts[k]:ends[k]]].sum() for k in j])
+        else:
+            shared = np.add.reduceat(mark[flat], starts)[j]
+        mark[own] = 0
+        for k in j[shared * sum(SHARE) >= (n[i] + n[j]) * SHARE[0]]:
+            if root[k] != root[i]:
+                root[root == root[k]] = root[i]
+                links.append((int(ids[i]), int(ids[k])))
+    return links
+
+
+CELL = ["token", "i", "j"]
+
+
+def _grid(rest: DataFrame, rows: DataFrame, text: str, block: int) -> DataFrame:
+    """Links between rows (token, id, n, pos, comp, c) of large buckets: blocks of a bucket become a grid of cells, compared in parallel."""
+    sets = cut(_sets(rows.join(rest.select(F.col("id").alias("_row")).distinct(), "_row", "left_semi"), text), "sets")
+    parts = F.ceil(F.col("c") / block).cast("int")
+    met = rest.withColumn("parts", parts).withColumn("side", F.pmod(F.xxhash64("id", "token"), F.col("parts").cast("long")).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = met.select("token", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "id", "comp", "side", "n", "pos").join(sets, "id")
+    met = met.select(*CELL, "id", "comp", "side", "n", "pos", "s").repartition(*CELL).sortWithinPartitions(*CELL, "id")
+
+    def links(group: pa.Table) -> list[tuple[int, int]]:
+        column = lambda c: group.column(c).to_numpy()
+        n, flat = column("n").astype(np.int64), group.column("s").combine_chunks().flatten().to_numpy()
+        return _cell(column("id"), column("comp"), column("side"), n, column("pos").astype(np.int64), flat,
+                     group.column("i")[0].as_py() != group.column("j")[0].as_py())
+
+    def compared(batches):
+        rest = None
+        for batch in batches:
+            data = pa.Table.from_batches([batch])
+            data = data if rest is None else pa.concat_tables([rest, data])
+            if not data.num_rows:
+                continue
+            out, rest = split(data)
+            yield out
+        if rest is not None:
+            found = links(rest) if rest.num_rows > 1 else []
+            yield batch_of(found)
+
+    def batch_of(found):
+        return pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in (0, 1)], ["a", "b"])
+
+    def split(data: pa.Table):
+        new = np.zeros(data.num_rows, bool)
+        for c in CELL:
+            k = data.column(c).to_numpy()
+            new[1:] |= k[1:] != k[:-1]
+        begins = np.concatenate([[0], np.flatnonzero(new)])
+        found = [x for a, b in zip(begins[:-1], begins[1:]) if b - a > 1 for x in links(data.slice(a, b - a))]
+        return batch_of(found), data.slice(begins[-1])
+
+    return map_arrow(met, compared, "a long, b long")
+
+
+def near_links(entries: DataFrame, rows: DataFrame, text: str = "text", few: int = FEW, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) that connect the same groups as all pairs of near copies do; every link is verified on all shingles.
+
+    `entries` (id, n, pos, token) are the prefixes of the sets of n shingles, `rows` (_row, text) has the texts. Near copies share a token.
+    The rows of a bucket, that is of a token, are compared with the one that has it earliest in its prefix (an original has no rare
+    shingles of its own, its copies have). Pairs that this connects need no further look; all others of the bucket are compared,
+    listed where it is small, by a grid of blocks where it is large.
     """
-    masks = [0, *[1 << i for i in range(BAND)]]
-    found = None
-    bands = 64 * WIDTH // BAND
-    for first in range(0, bands, ROUND):
-        band = prints.select("id", F.posexplode(F.slice("bands", first + 1, ROUND)).alias("band", "value"))
-        base = F.col("value").cast("long").bitwiseAND(F.lit((1 << BAND) - 1))
-        points = band.select("id", "band", F.explode(F.array(*[base.bitwiseXOR(F.lit(m)) for m in masks])).alias("point"))
-        order = Window.partitionBy("band", "point").orderBy("id")
-        met = points.select("id", F.first("id").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("lead"), F.lag("id").over(order).alias("before"))
-        pairs = met.where(F.col("before").isNotNull()).select(F.explode(F.array("lead", "before")).alias("a"), F.col("id").alias("b")).distinct()
-        part = cut(pairs, "met")
-        release(prints.sparkSession)
-        found = part if found is None else found.unionByName(part)
-    left, right = (prints.select(F.col("id").alias(c), F.col("bands").alias(f"{c}_bands")) for c in "ab")
-    apart = F.aggregate(F.zip_with("a_bands", "b_bands", lambda x, y: F.bit_count(x.bitwiseXOR(y).cast("long").bitwiseAND(F.lit((1 << BAND) - 1)))), F.lit(0), lambda n, x: n + x)
-    return found.distinct().join(left, "a").join(right, "b").where(apart <= far).select("a", "b")
-
-
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", far: int = FAR) -> DataFrame:
-    """`docs` without near-duplicates, that is texts which share some four of five 5-word shingles or more: of each group the row with
-    the smallest key stays (of rows that repeat it, one; a null key comes last). Texts with the same words, upper and lower case A-Z alike,
-    are copies whatever their length; texts without words are copies of each other. All columns come back as they were.
+    spark = rows.sparkSession
+    shared = cut(entries.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1), "shared")
+    release(spark)
+    met = cut(entries.join(shared, "token"), "met", "zstd")
+    release(spark)
+    lead = met.groupBy("token").agg(F.min(F.struct("pos", "id", "n")).alias("lead"))
+    first = met.join(lead, "token").where((F.col("id") != F.col("lead.id")) & _fits(F.col("n"), F.col("lead.n"), F.col("pos"), F.col("lead.pos")))
+    links = cut(_alike(first.select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")), rows, text), "near")
+    roots = components(links).select(F.col("node").alias("id"), "root")
+    met = cut(met.join(roots, "id", "left").select("token", "id", "n", "pos", "c", F.coalesce("root", "id").alias("comp")), "met", "zstd")
+    mixed_up = met.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where(F.col("x") != F.col("y")).select("token")
+    rest = cut(met.join(mixed_up, "token", "left_semi"), "open", "zstd")
+    small = rest.where(F.col("c") <= few)
+    left, right = (small.select("token", *[F.col(c).alias(f"{c}{k}") for c in ("id", "n", "pos", "comp")]) for k in "12")
+    pairs = (left.join(right, "token").where((F.col("id1") < F.col("id2")) & (F.col("comp1") != F.col("comp2")))
+             .where(_fits(F.col("n1"), F.col("n2"), F.col("pos1"), F.col("pos2"))))
+    more = cut(_alike(pairs.select(F.col("id1").alias("a"), F.col("id2").alias("b")), rows, text), "near")
+    large = cut(_grid(rest.where(F.col("c") > few), rows, text, block), "near")
+    return links.union(more).union(large)
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", few: int = FEW, block: int = BLOCK) -> DataFrame:
+    """`docs` without near-duplicates, that is texts which share at least 4/5 of the 5-word shingles that either has: of each group that
+    such pairs connect the row with the smallest key stays (of rows that repeat it, one; a null key comes last). Shingles are compared as
+    64-bit hashes, none is left out. Texts with the same words, upper and lower case A-Z alike, are copies whatever their length; texts
+    without words are copies of each other. All columns come back as they were.
     """
     rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "rows", "zstd")
     source = rows.select("_row", F.col(key), F.col(text))
+    common, rank = _common(rows, text)
 
     def run(batches):
         for batch in batches:
-            made = [long_fingerprint(t) for t in texts_of(batch.column(2))]
-            lines = np.array([m[0] for m in made], np.uint64).view(np.int64)
-            flat = np.concatenate([m[1] for m in made]) if made else np.empty(0, np.int32)
-            lists = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, 64 * WIDTH // BAND, dtype=np.int32), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lines), lists], ["_row", "key", "line", "bands"])
+            texts = texts_of(batch.column(2))
+            lines = [b" ".join(t.translate(LOWER).split()) for t in texts]
+            hashes = [pa.array(np.array([xxhash.xxh64_intdigest(x, seed) for x in lines], np.uint64).view(np.int64)) for seed in (42, 43)]
+            sets = shingle_sets(texts)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *hashes, pa.array([len(x) for x in sets], pa.int32()),
+                                              _lists([prefix(x, common, rank) for x in sets])], ["_row", "key", "h1", "h2", "n", "prefix"])
 
     kind = source.schema[key].dataType.simpleString()
-    prints = cut(map_arrow(source, run, f"_row long, key {kind}, line long, bands array<int>"), "prints")
+    prints = cut(map_arrow(source, run, f"_row long, key {kind}, h1 long, h2 long, n int, prefix array<long>"), "prints")
     place = F.struct(F.col("key").isNull().alias("none"), "key", "_row")
-    texts = cut(prints.groupBy("line", "bands").agg(F.min(place).alias("first")).withColumn("id", F.col("first._row")), "texts")
-    worded = texts.where(F.exists("bands", lambda x: x != 0))
-    roots = components(cut(near_links(worded.select("id", "bands"), far), "near")).select(F.col("node").alias("id"), "root")
+    texts = cut(prints.groupBy("h1", "h2").agg(F.min(place).alias("first")).withColumn("id", F.col("first._row")), "texts")
+    single = prints.join(texts.select(F.col("id").alias("_row")), "_row", "left_semi")
+    entries = cut(single.select(F.col("_row").alias("id"), "n", F.posexplode("prefix").alias("pos", "token")), "entries", "zstd")
+    release(rows.sparkSession)
+    roots = components(near_links(entries, rows, text, few, block)).select(F.col("node").alias("id"), "root")
     kept = (texts.join(roots, "id", "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("first").alias("first"))
             .select(F.col("first._row").alias("_row")))
     return rows.join(kept, "_row", "left_semi").drop("_row")

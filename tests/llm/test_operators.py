@@ -157,6 +157,89 @@ def test_simhash_keeps_one_row_of_each_group(spark):
     assert simhash.keep_one(docs.limit(0)).count() == 0
 
 
+def kept_by_brute_force(texts):
+    """Smallest index of each group that pairs with at least 4/5 of their 5-word shingles in common connect."""
+    words = [t.lower().split() for t in texts]
+    sets = [{tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
+    postings = {}
+    for i, s in enumerate(sets):
+        for x in s:
+            postings.setdefault(x, []).append(i)
+    shared = [p for p in postings.values() if len(p) > 1]
+    table = np.zeros((len(texts), len(shared)), np.float32)
+    for c, p in enumerate(shared):
+        table[p, c] = 1
+    both, size = table @ table.T, np.array([len(s) for s in sets])
+    a, b = np.nonzero(np.triu(9 * both >= 4 * (size[:, None] + size), 1))
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    for i, j in zip(a.tolist(), b.tolist()):
+        x, y = sorted((find(i), find(j)))
+        root[y] = x
+    return {i for i in range(len(texts)) if root[i] == i}
+
+
+def test_near_copies_of_an_original_in_the_middle(spark):
+    r = random.Random(21)
+    base = [f"w{r.randrange(5000)}" for _ in range(100)]
+    texts = []
+    for i in range(2001):
+        t = list(base)
+        if i != 1000:
+            for at in r.sample(range(8, 90, 6), 2):      # 10 of 96 shingles: 0.81 to the original, 0.65 between two copies
+                t[at] = f"n{i}.{at}"
+        texts.append(" ".join(t))
+    texts += [" ".join(f"o{r.randrange(5000)}" for _ in range(60)) for _ in range(20)]
+    want = kept_by_brute_force(texts)
+    assert want == {0, *range(2001, 2021)}
+    assert {x.doc_id for x in simhash.keep_one(documents(spark, texts)).collect()} == want
+
+
+def test_near_copies_without_their_original(spark):
+    r = random.Random(22)
+    texts = []
+    for g in range(3):       # siblings below 0.8, some of which have a near copy of their own
+        base = [f"w{r.randrange(5000)}" for _ in range(100)]
+        for i in range(60):
+            t = list(base)
+            for at in r.sample(range(8, 90, 6), 2):
+                t[at] = f"n{g}.{i}.{at}"
+            texts.append(" ".join(t))
+            if i % 3 == 0:
+                texts.append(" ".join([*t[:-1], "end"]))
+    r.shuffle(texts)
+    want = kept_by_brute_force(texts)
+    assert 100 < len(want) < len(texts)
+    for few, block in ((1000, 1000), (2, 1000), (2, 16)):
+        assert {x.doc_id for x in simhash.keep_one(documents(spark, texts), few=few, block=block).collect()} == want
+
+
+def test_near_copies_by_block_and_scattered_edits(spark):
+    r = random.Random(23)
+    words = lambda n: [f"w{r.randrange(9000)}" for _ in range(n)]
+    texts = []
+    for share in (0.75, 0.79, 0.80, 0.81, 0.85):
+        for _ in range(12):
+            t = words(204)       # 200 shingles
+            more = round(200 / share - 200)
+            cut = round(200 * (1 - share) / (1 + share))          # shingles lost on either side
+            spread = list(t)
+            for at in r.sample(range(5, 195, 6), round(cut / 5)):
+                spread[at] = "edited"
+            texts += [" ".join(x) for x in (t, t + words(more))]
+            u = words(204)
+            texts += [" ".join(x) for x in (u, u[:60] + words(cut - 4) + u[56 + cut:])]
+            texts += [" ".join(x) for x in (t[::-1], spread[::-1])]
+    want = kept_by_brute_force(texts)
+    assert 200 < len(want) < len(texts) - 60
+    assert {x.doc_id for x in simhash.keep_one(documents(spark, texts)).collect()} == want
+
+
 def test_components_of_a_long_path(spark):
     n = 300
     links = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001), (7, 7), (None, 3)], "a long, b long")
