@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from canasta.llm import chat, language, mixing, packing, quality, secrets, simhash, substring, topk, vectors
+from canasta.llm import chat, decontamination, language, mixing, packing, quality, secrets, simhash, substring, topk, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -32,3 +32,6 @@ QUERIES["op8_quality_cotraining"] = lambda spark, folder: quality.classify(
 QUERIES["op9_chat_format"] = table("conversations", chat.digest)
 ORACLE["op9_chat_format"] = chat.SQL
 QUERIES["op10_language_id"] = table("documents", language.digest)
+QUERIES["op11_decontamination"] = lambda spark, folder: decontamination.digest(
+    spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/benchmark.parquet"))
+ORACLE["op11_decontamination"] = decontamination.SQL
