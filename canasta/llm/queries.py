@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from canasta.llm import chat, decontamination, language, lexical, mixing, packing, quality, secrets, simhash, substring, topk, vectors
+from canasta.llm import chat, decontamination, language, lexical, mixing, packing, quality, secrets, simhash, substring, topk, trie, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -38,3 +38,5 @@ ORACLE["op11_decontamination"] = decontamination.SQL
 QUERIES["op12_lexical_search"] = lambda spark, folder: lexical.digest(
     spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/benchmark.parquet"))
 ORACLE["op12_lexical_search"] = lexical.SQL
+QUERIES["op13_prefix_trie"] = table("conversations", trie.digest)
+ORACLE["op13_prefix_trie"] = trie.SQL
