@@ -293,21 +293,20 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
         for other in passes[1:]:
             found = found.unionAll(other)
         # equal rows have equal results in each pass, so sets fold them
-        found = (found.groupBy(key, "h1", "h2", "n_words").agg(F.collect_set("spans").alias("spans"), F.collect_set("items").alias("items"), F.count(F.lit(1)).alias("_n"))
-                 .select(key, "h1", "h2", "n_words", _merge(F.array_sort(F.flatten("spans"))).alias("spans"),
-                         F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n") / len(passes))).alias("_copy"))
-                 .drop("_copy"))
-    return found.select(key, F.struct("h1", "h2").alias("text_hash"), "n_words", "spans", "items")
-
+        found = (found.groupBy(key, "h1", "h2", "n_words").agg(F.flatten(F.collect_set("spans")).alias("spans"), F.collect_set("items").alias("items"),
+                                                               (F.count(F.lit(1)) / len(passes)).cast("long").alias("_n")))
 
-def _merge(spans):
-    """Column form of `merged` for a sorted array."""
-    def add(done, span):
-        last = F.element_at(done, -1)
-        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], span["end"]).alias("end"))
-        return F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["end"] >= span["start"]),
-                      F.array_append(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), joined)).otherwise(F.array_append(done, span))
-    return F.aggregate(spans, F.array().cast(SPANS), add)
+        def joined(batches):
+            for batch in batches:
+                spans = [merged([(s["start"], s["end"]) for s in row]) for row in batch.column(4).to_pylist()]
+                columns = [*batch.columns[:4], pa.array([[{"start": a, "end": b} for a, b in row] for row in spans], span), *batch.columns[5:]]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+        names = [key, "h1", "h2", "n_words", "spans", "items", "_n"]
+        found = found.select(key, "h1", "h2", "n_words", "spans", F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"), "_n")
+        found = map_arrow(found, joined, f"`{key}` {kind}, h1 long, h2 long, n_words long, spans {SPANS}, items array<string>, _n long")
+        found = found.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_n")))
+    return found.select(key, F.struct("h1", "h2").alias("text_hash"), "n_words", "spans", "items")
 
 
 def remove_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
