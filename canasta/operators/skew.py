@@ -30,11 +30,32 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+# Spark then deletes the shuffle files of an execution when it ends, on all executors.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame, name: str = "step", codec: str | None = None) -> DataFrame:
-    """Write `df` to the shared folder and read it back: short plans, no recomputation, survives executor loss."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=codec)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write `df` to the shared folder and read it back: short plans, no recomputation, survives executor loss. The shuffle files of the write
+    are deleted with it; the table stays until `discard`."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path, compression=codec)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `cut` has written and that no later step reads."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table.written_to)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -44,7 +65,8 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def _hashable(df: DataFrame) -> list[str]:
+def hashable(df: DataFrame) -> list[str]:
+    """Columns that `xxhash64` takes: all without a map."""
     def has_map(t):
         if isinstance(t, T.MapType):
             return True
@@ -70,7 +92,7 @@ def attach(rows: DataFrame, stats: DataFrame, keys: Sequence[str], size: str, ho
 
 
 def _salt(df: DataFrame, parts: Column) -> Column:
-    return F.pmod(F.xxhash64(*_hashable(df)) + F.spark_partition_id() * 7919, parts.cast("long")).cast("int")
+    return F.pmod(F.xxhash64(*hashable(df)) + F.spark_partition_id() * 7919, parts.cast("long")).cast("int")
 
 
 def grid_join(left: DataFrame, right: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, hot_pairs: int = 50_000_000) -> DataFrame:
