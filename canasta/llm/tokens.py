@@ -2,7 +2,8 @@
 
 In a byte-level BPE of this kind a blank after a character that is no white space always begins a new piece, and so does the last
 blank of a run of white space before a word. A text is therefore cut at its blanks, and every different word is encoded once by the
-tokenizer and remembered (a bounded memory). A text with a blank between other white space is encoded as a whole.
+tokenizer and remembered (a bounded memory). A text with a blank between other white space is encoded as a whole, and so is one that holds a
+string of the tokenizer's added tokens.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True      # their strings in a text are ordinary text
+        # strings that the tokenizer finds before it looks for words, such as <|endoftext|>
+        self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.blank = np.zeros(max(vocabulary.values()) + 1, bool)
         self.blank[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True    # tokens that begin with a blank
@@ -35,7 +37,10 @@ class Encoder:
     def _chunks(self, chunks: list[str]) -> list[bytes]:
         """Ids of each chunk. Words with a blank before them are encoded as one line, and told apart by the blanks' tokens."""
         line = [c for c in chunks if c[:1] == " " and len(c) > 1 and not c[1].isspace() and not c[-1].isspace()]
-        ids = np.frombuffer(self.whole(["".join(line)])[0], "<u4") if line else np.empty(0, "<u4")
+        joined = "".join(line)
+        if any(x in joined for x in self.added):         # only across words: the text has none
+            return self.whole(chunks)
+        ids = np.frombuffer(self.whole([joined])[0], "<u4") if line else np.empty(0, "<u4")
         begins = np.flatnonzero(self.blank[ids]).tolist() if line else []
         if len(begins) != len(line):
             return self.whole(chunks)
@@ -47,7 +52,7 @@ class Encoder:
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if _INNER_BLANK.search(text):
+        if _INNER_BLANK.search(text) or any(x in text for x in self.added):
             return self.whole([text])[0]
         head, *words = text.split(" ")                   # each word stands for itself with the blank before it
         found = list(map(self.known.get, words))
