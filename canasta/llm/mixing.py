@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from canasta.operators.skew import cut
+from canasta.operators.skew import cut, hashable
 
 # Fixed values of the mix.
 WEIGHTS = (5, 2, 1)
@@ -122,16 +122,18 @@ def _flow(patterns: dict[tuple, int], quotas: dict, uses: int) -> dict[tuple, in
 
 
 def mix(docs: DataFrame, key: str, text: str, sources: Column, weights: Sequence[int] = WEIGHTS, share: Fraction = SHARE, uses: int = USES,
-        seed: int = SEED, max_patterns: int = PATTERNS) -> tuple[DataFrame, dict, dict]:
+        seed: int = SEED, max_patterns: int = PATTERNS, row: str | None = None) -> tuple[DataFrame, dict, dict]:
     """(rows, sizes, targets). `rows` has _row (a number of its own for each row of `docs`, in no order), key, sources, size and copies.
 
     `sources` is an array of strings per document; a null is a source of its own, an empty array belongs nowhere and is not taken. Every
-    row counts, repeated ones too. Documents are ordered by a seeded hash of the key, ties by key and row; `copies` is the number of times a
-    document is taken whole, 0 to `uses`. A pattern's rest is filled by documents in that order up to the first that does not fit, by those
-    of the next `AHEAD` that fit, and then by the one document that comes nearest to what still lacks, if that brings the sum nearer. Without words all targets are 0.
+    row counts, repeated ones too. Documents are ordered by a seeded hash of key and text, ties by key, text and then `row`, a column that is carried along (only rows
+    alike in all of these are chosen among by their place in the input); `copies` is the number of times a document is taken whole, 0 to `uses`. A pattern's rest is filled by documents in that order up to the first that does not fit, by those
+    of the next `AHEAD` that fit, and then by the one document that comes nearest to what still lacks, if that brings the sum nearer. Without words all targets are 0; a document without words is not taken.
     """
+    carried = [F.col(row).alias("_mark")] if row else [F.lit(0).alias("_mark")]
     rows = cut(docs.select(F.monotonically_increasing_id().alias("_row"), F.col(key), F.array_sort(F.array_distinct(sources)).alias("sources"),
-                           words(F.col(text)).alias("size"), F.xxhash64(F.col(key), F.lit(seed)).alias("_u")), "mix")
+                           words(F.col(text)).alias("size"), F.xxhash64(F.col(key), F.col(text), F.lit(seed)).alias("_u"), F.xxhash64(F.lit(seed), F.col(text)).alias("_v"), *carried), "mix")
+    order = ["_u", key, "_v", "_mark", "_row"]
     slice_ = F.shiftright(F.col("_u"), 52) + 2048
     rows = rows.withColumn("_slice", F.lit(0) + slice_)
     summed = rows.groupBy("sources").agg(F.sum("size").alias("n")).limit(max_patterns + 1).collect()
@@ -154,14 +156,14 @@ def mix(docs: DataFrame, key: str, text: str, sources: Column, weights: Sequence
               .groupBy("sources").agg(F.min("_slice").alias("_border"), (F.min(F.col("upto") - F.col("n"))).alias("_before")))
     placed = rows.join(F.broadcast(cut(border, "borders")), "sources", "left")
     inside = placed.where(F.col("_slice") == F.col("_border"))
-    running = F.sum("size").over(Window.partitionBy("sources").orderBy("_u", key, "_row").rowsBetween(Window.unboundedPreceding, 0))
+    running = F.sum("size").over(Window.partitionBy("sources").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     fitting = cut(inside.withColumn("_upto", F.col("_before") + running).where(F.col("_upto") <= F.col("_rest")).select("_row", "sources", "_upto"), "border_rows")
     reached = fitting.groupBy("sources").agg(F.max("_upto").alias("_reached"))
     chosen = placed.join(F.broadcast(cut(reached, "reached")), "sources", "left").join(fitting.select("_row", F.lit(1).alias("_fits")), "_row", "left")
     extra = F.when(F.col("_slice") < F.col("_border"), 1).otherwise(F.coalesce("_fits", F.lit(0)))
     chosen = (chosen.withColumn("_extra", F.coalesce(extra, F.lit(0))).withColumn("_lack", F.col("_rest") - F.coalesce("_reached", "_before")).drop("_fits", "_reached"))
     # the next documents in the order, as far as they fit
-    following = F.row_number().over(Window.partitionBy("sources").orderBy("_u", key, "_row"))
+    following = F.row_number().over(Window.partitionBy("sources").orderBy(*order))
     ahead = (chosen.where((F.col("_extra") == 0) & (F.col("_slice") >= F.col("_border"))).withColumn("_n", following).where(F.col("_n") <= AHEAD)
              .groupBy("sources", "_lack").agg(F.array_sort(F.collect_list(F.struct("_n", "_row", "size"))).alias("next")))
     empty = F.struct(F.col("_lack").alias("lack"), F.array().cast("array<bigint>").alias("rows"))
@@ -172,19 +174,23 @@ def mix(docs: DataFrame, key: str, text: str, sources: Column, weights: Sequence
               .withColumn("_extra", F.greatest("_extra", F.coalesce(F.array_contains("_rows", F.col("_row")), F.lit(False)).cast("int")))
               .withColumn("_left", F.coalesce("_left", "_lack")).withColumn("_miss", F.abs(F.col("size") - F.col("_left"))))
     nearest = (chosen.where((F.col("_extra") == 0) & (F.col("_miss") < F.col("_left"))).groupBy("sources")
-               .agg(F.min_by("_row", F.struct("_miss", "_u", key, "_row")).alias("_nearest")))
+               .agg(F.min_by("_row", F.struct("_miss", *order)).alias("_nearest")))
     copies = F.coalesce("_passes", F.lit(0)) + F.col("_extra") + F.coalesce((F.col("_row") == F.col("_nearest")).cast("int"), F.lit(0))
-    done = chosen.join(F.broadcast(cut(nearest, "nearest")), "sources", "left").select("_row", key, "sources", "size", copies.alias("copies"))
+    copies = F.when(F.col("size") > 0, copies).otherwise(F.lit(0))
+    done = chosen.join(F.broadcast(cut(nearest, "nearest")), "sources", "left").select("_row", key, "sources", "size", copies.alias("copies"), "_mark")
     return done, dict(sizes), wanted
 
 
 def mix_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mix itself: rows of `docs` that are not taken are gone, rows taken twice occur twice; columns as they were."""
-    row = cut(docs.withColumn("_docs_row", F.monotonically_increasing_id()), "rows")
-    done, _, _ = mix(row.select(F.struct(F.col(key), F.col("_docs_row")).alias("_key"), F.col(text).alias("_text"), F.col(source).alias("_source")),
-                     "_key", "_text", F.array("_source"))
-    taken = done.where(F.col("copies") > 0).select(F.col("_key._docs_row").alias("_docs_row"), "copies")
-    return row.join(taken, "_docs_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
+    marks = [F.lpad(F.hex(F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in hashable(docs)])), 16, "0") for seed in (1, 2)]
+    marked = docs.withColumn("_docs_row", F.concat(*marks))             # equal for rows that are alike in all columns
+    done, _, _ = mix(marked.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(source).alias("_source"), "_docs_row"), "_key", "_text", F.array("_source"), row="_docs_row")
+    taken = cut(done.groupBy(F.col("_mark").alias("_docs_row")).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_n")).where(F.col("_copies") > 0), "taken")
+    one = marked.join(taken.where(F.col("_n") == 1), "_docs_row")
+    # of rows alike in all columns one stands for all, with their copies
+    same = marked.join(taken.where(F.col("_n") > 1), "_docs_row").dropDuplicates(["_docs_row"])
+    return one.unionByName(same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(docs.columns)
 
 
 def digest(docs: DataFrame) -> DataFrame:

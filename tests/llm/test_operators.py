@@ -257,10 +257,15 @@ def tokenizer():
 
 
 def test_remembered_chunks_give_the_tokenizer_ids(tokenizer):
+    import public_tokenizers
+    from tokenizers import Tokenizer
     r = random.Random(2)
     pieces = [" ", "  ", "\n", "\t", "a", "the", "é", "12", "!!", "'s", "<|endoftext|>", "\x1c", "\r\n", "日本", "don't", "\0", ".", " ", "　"]
     texts = ["".join(r.choice(pieces) for _ in range(r.randint(0, 25))) for _ in range(6000)]
-    assert [tokenizer.ids(t) for t in texts] == tokenizer.whole(texts)
+    apart = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    wanted = [np.array(apart.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert [tokenizer.ids(t) for t in texts] == wanted
+    assert sum(np.frombuffer(x, "<u4").tolist().count(50256) for x in wanted) > 1000
 
 
 def test_packing_partitions_every_document(spark, tokenizer):
@@ -340,6 +345,20 @@ def test_mix_meets_its_targets(spark):
     assert {r.doc_id: r.taken // r.size for r in rows if r.taken} == counts
 
 
+def test_mix_does_not_depend_on_the_split(spark):
+    texts = sample_texts(7, 200)
+    ids = [random.Random(i).choice([1, 2, 3, None, 100 + i]) for i in range(len(texts))]        # ids with many texts
+    docs = documents(spark, texts, ids=ids, sources=[f"s{i % 4}" for i in range(len(texts))]).drop("n_chars", "fp", "root", "label", "size")
+    docs = docs.union(docs.where("doc_id in (2, 105)"))                                         # and rows that repeat
+    first, other = sorted(mixing.digest(docs).collect(), key=str), sorted(mixing.digest(docs.repartition(7, "text")).collect(), key=str)
+    assert first == other
+    mixes = [sorted(mixing.mix_documents(x).collect(), key=str) for x in (docs, docs.repartition(7, "text"))]
+    assert mixes[0] == mixes[1]
+    size = lambda t: len(WORD.findall(t or ""))
+    words = lambda pairs: {k: sum(n for i, n in pairs if i == k) for k in {i for i, _ in pairs}}
+    assert words([(r.doc_id, size(r.text)) for r in mixes[0]]) == {k: n for k, n in words([(r.doc_id, r.taken) for r in first]).items() if n}
+
+
 def test_mix_of_nothing(spark):
     docs = documents(spark, [None, "", " "])
     assert [(r.taken, r.target) for r in mixing.digest(docs).collect()] == [(0, 0.0)] * 3
