@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-import time
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -46,15 +44,6 @@ def deliver(spark: SparkSession) -> None:
         context.addFile(str(folder), recursive=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of steps whose results are written: it does so when the driver collects garbage, the second
-    time for what the first has let go, and a moment later."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(1)
-
-
 def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
     """`mapInArrow` in a prepared session; a task gives back Arrow's free memory at its end, for workers live on."""
     deliver(df.sparkSession)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canasta.operators.skew import cut
+from canasta.operators.skew import cut, discard
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -31,4 +31,5 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .union(least.select("u", "m")).where(F.col("u") != F.col("v")).distinct())
-        links = cut(small, "links")
+        links, old = cut(small, "links"), links
+        discard(old)

@@ -7,6 +7,7 @@ meet in a point are at most as many as the ball has points (65 for h = 1), whate
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 from itertools import combinations
 
@@ -16,10 +17,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from canasta.llm.batches import groups as groups_of, map_arrow, release, texts_of
+from canasta.llm.batches import groups as groups_of, map_arrow, texts_of
 from canasta.llm.graph import components
 from canasta.llm.words import Words, grams
-from canasta.operators.skew import cut
+from canasta.operators.skew import attach, cut, discard, hashable
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 HASHES = 1 << 16     # shingle hashes whose bits are counted together
@@ -103,10 +104,10 @@ def digest(docs: DataFrame) -> DataFrame:
 SHINGLE = 5              # words
 SHARE = 4, 5             # two texts are near copies if they share 4/5 of the shingles that either has
 TOGETHER = 1 << 18       # bytes of text whose words are hashed together
-SAMPLE = 5_000           # rows whose shingles tell which are common
-COMMON, MOST = 4, 500_000    # rows of the sample with a common shingle, and shingles the driver takes; both decide the order only
-FEW = 32                 # rows of a bucket whose pairs are listed
-BLOCK = 2048             # rows of a block of a larger bucket
+SAMPLE = 5_000           # texts whose shingles tell which are common
+COMMON, MOST = 4, 500_000    # texts of the sample with a common shingle, and shingles the driver takes; both decide the order only
+FEW = 32                 # texts of a bucket whose pairs are listed
+BLOCK = 2048             # texts of a block of a larger bucket
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -137,21 +138,28 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
 
 
 def _sets(rows: DataFrame, text: str) -> DataFrame:
-    """(id, s): the shingles of each row."""
+    """(id, s): the shingles of each text, written to the shared folder."""
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(shingle_sets(texts_of(batch.column(1))))], ["id", "s"])
+            texts = texts_of(batch.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array([digest_of(t) for t in texts], pa.binary()), _lists(shingle_sets(texts))], ["id", "s"])
 
-    return map_arrow(rows.select(F.col("_row").alias("id"), F.col(text)), run, "id long, s array<long>")
+    found = map_arrow(rows.select(F.col(text)), run, "id binary, s array<long>")
+    return cut(found.groupBy("id").agg(F.first("s").alias("s")), "sets")      # rows that repeat key and text
+
+
+def digest_of(text: bytes) -> bytes:
+    """128 bits that tell texts apart by their words; A-Z count as a-z."""
+    return hashlib.blake2b(b" ".join(text.translate(LOWER).split()), digest_size=16).digest()
 
 
 def _common(rows: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
     """Common shingles in order of hash and their rank by frequency, from a sample of distinct texts that depends on the texts only."""
     step = max(1, rows.count() // SAMPLE)
-    some = rows.where(F.pmod(F.xxhash64(text), F.lit(step)) == 0).groupBy(F.xxhash64(text), F.xxhash64(F.lit(1), text)).agg(F.min("_row").alias("_row"))
-    sets = _sets(rows.join(F.broadcast(some.select("_row")), "_row", "left_semi"), text)
+    sets = _sets(rows.where(F.pmod(F.xxhash64(text), F.lit(step)) == 0), text)
     found = (sets.select(F.explode("s").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
              .orderBy(F.desc("n"), "s").limit(MOST).toArrow())
+    discard(sets)
     common = found.column("s").to_numpy().view(np.uint64)
     order = np.argsort(common)
     return common[order], order
@@ -164,19 +172,25 @@ def _fits(n, m, i, j):
     return rest * (a + b) >= (n + m) * a
 
 
-def _alike(pairs: DataFrame, rows: DataFrame, text: str) -> DataFrame:
-    """The pairs (a, b) that share 4/5 of their shingles."""
+def _alike(pairs: DataFrame, rows: DataFrame, texts: DataFrame, text: str) -> DataFrame:
+    """The pairs (a, b) of texts that share 4/5 of their shingles, written to the shared folder."""
     pairs = cut(pairs.distinct(), "pairs")
-    ids = pairs.select(F.col("a").alias("_row")).union(pairs.select("b")).distinct()
-    sets = cut(_sets(rows.join(ids, "_row", "left_semi"), text), "sets")
-    release(rows.sparkSession)
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    sets = _sets(_rows_of(ids, rows, texts), text)
     both = pairs.join(sets.toDF("a", "s"), "a").join(sets.toDF("b", "t"), "b")
     a, b = SHARE
-    return both.where(F.size(F.array_intersect("s", "t")) * (a + b) >= (F.size("s") + F.size("t")) * a).select("a", "b")
+    links = cut(both.where(F.size(F.array_intersect("s", "t")) * (a + b) >= (F.size("s") + F.size("t")) * a).select("a", "b"), "near")
+    discard(pairs, sets)
+    return links
+
+
+def _rows_of(ids: DataFrame, rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """A row of each of these texts; rows alike in all columns come together."""
+    return rows.join(texts.join(ids, "id").select("first._row"), "_row", "left_semi")
 
 
-def _cell(ids: np.ndarray, comp: np.ndarray, side: np.ndarray, n: np.ndarray, pos: np.ndarray, flat: np.ndarray, across: bool) -> list[tuple[int, int]]:
-    """Links between rows of a cell that connect what all its pairs connect; `across`: only pairs from different blocks."""
+def _cell(ids: list[bytes], comp: np.ndarray, side: np.ndarray, n: np.ndarray, pos: np.ndarray, flat: np.ndarray, across: bool) -> list[tuple[bytes, bytes]]:
+    """Links between texts of a cell that connect what all its pairs connect; `across`: only pairs from different blocks."""
     flat = np.unique(flat, return_inverse=True)[1]
     ends = np.cumsum(n)
     starts, root, links = ends - n, comp.copy(), []
@@ -195,26 +209,28 @@ def _cell(ids: np.ndarray, comp: np.ndarray, side: np.ndarray, n: np.ndarray, po
         for k in j[shared * sum(SHARE) >= (n[i] + n[j]) * SHARE[0]]:
             if root[k] != root[i]:
                 root[root == root[k]] = root[i]
-                links.append((int(ids[i]), int(ids[k])))
+                links.append((ids[i], ids[k]))
     return links
 
 
 CELL = ["token", "i", "j"]
 
 
-def _grid(rest: DataFrame, rows: DataFrame, text: str, block: int) -> DataFrame:
-    """Links between rows (token, id, n, pos, comp, c) of large buckets: blocks of a bucket become a grid of cells, compared in parallel."""
-    sets = cut(_sets(rows.join(rest.select(F.col("id").alias("_row")).distinct(), "_row", "left_semi"), text), "sets")
+def _grid(rest: DataFrame, rows: DataFrame, texts: DataFrame, text: str, block: int) -> DataFrame:
+    """Links between texts (token, id, n, pos, comp, c) of large buckets, written to the shared folder: blocks of a bucket become a grid of
+    cells, compared in parallel."""
+    sets = _sets(_rows_of(rest.select("id").distinct(), rows, texts), text)
     parts = F.ceil(F.col("c") / block).cast("int")
     met = rest.withColumn("parts", parts).withColumn("side", F.pmod(F.xxhash64("id", "token"), F.col("parts").cast("long")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     met = met.select("token", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "id", "comp", "side", "n", "pos").join(sets, "id")
     met = met.select(*CELL, "id", "comp", "side", "n", "pos", "s").repartition(*CELL).sortWithinPartitions(*CELL, "id")
 
-    def links(group: pa.Table) -> list[tuple[int, int]]:
+    def links_of(group: pa.Table) -> list[tuple[bytes, bytes]]:
         column = lambda c: group.column(c).to_numpy()
         n, flat = column("n").astype(np.int64), group.column("s").combine_chunks().flatten().to_numpy()
-        return _cell(column("id"), column("comp"), column("side"), n, column("pos").astype(np.int64), flat,
+        comp = group.column("comp").combine_chunks().dictionary_encode().indices.to_numpy()
+        return _cell(group.column("id").to_pylist(), comp, column("side"), n, column("pos").astype(np.int64), flat,
                      group.column("i")[0].as_py() != group.column("j")[0].as_py())
 
     def compared(batches):
@@ -227,11 +243,11 @@ def _grid(rest: DataFrame, rows: DataFrame, text: str, block: int) -> DataFrame:
             out, rest = split(data)
             yield out
         if rest is not None:
-            found = links(rest) if rest.num_rows > 1 else []
+            found = links_of(rest) if rest.num_rows > 1 else []
             yield batch_of(found)
 
     def batch_of(found):
-        return pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in (0, 1)], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.binary()) for c in (0, 1)], ["a", "b"])
 
     def split(data: pa.Table):
         new = np.zeros(data.num_rows, bool)
@@ -239,39 +255,82 @@ def _grid(rest: DataFrame, rows: DataFrame, text: str, block: int) -> DataFrame:
             k = data.column(c).to_numpy()
             new[1:] |= k[1:] != k[:-1]
         begins = np.concatenate([[0], np.flatnonzero(new)])
-        found = [x for a, b in zip(begins[:-1], begins[1:]) if b - a > 1 for x in links(data.slice(a, b - a))]
+        found = [x for a, b in zip(begins[:-1], begins[1:]) if b - a > 1 for x in links_of(data.slice(a, b - a))]
         return batch_of(found), data.slice(begins[-1])
 
-    return map_arrow(met, compared, "a long, b long")
+    links = cut(map_arrow(met, compared, "a binary, b binary"), "near")
+    discard(sets)
+    return links
+
+
+def print_links(texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts (id, fp) that connect the same groups as all pairs with fingerprints within 2 bits do: a text and the first one of
+    its fingerprint, and the first texts of close fingerprints."""
+    heads = cut(texts.groupBy("fp").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")), "heads")
+    own = attach(texts, heads, ["fp"], "n", "inner").where(F.col("id") != F.col("head")).select(F.col("head").alias("a"), F.col("id").alias("b"))
+    far = close_links(heads.select("fp")).join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b")
+    return own.union(far.select(F.least("x", "y"), F.greatest("x", "y")))
+
+
+def _known(links: DataFrame) -> DataFrame:
+    """(id, root) of the texts that links connect, written to the shared folder."""
+    return cut(components(links).select(F.col("node").alias("id"), "root"), "roots")
 
 
-def near_links(entries: DataFrame, rows: DataFrame, text: str = "text", few: int = FEW, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) that connect the same groups as all pairs of near copies do; every link is verified on all shingles.
+def _unconnected(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """(token, id, n, pos, comp): the rows of `met` under tokens whose texts are not all connected yet, written to the shared folder."""
+    known = met.join(roots, "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
+    mixed = known.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where(F.col("x") != F.col("y")).select("token")
+    return cut(known.join(mixed, "token", "left_semi"), "open", "zstd")
 
-    `entries` (id, n, pos, token) are the prefixes of the sets of n shingles, `rows` (_row, text) has the texts. Near copies share a token.
-    The rows of a bucket, that is of a token, are compared with the one that has it earliest in its prefix (an original has no rare
-    shingles of its own, its copies have). Pairs that this connects need no further look; all others of the bucket are compared,
-    listed where it is small, by a grid of blocks where it is large.
+
+def near_links(met: DataFrame, links: DataFrame, rows: DataFrame, texts: DataFrame, text: str = "text", few: int = FEW, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) that with the verified `links` connect the same groups as all pairs of near copies do; every link is verified on all shingles.
+
+    `met` (token, id, n, pos) has the prefix tokens that more than one text has, of sets of n shingles. Near copies share such a token. Tokens whose
+    texts are all connected need no further look. Of the others, each text is compared with the one that has the token earliest in its
+    prefix (an original has no rare shingles of its own, its copies have), and then all pairs of a token's texts that are still
+    apart are compared, listed where they are few, by a grid of blocks where they are many.
     """
-    spark = rows.sparkSession
-    shared = cut(entries.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1), "shared")
-    release(spark)
-    met = cut(entries.join(shared, "token"), "met", "zstd")
-    release(spark)
-    lead = met.groupBy("token").agg(F.min(F.struct("pos", "id", "n")).alias("lead"))
-    first = met.join(lead, "token").where((F.col("id") != F.col("lead.id")) & _fits(F.col("n"), F.col("lead.n"), F.col("pos"), F.col("lead.pos")))
-    links = cut(_alike(first.select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")), rows, text), "near")
-    roots = components(links).select(F.col("node").alias("id"), "root")
-    met = cut(met.join(roots, "id", "left").select("token", "id", "n", "pos", "c", F.coalesce("root", "id").alias("comp")), "met", "zstd")
-    mixed_up = met.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where(F.col("x") != F.col("y")).select("token")
-    rest = cut(met.join(mixed_up, "token", "left_semi"), "open", "zstd")
-    small = rest.where(F.col("c") <= few)
+    roots = _known(links)
+    open_ = _unconnected(met, roots)
+    discard(roots)
+    lead = open_.groupBy("token").agg(F.min(F.struct("pos", "id", "n", "comp")).alias("lead"))
+    first = open_.join(lead, "token").where((F.col("comp") != F.col("lead.comp")) & _fits(F.col("n"), F.col("lead.n"), F.col("pos"), F.col("lead.pos")))
+    found = [links, _alike(first.select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")), rows, texts, text)]
+    roots = _known(found[0].union(found[1]))
+    rest = _unconnected(open_.drop("comp"), roots)
+    discard(open_, roots)
+    counts = rest.groupBy("token").agg(F.count(F.lit(1)).alias("c"))
+    rest_ = cut(rest.join(counts, "token"), "counted", "zstd")
+    discard(rest)
+    small = rest_.where(F.col("c") <= few)
     left, right = (small.select("token", *[F.col(c).alias(f"{c}{k}") for c in ("id", "n", "pos", "comp")]) for k in "12")
     pairs = (left.join(right, "token").where((F.col("id1") < F.col("id2")) & (F.col("comp1") != F.col("comp2")))
              .where(_fits(F.col("n1"), F.col("n2"), F.col("pos1"), F.col("pos2"))))
-    more = cut(_alike(pairs.select(F.col("id1").alias("a"), F.col("id2").alias("b")), rows, text), "near")
-    large = cut(_grid(rest.where(F.col("c") > few), rows, text, block), "near")
-    return links.union(more).union(large)
+    found.append(_alike(pairs.select(F.col("id1").alias("a"), F.col("id2").alias("b")), rows, texts, text))
+    found.append(_grid(rest_.where(F.col("c") > few), rows, texts, text, block))
+    discard(rest_)
+    done = cut(found[0].union(found[1]).union(found[2]).union(found[3]), "links")
+    discard(*found)
+    return done
+
+
+def _prefixes(rows: DataFrame, text: str, common: np.ndarray, rank: np.ndarray) -> DataFrame:
+    """(token, id, n, pos) of the prefix of every row's set."""
+    def run(batches):
+        for batch in batches:
+            texts = texts_of(batch.column(0))
+            sets = shingle_sets(texts)
+            parts = [prefix(x, common, rank) for x in sets]
+            sizes = [len(x) for x in parts]
+            flat = np.concatenate([*parts, np.empty(0, np.uint64)]).view(np.int64)
+            ids = pa.array([digest_of(t) for t in texts], pa.binary()).take(pa.array(np.repeat(np.arange(len(texts)), sizes)))
+            pos = np.concatenate([*[np.arange(n, dtype=np.int32) for n in sizes], np.empty(0, np.int32)])
+            yield pa.RecordBatch.from_arrays([pa.array(flat), ids, pa.array(np.repeat([len(x) for x in sets], sizes).astype(np.int32)), pa.array(pos)],
+                                             ["token", "id", "n", "pos"])
+
+    return map_arrow(rows.select(F.col(text)), run, "token long, id binary, n int, pos int")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", few: int = FEW, block: int = BLOCK) -> DataFrame:
@@ -279,28 +338,46 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", few: int
     such pairs connect the row with the smallest key stays (of rows that repeat it, one; a null key comes last). Shingles are compared as
     64-bit hashes, none is left out. Texts with the same words, upper and lower case A-Z alike, are copies whatever their length; texts
     without words are copies of each other. All columns come back as they were.
+
+    First come the pairs whose SimHash fingerprints over 5-word shingles differ in at most 2 of 64 bits, found by ball hashing as in `groups`, each decided
+    on all shingles. Texts that share 4/5 of their shingles differ in some 10 bits, and balls of half that radius have 8 million points; so the pairs that
+    fingerprints cannot reach are found by shared rare shingles: of each set the first fifth is taken, rare shingles first, and two near
+    copies always have one of these in common (`near_links`).
     """
-    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "rows", "zstd")
+    marks = [F.lpad(F.hex(F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in hashable(docs)])), 16, "0") for seed in (1, 2)]
+    rows = docs.withColumn("_row", F.unhex(F.concat(*marks)))           # equal for rows that are alike in all columns
     source = rows.select("_row", F.col(key), F.col(text))
-    common, rank = _common(rows, text)
 
     def run(batches):
         for batch in batches:
             texts = texts_of(batch.column(2))
-            lines = [b" ".join(t.translate(LOWER).split()) for t in texts]
-            hashes = [pa.array(np.array([xxhash.xxh64_intdigest(x, seed) for x in lines], np.uint64).view(np.int64)) for seed in (42, 43)]
-            sets = shingle_sets(texts)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *hashes, pa.array([len(x) for x in sets], pa.int32()),
-                                              _lists([prefix(x, common, rank) for x in sets])], ["_row", "key", "h1", "h2", "n", "prefix"])
+            prints = []
+            for i, j in groups_of([len(t) for t in texts], TOGETHER):
+                words = Words([t.translate(LOWER) for t in texts[i:j]])
+                for a, b in zip(words.first[:-1], words.first[1:]):
+                    shingles = grams(words.hash[a:b], min(SHINGLE, b - a)) if b > a else words.hash[:0]
+                    prints.append(majority((shingles[k:k + HASHES] for k in range(0, len(shingles), HASHES)), 1).view("<i8")[0])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([digest_of(t) for t in texts], pa.binary()), pa.array(np.array(prints, np.int64))],
+                                             ["_row", "key", "id", "fp"])
 
     kind = source.schema[key].dataType.simpleString()
-    prints = cut(map_arrow(source, run, f"_row long, key {kind}, h1 long, h2 long, n int, prefix array<long>"), "prints")
+    prints = cut(map_arrow(source, run, f"_row binary, key {kind}, id binary, fp long"), "prints")
     place = F.struct(F.col("key").isNull().alias("none"), "key", "_row")
-    texts = cut(prints.groupBy("h1", "h2").agg(F.min(place).alias("first")).withColumn("id", F.col("first._row")), "texts")
-    single = prints.join(texts.select(F.col("id").alias("_row")), "_row", "left_semi")
-    entries = cut(single.select(F.col("_row").alias("id"), "n", F.posexplode("prefix").alias("pos", "token")), "entries", "zstd")
-    release(rows.sparkSession)
-    roots = components(near_links(entries, rows, text, few, block)).select(F.col("node").alias("id"), "root")
-    kept = (texts.join(roots, "id", "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("first").alias("first"))
-            .select(F.col("first._row").alias("_row")))
-    return rows.join(kept, "_row", "left_semi").drop("_row")
+    texts = cut(prints.groupBy("id", "fp").agg(F.min(place).alias("first")), "texts")
+    source = source.drop(key)
+    links = _alike(print_links(texts.select("id", "fp")), source, texts, text)
+    common, rank = _common(source, text)
+    entries = _prefixes(source, text, common, rank)
+    own = F.xxhash64("id")
+    shared = cut(entries.groupBy("token").agg(F.min(own).alias("x"), F.max(own).alias("y")).where(F.col("x") != F.col("y")).select("token"), "shared")
+    met = cut(entries.join(shared, "token").groupBy("token", "id", "n", "pos").agg(F.lit(1).alias("one")).drop("one"), "met", "zstd")
+    discard(shared)
+    links = near_links(met, links, source, texts, text, few, block)
+    discard(met)
+    roots = _known(links)
+    kept = texts.join(roots, "id", "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("first").alias("first")).select(F.col("first._row").alias("_row"))
+    kept = cut(kept.join(prints.groupBy("_row").agg(F.count(F.lit(1)).alias("_n")), "_row"), "kept")
+    discard(links, roots, prints, texts)
+    one = rows.join(kept.where(F.col("_n") == 1).select("_row"), "_row", "left_semi")
+    same = rows.join(kept.where(F.col("_n") > 1).select("_row"), "_row", "left_semi").dropDuplicates(["_row"])
+    return one.unionAll(same).drop("_row")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,6 +11,8 @@ BLANK = np.zeros(256, bool)
 BLANK[[32, *range(9, 14)]] = True
 _VALUE = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+TOGETHER = 1 << 20          # bytes whose words are hashed together
+_POWERS: list[np.ndarray] = []
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -37,11 +40,33 @@ class Words:
         if not len(self.begin):
             self.hash = np.empty(0, np.uint64)
             return
-        size = self.end - self.begin
-        inside = np.flatnonzero(~BLANK[raw])
-        place = np.arange(len(inside)) - np.repeat(np.cumsum(size) - size, size)
-        power = np.cumprod(np.full(int(size.max()), _BASE, np.uint64))
-        self.hash = mixed(np.add.reduceat(_VALUE[raw[inside]] * power[place], np.cumsum(size) - size))
+        self.hash = np.empty(len(self.begin), np.uint64)
+        for i, j in _stretches(self.begin, self.end):
+            low, high = int(self.begin[i]), int(self.end[j - 1])
+            up, down = _powers(high - low)
+            total = np.cumsum(_VALUE[raw[low:high]] * up[:high - low])          # up to and with each byte
+            begin, end = self.begin[i:j] - low, self.end[i:j] - low
+            before = np.where(begin > 0, total[begin - 1], np.uint64(0))
+            self.hash[i:j] = mixed((total[end - 1] - before) * down[begin])
+
+
+def _stretches(begin: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of words that lie within `TOGETHER` bytes; a longer word is a range of its own."""
+    i = 0
+    while i < len(begin):
+        j = max(i + 1, int(np.searchsorted(end, begin[i] + TOGETHER, "right")))
+        yield i, j
+        i = j
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2^64, kept for the usual length."""
+    if n <= TOGETHER and _POWERS:
+        return _POWERS[0], _POWERS[1]
+    made = [np.cumprod(np.append(np.uint64(1), np.full(max(n, TOGETHER) - 1, b, np.uint64))) for b in (int(_BASE), pow(int(_BASE), -1, 1 << 64))]
+    if n <= TOGETHER:
+        _POWERS[:] = made
+    return made[0], made[1]
 
 
 def grams(hashes: np.ndarray, n: int) -> np.ndarray:
