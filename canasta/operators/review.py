@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import replace
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +12,7 @@ from canasta.functions import text as X
 from canasta.functions.money import fixed, valid_price
 from canasta.operators import pricing
 from canasta.operators.flags import evidence_flags, flag_codes, joined, reason_text
+from canasta.operators.history import undo_redo_replay
 from canasta.operators.skew import HOT_ROWS, attach, cut
 from canasta.settings import PriceSettings, ReviewPolicy
 
@@ -106,23 +105,26 @@ def accept_price(estimate: Column, current: Column) -> Column:
 
 
 def validate_decisions(log: DataFrame, items: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Each decision with `error`: unknown, manual without a positive price, or accepting without any price."""
+    """Each decision with `error`: unknown, manual without a positive price or for several products, or accepting without any price.
+
+    Rows that share session_id and seq are one change. It is made as a whole or not at all: if one of its products cannot be accepted, none is.
+    """
     sizes = log.groupBy("product_code").agg(F.count(F.lit(1)).alias("_n"))
     known = sizes.join(items.select("product_code", "estimate", "current_price"), "product_code", "left")
     rows = attach(log, known, ["product_code"], "_n", hot_rows=hot_rows).drop("_n")
+    unpriced = (F.col("action") == "accepted") & ~valid_price(accept_price(F.col("estimate"), F.col("current_price")))
+    rows = rows.withColumn("_unpriced", F.coalesce(unpriced, F.lit(False)))
+    step = ["session_id", "seq"]
+    together = rows.groupBy(*step).agg(F.count(F.lit(1)).alias("_keys"), F.max("_unpriced").alias("_stopped"))
+    rows = attach(rows, together, step, "_keys", hot_rows=hot_rows)
     error = (F.when(~F.col("action").isin(*DECISIONS), "Unknown decision")
-             .when((F.col("action") == "manual") & ~valid_price(F.col("price")), "Enter a positive price for one selected item.")
-             .when((F.col("action") == "accepted") & ~valid_price(accept_price(F.col("estimate"), F.col("current_price"))),
-                   "No proposed or current price. Enter the price manually first."))
-    return rows.withColumn("error", error)
-
+             .when((F.col("action") == "manual") & (~valid_price(F.col("price")) | (F.col("_keys") > 1)), "Enter a positive price for one selected item.")
+             .when(F.col("_unpriced"), "No proposed or current price. Enter the price manually first.")
+             .when(F.col("_stopped"), "Another item of this change has no proposed or current price."))
+    return rows.withColumn("error", error).drop("_unpriced", "_keys", "_stopped")
 
-def decision_state(log: DataFrame, items: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The latest valid decision of every product (pending before the first) with its price in cents.
 
-    `log` holds decisions; of a log with undo and redo steps, `current_state` takes what is left.
-    """
-    valid = validate_decisions(log, items, hot_rows).where(F.col("error").isNull())
+def _latest(valid: DataFrame, items: DataFrame) -> DataFrame:
     last = valid.groupBy("product_code").agg(F.max(F.struct("seq", "action", "price")).alias("d"))
     rows = items.join(last, "product_code", "left")
     value = F.when(F.col("d.action") == "manual", F.col("d.price")).when(
@@ -130,42 +132,20 @@ def decision_state(log: DataFrame, items: DataFrame, hot_rows: int = HOT_ROWS) -
     return rows.withColumns({"decision": F.coalesce("d.action", F.lit("pending")), "price": fixed(value).cast("double")}).drop("d")
 
 
-def _places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Walk each session in order, keeping only its position and the end of its redo range."""
-    session, at, top = None, 0, 0
-    for batch in batches:
-        where = []
-        for name, code in zip(batch["session_id"], batch["code"]):
-            if name != session:
-                session, at, top = name, 0, 0
-            if code == 0:
-                at = top = at + 1
-            else:
-                at = max(at - 1, 0) if code < 0 else min(at + 1, top)
-            where.append(at)
-        yield batch.assign(level=where)
-
-
-def undo_redo_replay(log: DataFrame) -> DataFrame:
-    """The changes still applied at the end of each session: session_id, level, seq, product_code, action, price.
-
-    Undo steps back, redo forward, and a new change ends what could be redone. The walk needs the order of a session but
-    only two numbers of state, so sorted partitions are streamed and no session is held in memory. The surviving change
-    of a level is the last one written there; that and the final level are partial aggregates.
+def decision_state(log: DataFrame, items: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The latest valid decision of every product (pending before the first) with its price in cents.
+
+    `log` holds decisions; of a log with undo and redo steps, `current_state` takes what is left.
     """
-    code = F.when(F.col("action") == "undo", -1).when(F.col("action") == "redo", 1).otherwise(0)
-    ordered = (log.select("session_id", "seq", code.alias("code")).repartition("session_id")
-               .sortWithinPartitions("session_id", "seq"))
-    placed = ordered.mapInPandas(_places, "session_id string, seq bigint, code int, level bigint")
-    ends = placed.groupBy("session_id").agg(F.max_by("level", "seq").alias("depth"))
-    made = placed.where(F.col("code") == 0).groupBy("session_id", "level").agg(F.max("seq").alias("seq"))
-    alive = made.join(ends, "session_id").where(F.col("level") <= F.col("depth")).drop("depth")
-    return alive.join(log.select("session_id", "seq", "product_code", "action", "price"), ["session_id", "seq"])
+    return _latest(validate_decisions(log, items, hot_rows).where(F.col("error").isNull()), items)
 
 
 def current_state(log: DataFrame, items: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """`decision_state` of the changes that undo and redo have left."""
-    return decision_state(undo_redo_replay(log), items, hot_rows)
+    """`decision_state` of the changes that undo and redo have left. Changes that are not valid were never made, so undo does not count them."""
+    columns = ["session_id", "seq", "product_code", "action", "price"]
+    moves = F.col("action").isin("undo", "redo")
+    made = validate_decisions(log.where(~moves), items, hot_rows).where(F.col("error").isNull())
+    return _latest(undo_redo_replay(made.select(columns).unionByName(log.where(moves).select(columns))), items)
 
 
 STORED = ("market_percent", "store_weight_cap", "economy_percentile", "price_level", "average_mode")

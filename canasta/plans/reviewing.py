@@ -347,9 +347,10 @@ def inclusion_counts(spark, folder):
     return review.inclusion_counts(x1(spark, folder).withColumn("included", F.col("accepted") != (F.col("page") == 3)))
 
 
-REPLAY = """lg AS (SELECT user_id || '/' || ts::DATE AS session_id, event_id AS seq, user_id AS product_code, CASE event_type WHEN 'purchase' THEN 'accepted' WHEN 'error' THEN 'rejected'
-   WHEN 'signup' THEN 'manual' WHEN 'click' THEN 'undo' ELSE 'redo' END AS action, round(value, 4) AS price FROM events),
- o AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS rn FROM lg),
+STEPS = """stp AS (SELECT session_id, seq, unnest(CASE WHEN seq % 3 = 0 AND action NOT IN ('undo', 'redo') THEN [k, k + 1, k + 2] ELSE [k] END) AS product_code, action, price
+  FROM (SELECT user_id || '/' || ts::DATE AS session_id, event_id AS seq, user_id AS k, CASE event_type WHEN 'purchase' THEN 'accepted' WHEN 'error' THEN 'rejected'
+   WHEN 'signup' THEN 'manual' WHEN 'click' THEN 'undo' ELSE 'redo' END AS action, value AS price FROM events))"""
+REPLAY = """ o AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS rn FROM (SELECT session_id, seq, any_value(action) AS action FROM lg GROUP BY 1, 2)),
  w AS (SELECT DISTINCT session_id, 0::BIGINT AS rn, []::BIGINT[] AS done, []::BIGINT[] AS undone FROM o
   UNION ALL SELECT w.session_id, o.rn, CASE action WHEN 'undo' THEN done[:-2] WHEN 'redo' THEN CASE WHEN len(undone) > 0 THEN list_append(done, undone[-1]) ELSE done END ELSE list_append(done, seq) END,
    CASE action WHEN 'undo' THEN CASE WHEN len(done) > 0 THEN list_append(undone, done[-1]) ELSE undone END WHEN 'redo' THEN undone[:-2] ELSE []::BIGINT[] END
@@ -357,15 +358,24 @@ REPLAY = """lg AS (SELECT user_id || '/' || ts::DATE AS session_id, event_id AS
  f AS (SELECT session_id, arg_max(done, rn) AS done FROM w GROUP BY 1), u AS (SELECT session_id, unnest(done) AS seq, generate_subscripts(done, 1) AS level FROM f)"""
 
 
-@query("undo_redo_replay", f"""WITH RECURSIVE {REPLAY} SELECT u.session_id, u.level, u.seq, product_code, action, price FROM u JOIN lg USING (session_id, seq)""")
+@query("undo_redo_replay", f"""WITH RECURSIVE {STEPS}, lg AS (SELECT * FROM stp), {REPLAY} SELECT u.session_id, u.level, u.seq, product_code, action, round(price, 4) AS price FROM u JOIN lg USING (session_id, seq)""")
 def undo_redo_replay(spark, folder):
-    out = review.undo_redo_replay(fixtures.decisions(spark, folder))
+    out = review.undo_redo_replay(fixtures.steps(spark, folder))
     return out.select("session_id", "level", "seq", "product_code", "action", F.round("price", 4).alias("price"))
 
 
-@query("current_state", f"""WITH RECURSIVE {ITEMS}, {REPLAY}, {LOG.replace("lg AS (", "lgx AS (").replace("FROM lg LEFT", "FROM (SELECT lgx.* FROM lgx JOIN u ON u.seq = lgx.seq) lg LEFT")} SELECT product_code, decision, price FROM ds""")
+# Changes that cannot be made are no steps: several products with one manual price, or an acceptance of which one product has no price.
+VALID_STEPS = """sv AS (SELECT stp.*, count(*) OVER (PARTITION BY session_id, seq) AS keys,
+   bool_or(action = 'accepted' AND NOT coalesce(round(CASE WHEN round(estimate, 2) > 0 THEN estimate ELSE current_price END, 2) > 0, false)) OVER (PARTITION BY session_id, seq) AS stopped FROM stp LEFT JOIN it USING (product_code)),
+ lg AS (SELECT session_id, seq, product_code, action, price FROM sv WHERE NOT stopped AND NOT (action = 'manual' AND (keys > 1 OR NOT coalesce(round(price, 2) > 0, false))))"""
+
+
+@query("current_state", f"""WITH RECURSIVE {ITEMS}, {STEPS}, {VALID_STEPS}, {REPLAY},
+ ls AS (SELECT product_code, arg_max({{'a': action, 'p': price}}, seq) AS d FROM lg JOIN u USING (session_id, seq) GROUP BY 1)
+ SELECT product_code, coalesce(d.a, 'pending') AS decision, printf('%.2f', CASE d.a WHEN 'manual' THEN d.p WHEN 'accepted' THEN CASE WHEN round(estimate, 2) > 0 THEN estimate ELSE current_price END END)::DOUBLE AS price
+ FROM it LEFT JOIN ls USING (product_code)""")
 def current_state(spark, folder):
-    return review.current_state(fixtures.decisions(spark, folder), items(spark, folder)).select("product_code", "decision", "price")
+    return review.current_state(fixtures.steps(spark, folder), items(spark, folder)).select("product_code", "decision", "price")
 
 
 @query("override_recalc", f"""WITH {ITEMS}, oc AS (SELECT DISTINCT product_code FROM x WHERE page = 7),

@@ -56,6 +56,14 @@ def decisions(spark: SparkSession, folder: str) -> DataFrame:
         F.col("user_id").alias("product_code"), action.alias("action"), F.col("value").alias("price"), "ts")
 
 
+def steps(spark: SparkSession, folder: str) -> DataFrame:
+    """X6 with changes of several products: every third event decides on three of them, rows of one step share session_id and seq."""
+    key = F.col("product_code")
+    several = (F.col("seq") % 3 == 0) & ~F.col("action").isin("undo", "redo")
+    keys = F.when(several, F.array(key, key + 1, key + 2)).otherwise(F.array(key))
+    return decisions(spark, folder).select("session_id", "seq", F.explode(keys).alias("product_code"), "action", "price", "ts")
+
+
 def pick(index: Column, words: list[str]) -> Column:
     """The word at `index` modulo the length of the list."""
     return F.element_at(F.array(*[F.lit(w) for w in words]), (F.pmod(index, F.lit(len(words))) + 1).cast("int"))

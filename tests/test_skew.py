@@ -3,9 +3,10 @@
 import random
 import statistics
 
+import pytest
 from pyspark.sql import functions as F
 
-from canasta.operators import cleaning, skew
+from canasta.operators import cleaning, history, review, skew
 from canasta.settings import PriceSettings
 
 
@@ -140,3 +141,52 @@ def test_grid_join_of_two_hot_sides(spark):
     plain = rows(left.join(right, "k"), "k", "a", "b")
     assert rows(skew.grid_join(left, right, ["k"], hot_rows=20, hot_pairs=100), "k", "a", "b") == plain
     assert rows(skew.grid_join(left, right, ["k"]), "k", "a", "b") == plain
+
+
+def stacks(rows):
+    """Surviving changes by a list-based stack per session."""
+    sessions, out = {}, set()
+    for row in rows:
+        sessions.setdefault(row[0], {}).setdefault(row[1], []).append(row)
+    for name, steps in sessions.items():
+        done, undone = [], []
+        for seq in sorted(steps):
+            action = steps[seq][0][3]
+            if action == "undo":
+                undone += [done.pop()] if done else []
+            elif action == "redo":
+                done += [undone.pop()] if undone else []
+            else:
+                done, undone = done + [seq], []
+        out |= {(name, level, seq, *row[2:]) for level, seq in enumerate(done, 1) for row in steps[seq]}
+    return out
+
+
+@pytest.mark.parametrize("block", [1024, 16, 3])
+def test_one_long_session_is_replayed_in_blocks(spark, block):
+    r, rows = random.Random(1), []
+    # (steps, weights of change, undo, redo): among them stacks that run empty, and redo that has nothing left
+    for k, (n, weights) in enumerate([(4000, (8, 3, 3)), (900, (5, 5, 5)), (900, (1, 8, 4)), (900, (1, 4, 8)), (300, (0, 1, 1)), (1, (1, 0, 0)), (700, (1, 20, 1)), (700, (1, 1, 20))]):
+        seq = 0
+        for _ in range(n):
+            seq += r.randint(1, 3)
+            action = r.choices(["change", "undo", "redo"], weights)[0]
+            keys = range(r.choice([1, 1, 3])) if action == "change" else [0]
+            rows += [(f"s{k}", seq, 100 * k + i, r.choice(["accepted", "rejected"]) if action == "change" else action, 1.5) for i in keys]
+    log = spark.createDataFrame(rows, "session_id string, seq long, product_code long, action string, price double").repartition(5)
+    found = history.undo_redo_replay(log, block).select("session_id", "level", "seq", "product_code", "action", "price")
+    assert {tuple(x) for x in found.collect()} == stacks(rows)
+    steps = history.step_blocks(history.session_steps(log), block).select(F.size("steps").alias("n"))
+    assert steps.agg(F.max("n")).first()[0] <= block
+    assert history.undo_redo_replay(log.limit(0)).count() == 0
+
+
+def test_changes_that_cannot_be_made_are_no_steps(spark):
+    items = spark.createDataFrame([(1, 5.0, None), (2, None, None), (3, None, 4.0)], "product_code long, estimate double, current_price double")
+    log = spark.createDataFrame([("s", 1, 1, "accepted", None), ("s", 2, 1, "manual", 9.0), ("s", 3, 1, "accepted", None), ("s", 3, 2, "accepted", None),
+                                 ("s", 4, 1, "manual", 7.0), ("s", 4, 3, "manual", 7.0), ("s", 5, 0, "undo", None), ("s", 6, 3, "accepted", None)],
+                                "session_id string, seq long, product_code long, action string, price double")
+    errors = {(x.seq, x.product_code): x.error for x in review.validate_decisions(log.where("action <> 'undo'"), items).collect()}
+    assert [k for k, e in sorted(errors.items()) if e is None] == [(1, 1), (2, 1), (6, 3)]
+    state = {x.product_code: (x.decision, x.price) for x in review.current_state(log, items).collect()}
+    assert state == {1: ("accepted", 5.0), 2: ("pending", None), 3: ("accepted", 4.0)}
