@@ -172,15 +172,50 @@ def _fits(n, m, i, j):
     return rest * (a + b) >= (n + m) * a
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parity bitmap of a set, about two bits per shingle: bit i tells if an odd number of shingles has the low bits i."""
+    size = 64 << max(0, (2 * len(shingles) - 1).bit_length() - 6)
+    bits = np.bincount((shingles & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _sketches(rows: DataFrame, text: str) -> DataFrame:
+    """(id, m, k): number of shingles and sketch of each text, written to the shared folder."""
+    def run(batches):
+        for batch in batches:
+            texts = texts_of(batch.column(0))
+            sets = shingle_sets(texts)
+            yield pa.RecordBatch.from_arrays([pa.array([digest_of(t) for t in texts], pa.binary()), pa.array([len(x) for x in sets], pa.int32()),
+                                              pa.array([sketch(x) for x in sets], pa.list_(pa.int64()))], ["id", "m", "k"])
+
+    found = map_arrow(rows.select(F.col(text)), run, "id binary, m int, k array<long>")
+    return cut(found.groupBy("id").agg(F.first("m").alias("m"), F.first("k").alias("k")), "sketches")
+
+
+def _may_share(n, m, s, t):
+    """May sets of n and m shingles with these sketches share 4/5? Shingles that only one has leave at least as many odd bits."""
+    wide, narrow = F.when(F.size(s) >= F.size(t), s).otherwise(t), F.when(F.size(s) >= F.size(t), t).otherwise(s)
+    half = F.size(narrow)
+    folded = F.when(F.size(wide) == half, wide).otherwise(F.zip_with(F.slice(wide, F.lit(1), half), F.slice(wide, half + 1, half), lambda x, y: x.bitwiseXOR(y)))
+    odd = F.aggregate(F.zip_with(narrow, folded, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    a, b = SHARE
+    return (F.size(wide) > 2 * half) | (odd * (a + b) <= (n + m) * (b - a))
+
+
 def _alike(pairs: DataFrame, rows: DataFrame, texts: DataFrame, text: str) -> DataFrame:
-    """The pairs (a, b) of texts that share 4/5 of their shingles, written to the shared folder."""
+    """The pairs (a, b) of texts that share 4/5 of their shingles, written to the shared folder. Sketches rule most others out before any set
+    is sent."""
+    ends = lambda pairs: pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     pairs = cut(pairs.distinct(), "pairs")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = _sets(_rows_of(ids, rows, texts), text)
-    both = pairs.join(sets.toDF("a", "s"), "a").join(sets.toDF("b", "t"), "b")
+    sketches = _sketches(_rows_of(ends(pairs), rows, texts), text)
+    both = pairs.join(sketches.toDF("a", "n", "s"), "a").join(sketches.toDF("b", "m", "t"), "b")
+    close = cut(both.where(_may_share(F.col("n"), F.col("m"), F.col("s"), F.col("t"))).select("a", "b"), "close")
+    discard(pairs, sketches)
+    sets = _sets(_rows_of(ends(close), rows, texts), text)
+    both = close.join(sets.toDF("a", "s"), "a").join(sets.toDF("b", "t"), "b")
     a, b = SHARE
     links = cut(both.where(F.size(F.array_intersect("s", "t")) * (a + b) >= (F.size("s") + F.size("t")) * a).select("a", "b"), "near")
-    discard(pairs, sets)
+    discard(close, sets)
     return links
 
 
@@ -216,50 +251,86 @@ def _cell(ids: list[bytes], comp: np.ndarray, side: np.ndarray, n: np.ndarray, p
 CELL = ["token", "i", "j"]
 
 
+def _by_cell(batches, handle):
+    """`handle` of the rows of each cell, batch by batch; the rows of a cell come one after another."""
+    rest = None
+    for batch in batches:
+        data = pa.Table.from_batches([batch])
+        data = data if rest is None else pa.concat_tables([rest, data])
+        if not data.num_rows:
+            continue
+        new = np.zeros(data.num_rows, bool)
+        for c in CELL:
+            k = data.column(c).to_numpy()
+            new[1:] |= k[1:] != k[:-1]
+        begins = np.concatenate([[0], np.flatnonzero(new)])
+        found = [handle(data.slice(a, b - a)) for a, b in zip(begins[:-1], begins[1:]) if b - a > 1]
+        yield from (x for x in found if x.num_rows)
+        rest = data.slice(begins[-1])
+    if rest is not None and rest.num_rows > 1:
+        yield handle(rest)
+
+
+def _possible(comp: np.ndarray, side: np.ndarray, n: np.ndarray, pos: np.ndarray, sketches: list[np.ndarray], across: bool) -> np.ndarray:
+    """Which texts of a cell may be alike one that they are not connected with, by their sketches."""
+    size = np.array([len(k) for k in sketches])
+    out = np.zeros(len(n), bool)
+    a, b = SHARE
+    for width in np.unique(size):                      # with sketches as wide, or twice as wide and folded
+        near = np.flatnonzero((size == width) | (size == 2 * width))
+        table = np.array([k if len(k) == width else k[:width] ^ k[width:] for k in (sketches[i] for i in near)]).view(np.uint64)
+        for at in np.flatnonzero(size[near] == width):
+            i = near[at]
+            open_ = (comp[near] != comp[i]) & ((side[near] != side[i]) if across else True) & _fits(n[i], n[near], pos[i], pos[near])
+            j = np.flatnonzero(open_)
+            odd = np.bitwise_count(table[j] ^ table[at]).sum(1, dtype=np.int64)
+            hit = near[j[odd * (a + b) <= (n[i] + n[near[j]]) * (b - a)]]
+            if len(hit):
+                out[i] = out[hit] = True
+    return out
+
+
 def _grid(rest: DataFrame, rows: DataFrame, texts: DataFrame, text: str, block: int) -> DataFrame:
     """Links between texts (token, id, n, pos, comp, c) of large buckets, written to the shared folder: blocks of a bucket become a grid of
-    cells, compared in parallel."""
-    sets = _sets(_rows_of(rest.select("id").distinct(), rows, texts), text)
+    cells, compared in parallel, by sketches first; the sets are sent only to cells where their text has a possible partner."""
+    sketches = _sketches(_rows_of(rest.select("id").distinct(), rows, texts), text)
     parts = F.ceil(F.col("c") / block).cast("int")
     met = rest.withColumn("parts", parts).withColumn("side", F.pmod(F.xxhash64("id", "token"), F.col("parts").cast("long")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = met.select("token", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "id", "comp", "side", "n", "pos").join(sets, "id")
-    met = met.select(*CELL, "id", "comp", "side", "n", "pos", "s").repartition(*CELL).sortWithinPartitions(*CELL, "id")
+    met = met.select("token", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "id", "comp", "side", "n", "pos")
+    names = [*CELL, "id", "comp", "side", "n", "pos"]
+    dealt = lambda df, extra: df.select(*names, extra).repartition(*CELL).sortWithinPartitions(*CELL, "id")
 
-    def links_of(group: pa.Table) -> list[tuple[bytes, bytes]]:
+    def columns(group: pa.Table):
         column = lambda c: group.column(c).to_numpy()
-        n, flat = column("n").astype(np.int64), group.column("s").combine_chunks().flatten().to_numpy()
         comp = group.column("comp").combine_chunks().dictionary_encode().indices.to_numpy()
-        return _cell(group.column("id").to_pylist(), comp, column("side"), n, column("pos").astype(np.int64), flat,
-                     group.column("i")[0].as_py() != group.column("j")[0].as_py())
+        across = group.column("i")[0].as_py() != group.column("j")[0].as_py()
+        return comp, column("side"), column("n").astype(np.int64), column("pos").astype(np.int64), across
+
+    def sifted(batches):
+        def possible(group: pa.Table) -> pa.RecordBatch:
+            comp, side, n, pos, across = columns(group)
+            lists = group.column("k").combine_chunks()
+            ends, flat = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten().to_numpy()
+            hit = _possible(comp, side, n, pos, [flat[a:b] for a, b in zip(ends[:-1], ends[1:])], across)
+            chosen = group.filter(pa.array(hit)).combine_chunks()
+            return pa.RecordBatch.from_arrays([chosen.column(c).combine_chunks() for c in names], names)
+        yield from _by_cell(batches, possible)
+
+    kinds = "token long, i int, j int, id binary, comp binary, side int, n int, pos int"
+    open_ = cut(map_arrow(dealt(met.join(sketches.drop("m"), "id"), "k"), sifted, kinds), "cells", "zstd")
+    discard(sketches)
+    sets = _sets(_rows_of(open_.select("id").distinct(), rows, texts), text)
 
     def compared(batches):
-        rest = None
-        for batch in batches:
-            data = pa.Table.from_batches([batch])
-            data = data if rest is None else pa.concat_tables([rest, data])
-            if not data.num_rows:
-                continue
-            out, rest = split(data)
-            yield out
-        if rest is not None:
-            found = links_of(rest) if rest.num_rows > 1 else []
-            yield batch_of(found)
-
-    def batch_of(found):
-        return pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.binary()) for c in (0, 1)], ["a", "b"])
-
-    def split(data: pa.Table):
-        new = np.zeros(data.num_rows, bool)
-        for c in CELL:
-            k = data.column(c).to_numpy()
-            new[1:] |= k[1:] != k[:-1]
-        begins = np.concatenate([[0], np.flatnonzero(new)])
-        found = [x for a, b in zip(begins[:-1], begins[1:]) if b - a > 1 for x in links_of(data.slice(a, b - a))]
-        return batch_of(found), data.slice(begins[-1])
-
-    links = cut(map_arrow(met, compared, "a binary, b binary"), "near")
-    discard(sets)
+        def links(group: pa.Table) -> pa.RecordBatch:
+            comp, side, n, pos, across = columns(group)
+            found = _cell(group.column("id").to_pylist(), comp, side, n, pos, group.column("s").combine_chunks().flatten().to_numpy(), across)
+            return pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.binary()) for c in (0, 1)], ["a", "b"])
+        yield from _by_cell(batches, links)
+
+    links = cut(map_arrow(dealt(open_.join(sets, "id"), "s"), compared, "a binary, b binary"), "near")
+    discard(open_, sets)
     return links
 
 

@@ -184,6 +184,29 @@ def kept_by_brute_force(texts):
     return {i for i in range(len(texts)) if root[i] == i}
 
 
+def test_sketches_rule_out_no_near_copies(spark):
+    r = np.random.default_rng(3)
+    rows, shares = [], []
+    for n in (1, 2, 5, 31, 32, 33, 100, 127, 128, 130, 700):
+        for share in (0.5, 0.75, 0.79, 0.8, 0.82, 0.9, 1.0):
+            for _ in range(4):
+                both = r.integers(0, 1 << 63, max(1, round(n * share)), dtype=np.uint64)
+                m = round(len(both) / share) - len(both)
+                one = r.integers(0, m + 1)
+                x, y = (np.unique(np.concatenate([both, r.integers(0, 1 << 63, k, dtype=np.uint64)])) for k in (one, m - one))
+                shares.append(len(np.intersect1d(x, y)) / len(np.union1d(x, y)))
+                rows.append((len(rows), len(x), len(y), simhash.sketch(x).tolist(), simhash.sketch(y).tolist()))
+    df = spark.createDataFrame(rows, "i int, n int, m int, s array<long>, t array<long>")
+    may = {x.i: x.may for x in df.select("i", simhash._may_share(*[F.col(c) for c in "nmst"]).alias("may")).collect()}
+    start = np.zeros(2, np.int64)
+    for i, n, m, s, t in rows:
+        hit = simhash._possible(np.arange(2), start, np.array([n, m]), start, [np.array(s), np.array(t)], False)
+        fits = 9 * min(n, m) >= 4 * (n + m)
+        assert hit.all() == hit.any() == bool(may[i] and fits)
+        assert may[i] or shares[i] < 0.8
+    assert sum(not may[i] for i in may if shares[i] < 0.76 and rows[i][1] > 90) > 20
+
+
 def test_near_copies_of_an_original_in_the_middle(spark):
     r = random.Random(21)
     base = [f"w{r.randrange(5000)}" for _ in range(100)]
