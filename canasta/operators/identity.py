@@ -38,6 +38,39 @@ def _next_words(title: Column, marks: list[str], start: int = 0) -> Column:
     return F.array_compact(F.transform(title, following))
 
 
+@lru_cache(maxsize=4)
+def word_classes(v: Vocabulary) -> dict[str, tuple[int, list]]:
+    """Classes of words as (bit, words). A word's classes are one number; the rules of a pair compare numbers."""
+    lists = {c: getattr(v, c) for c in ("non_food", "pets", "alcohol", "derived", "speciality", "prepared", "deli", "processed", "fresh_signs", "flavors", "canned", "form")}
+    lists |= {"alcohol_free": ALCOHOL_FREE, **{f"group{i}": g for i, g in enumerate(v.modifier_groups)}}
+    return {name: (1 << i, items) for i, (name, items) in enumerate(lists.items())}
+
+
+def _mask_of(word: str, v: Vocabulary) -> int:
+    return sum(bit for bit, items in word_classes(v).values() if word in items)
+
+
+def class_marks(tokens: Column, v: Vocabulary) -> Column:
+    """The words that are in a class, with the number of their classes."""
+    def mark(w: Column) -> Column:
+        bits = [F.when(one_of(w, items), F.lit(bit).cast("long")).otherwise(F.lit(0).cast("long")) for bit, items in word_classes(v).values()]
+        return F.struct(w.alias("t"), reduce(Column.bitwiseOR, bits).alias("m"))
+    return F.filter(F.transform(F.array_distinct(tokens), mark), lambda e: e["m"] != 0)
+
+
+def _mask(marks: Column) -> Column:
+    return F.aggregate(marks, F.lit(0).cast("long"), lambda a, e: a.bitwiseOR(e["m"]))
+
+
+def _has(mask: str, name: str, v: Vocabulary) -> Column:
+    return F.col(mask).bitwiseAND(F.lit(word_classes(v)[name][0]).cast("long")) != 0
+
+
+def _of_class(marks: str, name: str, v: Vocabulary) -> Column:
+    bit = F.lit(word_classes(v)[name][0]).cast("long")
+    return F.transform(F.filter(marks, lambda e: e["m"].bitwiseAND(bit) != 0), lambda e: e["t"])
+
+
 @lru_cache(maxsize=4)
 def _target_columns(v: Vocabulary) -> list[dict[str, Column]]:
     """The analysis of catalogue names in stages; each stage reads columns of the earlier ones."""
@@ -62,7 +95,8 @@ def _target_columns(v: Vocabulary) -> list[dict[str, Column]]:
          "t_subtypes": F.when(F.col("t_variety"), F.array_except(subtypes, words(["saborizado", "saborizada"]))).otherwise(subtypes),
          "t_canned": F.arrays_overlap("t_words", words(v.canned)),
          "t_qty": Q.target_quantity(F.col("t_basis"), F.col("t_count"), F.col("t_size"), F.col("weight_kg")),
-         "t_surface": X.surface_words(name, F.col("t_req"), v)},
+         "t_surface": X.surface_words(name, F.col("t_req"), v), "t_marks": class_marks(F.col("t_all"), v)},
+        {"t_mask": _mask(F.col("t_marks")), "t_flavors": _of_class("t_marks", "flavors", v)},
         {"t_search": X.search_queries(F.col("t_req"), F.col("t_surface"), F.col("t_eff"), v)},
     ]
 
@@ -90,7 +124,9 @@ def _listing_columns(v: Vocabulary) -> list[dict[str, Column]]:
          "l_own": F.array_union(F.transform("l_stated", lambda e: e["t"]), F.col("l_ordered"))},
         {"l_implied": X.implied_words(F.col("l_own"), v)},
         {"l_pos": F.concat("l_stated", more), "l_tokens": F.array_union("l_own", F.transform("l_implied", lambda e: e["t"])),
-         "l_flavor": X.has_flavor(F.col("l_own"), F.col("l_words"), v)},
+         "l_flavor": X.has_flavor(F.col("l_own"), F.col("l_words"), v), "l_word_marks": class_marks(F.col("l_words"), v)},
+        {"l_marks": class_marks(F.col("l_tokens"), v), "l_word_mask": _mask(F.col("l_word_marks"))},
+        {"l_mask": _mask(F.col("l_marks"))},
     ]
 
 
@@ -99,9 +135,18 @@ def listing_features(listings: DataFrame, v: Vocabulary = SPANISH) -> DataFrame:
     return reduce(DataFrame.withColumns, _listing_columns(v), listings).drop("l_stated", "l_implied")
 
 
-def _cand(v: Vocabulary) -> Column:
+def pair_features(pairs: DataFrame, v: Vocabulary = SPANISH) -> DataFrame:
+    """What several rules read of a pair: the listing's words for this target, their classes, and the place of the first target word."""
     extra = one_of(F.col("t_head"), v.flavored_families) & F.col("l_flavor")
-    return F.when(extra, F.array_union("l_tokens", F.array(F.lit("saborizado")))).otherwise(F.col("l_tokens"))
+    own = _mask_of("saborizado", v)
+    marked = F.array(F.struct(F.lit("saborizado").alias("t"), F.lit(own).cast("long").alias("m")))
+    marks = F.when(extra, F.concat("l_marks", marked)).otherwise(F.col("l_marks")) if own else F.col("l_marks")
+    mask = F.when(extra, F.col("l_mask").bitwiseOR(F.lit(own).cast("long"))).otherwise(F.col("l_mask"))
+    return pairs.withColumns({"p_cand": F.when(extra, F.array_union("l_tokens", F.array(F.lit("saborizado")))).otherwise(F.col("l_tokens")),
+                              "p_marks": marks, "p_mask": mask, "p_first": _first_target_word(v)})
+
+
+PAIR = ("p_cand", "p_marks", "p_mask", "p_first")
 
 
 def position(token: Column, v: Vocabulary = SPANISH) -> Column:
@@ -117,10 +162,10 @@ def _reject(code: str, test: Column, text: Column | str) -> Column:
     return F.when(F.coalesce(test, F.lit(False)), F.struct(F.lit(code).alias("code"), text.alias("text")))
 
 
-def _found(code: str, found: Column, text: str, also: Column | None = None) -> Column:
-    """Reject when `found` (words) is not empty; the sorted words end the reason."""
-    test = F.size(found) > 0
-    return _reject(code, test if also is None else test & also, F.concat(F.lit(text), F.array_join(F.array_sort(found), ", ")))
+def _found(code: str, found: Column, text: str, *first: Column) -> Column:
+    """Reject when `found` (words) is not empty; the sorted words end the reason. `first` are cheaper tests that must hold too."""
+    test = reduce(Column.__and__, [*first, F.size(found) > 0])
+    return _reject(code, test, F.concat(F.lit(text), F.array_join(F.array_sort(found), ", ")))
 
 
 def _quoted(items: Column) -> Column:
@@ -135,53 +180,55 @@ def rule_missing() -> Column:
 
 def rule_containment(v: Vocabulary = SPANISH) -> Column:
     """Every required word must show; a family name may be replaced by one of its members."""
-    missing = F.array_except("t_eff", _cand(v))
-    by_member = F.arrays_overlap(_cand(v), F.col("t_members"))
+    missing = F.array_except("t_eff", "p_cand")
+    by_member = F.arrays_overlap("p_cand", "t_members")
     missing = F.when(by_member, F.array_except(missing, F.array("t_head"))).otherwise(missing)
     return _found("R02", missing, "missing required identity word(s): ")
 
 
 def rule_forbidden(v: Vocabulary = SPANISH) -> list[Column]:
     """Words that make a listing another kind of product, unless the target has them too."""
-    cand, allowed = _cand(v), F.col("t_all")
+    allowed = F.col("t_all")
+
+    def bad(name: str) -> Column:
+        return F.array_except(_of_class("p_marks", name, v), allowed)
+
+    def ban(code: str, name: str, text: str, *also: Column) -> Column:
+        return _found(code, bad(name), text, _has("p_mask", name, v), *also)
 
-    def bad(items: list[str] | Column) -> Column:
-        items = items if isinstance(items, Column) else words(items)
-        return F.array_except(F.array_intersect(cand, items), allowed)
+    def listed(items: str) -> Column:
+        return F.array_except(F.array_intersect("p_cand", items), allowed)
 
-    drinks = bad(v.alcohol)
-    drinks = F.when(F.arrays_overlap("l_words", words(ALCOHOL_FREE)), F.array_except(drinks, words(ALCOHOL_EXCUSED))).otherwise(drinks)
-    seen = F.array_union(cand, F.col("l_words"))
-    own_flavors = F.array_intersect(allowed, words(v.flavors))
+    drinks = F.when(_has("l_word_mask", "alcohol_free", v), F.array_except(bad("alcohol"), words(ALCOHOL_EXCUSED))).otherwise(bad("alcohol"))
+    processed = F.array_except(F.array_union(_of_class("p_marks", "processed", v), _of_class("l_word_marks", "processed", v)), allowed)
+    some = lambda items: F.size(items) > 0
     return [
-        _found("R03", bad(v.non_food), "non-food product for a food target: ", F.col("t_food")),
-        _found("R04", bad(v.pets), "pet product: "),
-        _found("R05", drinks, "alcoholic product: ", ~F.array_contains(allowed, "vinagre")),
-        _found("R06", bad(v.derived), "preparation/mix, not the product itself: ", ~F.col("t_variety")),
-        _found("R07", bad(v.speciality), "speciality/premium version of the product: "),
-        _found("R08", bad(v.prepared), "breaded/prepared version of the product: "),
-        _found("R09", bad(v.deli), "cooked/deli/seasoned version of a raw meat product: ", one_of(F.col("t_line"), RAW_MEAT_LINES)),
-        _found("R14", F.array_except(F.array_intersect(seen, words(v.processed)), allowed),
-               "processed/canned product for a fresh-produce target: ", one_of(F.col("t_family"), FRESH_FAMILIES)),
-        _found("R15", F.array_intersect(F.col("l_words"), words(v.fresh_signs)), "fresh product for a canned target: ",
-               F.col("t_canned") & ~F.arrays_overlap("l_words", words(v.canned))),
-        _found("R18", F.array_intersect(cand, F.col("t_forbidden")), "false-positive family term(s): "),
-        _reject("R19", F.size(bad(F.col("t_subtypes"))) > 0, F.concat(F.lit("unexpected subtype for plain '"), "t_head", F.lit("': "),
-                F.array_join(F.array_sort(bad(F.col("t_subtypes"))), ", "))),
-        _found("R20", bad(F.col("t_generic")), "generic-family false positive term(s): "),
-        _found("R21", F.array_except(F.array_intersect(cand, words(v.flavors)), own_flavors), "different/extra flavour(s): ",
-               (F.size(own_flavors) > 0) & ~F.col("t_variety")),
+        ban("R03", "non_food", "non-food product for a food target: ", F.col("t_food")),
+        ban("R04", "pets", "pet product: "),
+        _found("R05", drinks, "alcoholic product: ", _has("p_mask", "alcohol", v), ~F.array_contains(allowed, "vinagre")),
+        ban("R06", "derived", "preparation/mix, not the product itself: ", ~F.col("t_variety")),
+        ban("R07", "speciality", "speciality/premium version of the product: "),
+        ban("R08", "prepared", "breaded/prepared version of the product: "),
+        ban("R09", "deli", "cooked/deli/seasoned version of a raw meat product: ", one_of(F.col("t_line"), RAW_MEAT_LINES)),
+        _found("R14", processed, "processed/canned product for a fresh-produce target: ", _has("p_mask", "processed", v) | _has("l_word_mask", "processed", v),
+               one_of(F.col("t_family"), FRESH_FAMILIES)),
+        _found("R15", _of_class("l_word_marks", "fresh_signs", v), "fresh product for a canned target: ", _has("l_word_mask", "fresh_signs", v), F.col("t_canned"),
+               ~_has("l_word_mask", "canned", v)),
+        _found("R18", F.array_intersect("p_cand", "t_forbidden"), "false-positive family term(s): ", some("t_forbidden")),
+        _reject("R19", some("t_subtypes") & some(listed("t_subtypes")), F.concat(F.lit("unexpected subtype for plain '"), "t_head", F.lit("': "),
+                F.array_join(F.array_sort(listed("t_subtypes")), ", "))),
+        _found("R20", listed("t_generic"), "generic-family false positive term(s): ", some("t_generic")),
+        _found("R21", F.array_except(_of_class("p_marks", "flavors", v), "t_flavors"), "different/extra flavour(s): ", some("t_flavors") & _has("p_mask", "flavors", v) & ~F.col("t_variety")),
     ]
 
 
 def rule_exclusive_group(v: Vocabulary = SPANISH) -> list[Column]:
     """Both sides name members of a group of contradicting words, but no common one."""
-    cand, out = _cand(v), []
-    groups = [("R16", g, "conflicting subtype") for g in v.modifier_groups] + [("R17", v.form, "conflicting product form")]
-    for code, group, text in groups:
-        g = words(group)
-        t, c = F.array_intersect("t_all", g), F.array_intersect(cand, g)
-        clash = (F.size(t) > 0) & (F.size(c) > 0) & ~F.arrays_overlap(t, c)
+    out = []
+    groups = [("R16", f"group{i}", "conflicting subtype") for i in range(len(v.modifier_groups))] + [("R17", "form", "conflicting product form")]
+    for code, name, text in groups:
+        t, c = F.array_distinct(_of_class("t_marks", name, v)), F.array_distinct(_of_class("p_marks", name, v))
+        clash = _has("t_mask", name, v) & _has("p_mask", name, v) & ~F.arrays_overlap(t, c)
         out.append(_reject(code, clash, F.concat(F.lit(text + ": target="), _quoted(t), F.lit(", candidate="), _quoted(c))))
     return out
 
@@ -198,9 +245,9 @@ def rule_position(v: Vocabulary = SPANISH) -> list[Column]:
     lead_word = F.get("l_ordered", F.lit(0))
     purpose = (F.size("t_purpose") > 0) & F.array_contains("t_purpose", lead_word) & ~F.array_contains("t_purpose", F.col("t_head"))
     lead = lambda p, start: F.when(p > start, F.slice("l_words", F.lit(start + 1), F.greatest(p - start, F.lit(0)))).otherwise(_none())
-    marker = let(_first_target_word(v), lambda p: F.get(F.filter(lead(p, 1), lambda w: one_of(w, v.markers)), F.lit(0)))
+    marker = let(F.col("p_first"), lambda p: F.get(F.filter(lead(p, 1), lambda w: one_of(w, v.markers)), F.lit(0)))
     allowed = F.array_union(F.array_union("t_eff", "t_all"), F.col("t_members"))
-    noun = let(_first_target_word(v), lambda p: F.get(F.filter(
+    noun = let(F.col("p_first"), lambda p: F.get(F.filter(
         F.when(p > 0, F.slice("l_canon", F.lit(1), F.greatest(p, F.lit(0)))).otherwise(_none()),
         lambda w: one_of(w, v.nouns) & ~F.array_contains(allowed, w)), F.lit(0)))
     only = F.get("t_eff", F.lit(0))
@@ -243,7 +290,7 @@ def rule_shape(v: Vocabulary = SPANISH) -> list[Column]:
 
 @lru_cache(maxsize=4)
 def identity_reason(v: Vocabulary = SPANISH) -> Column:
-    """struct(code, text) of the first rule that rejects the pair, NULL when none does."""
+    """struct(code, text) of the first rule that rejects the pair (with `pair_features`), NULL when none does."""
     ban, order, shape = rule_forbidden(v), rule_position(v), rule_shape(v)
     groups = rule_exclusive_group(v)
     return F.coalesce(rule_missing(), rule_containment(v), *ban[:7], *order[:4], *ban[7:9], *groups, *ban[9:], *shape, *order[4:])
@@ -256,7 +303,7 @@ def apply_rules(pairs: DataFrame, settings: PriceSettings = PriceSettings(), v:
     """
     counted = F.col("t_basis") == "count"
     qty = F.when(counted, F.col("l_count")).otherwise(F.col("l_mass"))
-    one = pairs.withColumns({"_why": identity_reason(v), "_qty": qty,
+    one = pair_features(pairs, v).withColumns({"_why": identity_reason(v), "_qty": qty,
                              "_price": choose_price(F.col("regular_price"), F.col("final_price"), F.col("price"), F.col("price_basis"), settings)})
     kg, price = F.col("_qty.kg"), F.col("_price.price")
     unreadable = ~F.coalesce(kg > 0, F.lit(False))
@@ -269,7 +316,7 @@ def apply_rules(pairs: DataFrame, settings: PriceSettings = PriceSettings(), v:
     by_weight = F.col("l_mass.source").startswith("sold by weight")
     unit = F.when(counted, F.col("l_count.kg")).when(by_weight, F.col("l_mass.kg")).otherwise(F.coalesce("l_size.unit_kg", "l_mass.kg"))
     wanted = F.when(counted, F.col("t_count.n")).otherwise(F.coalesce("t_size.unit_kg", F.when(F.col("weight_kg") > 0, F.col("weight_kg"))))
-    two = one.withColumns({"_why": why, "_identified": F.col("_why").isNull() & ~unreadable})
+    two = one.withColumns({"_why": why, "_identified": F.col("_why").isNull() & ~unreadable}).drop(*PAIR)
     return two.withColumns({
         "kg": kg, "quantity_source": F.col("_qty.source"), "target_unit_kg": F.when(identified, wanted),
         "candidate_unit_kg": F.when(identified, F.coalesce(unit, kg)), "size_ratio": F.when(identified, Q.size_ratio(wanted, unit)),

@@ -136,7 +136,7 @@ def rules_sql(rules) -> str:
 
 def verdict(spark, folder, rules):
     why = F.coalesce(*rules)
-    return pairs(spark, folder).withColumn("y", why).select("product_code", "sku", F.concat_ws("|", "y.code", "y.text").alias("v")).select(
+    return identity.pair_features(pairs(spark, folder)).withColumn("y", why).select("product_code", "sku", F.concat_ws("|", "y.code", "y.text").alias("v")).select(
         "product_code", "sku", F.when(F.col("v") != "", F.col("v")).alias("verdict"))
 
 
