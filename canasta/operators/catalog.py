@@ -51,23 +51,34 @@ def pricebook_filter(book: DataFrame, pricebook: str) -> DataFrame:
     return book.where(same_id(F.col("pricebook"), pricebook))
 
 
+def _by_book(book: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Rows whose book id, if they have one, is in its 15-character form."""
+    if "pricebook" not in book.columns:
+        return book, []
+    return book.withColumn("pricebook", F.substring(F.trim(F.coalesce("pricebook", F.lit(""))), 1, 15)), ["pricebook"]
+
+
 def book_violations(book: DataFrame, decimal_comma: bool = False) -> DataFrame:
-    """One row per problem: missing or repeated codes, repeated ids, unreadable or negative prices."""
+    """One row per problem: missing or repeated codes, repeated ids, unreadable or negative prices. With a column `pricebook` every book is
+    checked by itself and the problem names it; a code or id may stand in several books."""
+    book, own = _by_book(book)
     code, ident = normalize_code(F.col("code")), F.trim(F.coalesce(F.col("id"), F.lit("")))
-    rows = book.select(code.alias("code"), ident.alias("id"), F.col("price").cast("string").alias("price"))
-    missing = rows.where(F.coalesce(F.col("code"), F.lit("")) == "").select(F.lit("missing code").alias("problem"), F.col("id").alias("key"), F.lit(1).cast("long").alias("n"))
+    rows = book.select(*own, code.alias("code"), ident.alias("id"), F.col("price").cast("string").alias("price"))
+    one = F.lit(1).cast("long").alias("n")
+    missing = rows.where(F.coalesce(F.col("code"), F.lit("")) == "").select(*own, F.lit("missing code").alias("problem"), F.col("id").alias("key"), one)
 
     def repeated(c: str, text: str) -> DataFrame:
-        return (rows.where(F.col(c) != "").groupBy(c).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-                .select(F.lit(text).alias("problem"), F.col(c).alias("key"), "n"))
+        return (rows.where(F.col(c) != "").groupBy(*own, c).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+                .select(*own, F.lit(text).alias("problem"), F.col(c).alias("key"), "n"))
 
     value = parse_money(F.col("price"), decimal_comma)
     bad = (F.trim(F.col("price")) != "") & (value.isNull() | (value < 0))
-    prices = rows.where(bad).select(F.lit("invalid price").alias("problem"), F.col("code").alias("key"), F.lit(1).cast("long").alias("n"))
+    prices = rows.where(bad).select(*own, F.lit("invalid price").alias("problem"), F.col("code").alias("key"), one)
     return missing.unionByName(repeated("code", "repeated code")).unionByName(repeated("id", "repeated id")).unionByName(prices)
 
 
 def price_map(book: DataFrame, decimal_comma: bool = False) -> DataFrame:
-    """Code and price of the rows that have one."""
+    """Code and price of the rows that have one, with the book where there is a column `pricebook`."""
+    book, own = _by_book(book)
     value = finite(parse_money(F.col("price"), decimal_comma))
-    return book.select(normalize_code(F.col("code")).alias("product_code"), value.alias("current_price")).where(F.col("current_price").isNotNull())
+    return book.select(*own, normalize_code(F.col("code")).alias("product_code"), value.alias("current_price")).where(F.col("current_price").isNotNull())

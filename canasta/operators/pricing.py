@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from canasta.functions.money import fixed
 from canasta.operators.cleaning import PRODUCT, PRODUCT_STORE
-from canasta.operators.skew import HOT_ROWS, exact_quantiles
+from canasta.operators.skew import HOT_ROWS, attach, cut, exact_quantiles
 from canasta.settings import PriceSettings
 
 
@@ -123,6 +123,31 @@ def estimates(clean: DataFrame, settings: PriceSettings = PriceSettings(), balan
     return market_levels(clean, settings, balanced, hot_rows).join(spread_stats(clean, hot_rows), PRODUCT)
 
 
+def estimates_as_stored(clean: DataFrame, stored: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """`estimates` of products that were priced with settings of their own: `stored` has product_code, economy_percentile, store_weight_cap,
+    price_level and average_mode, one row per product. All settings are done in one pass; the percentile is a column of the ranking."""
+    sizes = clean.groupBy(*PRODUCT).agg(F.count(F.lit(1)).alias("_n"))
+    rank = stored.select(*PRODUCT, F.col("economy_percentile").cast("double").alias("_q")).join(sizes, PRODUCT)
+    rows = cut(attach(clean.select(*PRODUCT_STORE, "price_per_kg"), rank, PRODUCT, "_n", "inner", hot_rows).drop("_n"), "ranked")
+    level = F.lower("price_level")
+
+    def figures(keys: list[str]) -> DataFrame:
+        middle = exact_quantiles(rows, [*keys, "_q"], "price_per_kg", {"median": 0.5, "economy": "_q"}, hot_rows=hot_rows).select(*keys, "median", "economy")
+        means = rows.where("price_per_kg is not null").groupBy(*keys).agg(F.avg("price_per_kg").alias("average"), F.count(F.lit(1)).alias("n"))
+        return means.join(middle, keys).join(stored.drop("economy_percentile"), PRODUCT)
+
+    weight = F.least(F.col("n"), F.greatest(F.lit(1), F.col("store_weight_cap")))
+    balanced = lambda c: F.sum(c * weight) / F.sum(weight)
+    per_store = F.when(level == "average", F.col("average")).when(level == "economy", F.col("economy")).otherwise(F.col("median"))
+    by_store = figures(PRODUCT_STORE).groupBy(*PRODUCT).agg(balanced(F.col("average")).alias("average"), balanced(F.col("economy")).alias("economy"),
+                                                           balanced(per_store).alias("market"), F.count(F.lit(1)).alias("store_count"), F.sum("n").alias("n"))
+    one_level = F.when(level == "median", F.col("median")).when(level == "economy", F.col("economy")).otherwise(F.col("average"))
+    together = figures(PRODUCT).where(F.col("average_mode") == "all_candidates").select(*PRODUCT, F.struct("average", "economy", one_level.alias("market")).alias("_all"))
+    done = by_store.join(together, PRODUCT, "left")
+    chosen = [F.when(F.col("_all").isNotNull(), F.col(f"_all.{c}")).otherwise(F.col(c)).alias(c) for c in ("average", "economy", "market")]
+    return done.select(*PRODUCT, *chosen, "store_count").join(spread_stats(clean, hot_rows), PRODUCT)
+
+
 def manual_average(df: DataFrame, keys: list[str], text: str = "typed") -> DataFrame:
     """Average of typed store prices: blanks are ignored and one invalid entry blocks the product."""
     value = F.regexp_replace(F.trim(text), ",", ".").try_cast("decimal(18,6)")   # exact sums in any row order

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -149,58 +146,43 @@ def current_state(log: DataFrame, items: DataFrame, hot_rows: int = HOT_ROWS) ->
 
 
 STORED = ("market_percent", "store_weight_cap", "economy_percentile", "price_level", "average_mode")
-MOST_SETTINGS = 64     # different settings in one summary; each is a pass over its products
 
 
 def override_recalc(audit: DataFrame, overrides: DataFrame, summary: DataFrame, settings: PriceSettings = PriceSettings(),
                     stores: list | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Prices and evidence of the products whose listings a person included or excluded; no filter runs again.
 
-    `audit`: product_code, store, sku, accepted, price_per_kg. `overrides`: product_code, store, sku, included.
-    `summary`: product_code, target_kg, confidence, quality, and the settings its rows were priced with (STORED), which win over
-    `settings`; missing or null ones are taken from there. `problem` names products that cannot be recalculated. `stores` asks for
-    stores_used and the text of store averages.
+    `audit`: product_code, store, sku, accepted, price_per_kg. `overrides`: product_code, store, sku, included; of rows that repeat a listing
+    one that includes it wins. `summary`: product_code, target_kg, confidence, quality, and the settings its rows were priced with (STORED), which
+    win over `settings`; missing or null ones are taken from there. Any number of different settings is done in one pass. `problem` names
+    products that cannot be recalculated. `stores` asks for stores_used and the text of store averages.
     """
     base = {c: getattr(settings, c, "store_balanced") for c in STORED}
     have = [F.coalesce(F.col(c) if c in summary.columns else F.lit(None), F.lit(d)).cast(type(d).__name__.replace("str", "string").replace("float", "double")).alias(c)
             for c, d in base.items()]
+    overrides = overrides.groupBy("product_code", "store", "sku").agg(F.max("included").alias("included"))
     asked = overrides.select("product_code").distinct()
-    named = cut(summary.join(asked, "product_code", "left_semi").select("product_code", "target_kg", "confidence", "quality", F.struct(*have).alias("with")), "recalculated")
+    named = cut(summary.join(asked, "product_code", "left_semi").select("product_code", "target_kg", "confidence", "quality", *have), "recalculated")
     sizes = audit.join(asked, "product_code", "left_semi").groupBy("product_code").agg(F.count(F.lit(1)).alias("_n"))
     chosen = attach(audit.select("product_code", "store", "sku", "accepted", "price_per_kg"), sizes, ["product_code"], "_n", "inner", hot_rows).drop("_n")
     chosen = cut(chosen.join(overrides, ["product_code", "store", "sku"], "left").withColumn("used", F.coalesce("included", "accepted")), "chosen")
-    different = sorted(named.select("with").distinct().limit(MOST_SETTINGS + 1).collect(), key=str)
-    if len(different) > MOST_SETTINGS:
-        raise ValueError(f"more than {MOST_SETTINGS} different settings in one summary")
-    parts = []
-    for row in different or [None]:
-        own = base if row is None else row["with"].asDict()
-        mode = own.pop("average_mode")
-        group = named if row is None else named.where(F.struct(*[F.col(f"with.{c}") for c in STORED]) == F.struct(*[F.lit(v) for v in (*own.values(), mode)]))
-        parts.append(_recalculated(chosen, group, replace(settings, **own), mode != "all_candidates", stores, hot_rows))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _recalculated(chosen: DataFrame, summary: DataFrame, settings: PriceSettings, balanced: bool, store_order: list | None,
-                  hot_rows: int) -> DataFrame:
-    chosen = chosen.join(summary.select("product_code"), "product_code", "left_semi")
     usable = F.coalesce(F.col("price_per_kg") > 0, F.lit(False))
     used = chosen.where(F.col("used") & usable)
     totals = chosen.groupBy("product_code").agg(F.count(F.lit(1)).alias("listings"), F.count_if(F.col("used") & ~usable).alias("unpriced"))
-    priced = pricing.estimates(used, settings, balanced, hot_rows)
-    rows = totals.join(priced, "product_code", "left").join(summary, "product_code", "left")
-    if store_order is not None:
-        rows = rows.join(pricing.store_averages_text(pricing.store_stats(used, settings, hot_rows), store_order).drop("store_count"), "product_code", "left")
-    n, stores = F.coalesce("n", F.lit(0)), F.coalesce("store_count", F.lit(0))
+    priced = pricing.estimates_as_stored(used, named.select("product_code", *STORED[1:]), hot_rows)
+    rows = totals.join(named, "product_code").join(priced, "product_code", "left")
+    if stores is not None:
+        rows = rows.join(pricing.store_averages_text(pricing.store_stats(used, settings, hot_rows), stores).drop("store_count"), "product_code", "left")
+    n, count = F.coalesce("n", F.lit(0)), F.coalesce("store_count", F.lit(0))
     rebuilt = ("NO MATCHES", "VERY HIGH RISK", "HIGH RISK", "ONE STORE ONLY", "LOW SEARCH CONFIDENCE", "OK", "")
     kept = F.filter(F.transform(F.split(F.coalesce("quality", F.lit("")), r"\|"), lambda f: F.trim(f)), lambda f: ~F.substring_index(f, ":", 1).isin(*rebuilt))
-    flags = joined([F.array_join(kept, " | "), *evidence_flags(n, stores, F.col("confidence"), 2, settings, "selected")], "OK")
+    flags = joined([F.array_join(kept, " | "), *evidence_flags(n, count, F.col("confidence"), 2, settings, "selected")], "OK")
     problem = (F.when(F.col("unpriced") > 0, "Cannot include a listing without a usable price and size")
                .when(~F.coalesce(F.col("target_kg") > 0, F.lit(False)), "The target package quantity is missing"))
-    estimate = F.when(problem.isNull(), pricing.estimate_price(F.col("market"), F.col("target_kg"), settings))
-    return rows.select("product_code", n.alias("accepted_count"), (F.col("listings") - n).alias("rejected_count"), stores.alias("store_count"),
+    estimate = F.when(problem.isNull(), F.col("market") * F.col("target_kg") * F.col("market_percent"))
+    return rows.select("product_code", n.alias("accepted_count"), (F.col("listings") - n).alias("rejected_count"), count.alias("store_count"),
                        estimate.alias("estimate"), "market", "average", "median", "economy", "min", "max", "ratio", "cv", flags.alias("quality"), problem.alias("problem"),
-                       F.lit("pending").alias("decision"), *([] if store_order is None else ["stores_used", "store_averages"]))
+                       F.lit("pending").alias("decision"), *([] if stores is None else ["stores_used", "store_averages"]))
 
 
 def export_check(state: DataFrame, include_unchanged: bool = False) -> DataFrame:

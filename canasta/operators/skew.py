@@ -127,13 +127,14 @@ def value_band(value: Column, per_unit: int = 4096) -> Column:
             .when(value < 0, F.lit(-10_000_000) - log_band).otherwise(F.lit(0)).cast("long"))
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float],
-                    logs: dict[str, float] | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float | str],
+                    logs: dict[str, float | str] | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Linear-interpolated quantiles per key, exact for any group size; NULL values are left out.
 
     Equal values are first folded into (value, count). Ranks are running counts within (key, band): an ordinary key
     has the single band 0, a key with more than `hot_rows` distinct values is cut into value bands, whose few counts
-    give the rank offset. `logs` asks for quantiles of ln(value), interpolated between the same two neighbours.
+    give the rank offset. `logs` asks for quantiles of ln(value), interpolated between the same two neighbours. A quantile may be the name of
+    one of the keys, for ranks that differ from key to key.
     Output: keys, n (values), distinct_n, one column per name.
     """
     keys, logs = list(keys), logs or {}
@@ -154,19 +155,20 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: d
     def at(rank: Column) -> Column:
         return F.max(F.when((F.col("_upto") - F.col("_c") <= rank) & (rank < F.col("_upto")), F.col("_v")))
 
-    picks = {}
-    for q in sorted({*quantiles.values(), *logs.values()}):
-        q = min(max(q, 0.0), 1.0)
-        spot = (F.col("_n") - 1) * F.lit(float(q))
-        picks[q] = (at(F.floor(spot)).alias(f"_lo_{q}"), at(F.ceil(spot)).alias(f"_hi_{q}"))
-    small = ranked.groupBy(*keys).agg(F.max("_n").alias("n"), F.count(F.lit(1)).alias("distinct_n"),
-                                      *[c for pair in picks.values() for c in pair])
-
-    def between(q: float, f: Callable[[Column], Column]) -> Column:
-        q = min(max(q, 0.0), 1.0)
-        spot = (F.col("n") - 1) * F.lit(float(q))
-        low, high = f(F.col(f"`_lo_{q}`")), f(F.col(f"`_hi_{q}`"))
-        return low + (high - low) * (spot - F.floor(spot))
+    wanted = list(dict.fromkeys([*quantiles.values(), *logs.values()]))
+    names = {q: f"_{i}" for i, q in enumerate(wanted)}
+
+    def spot(q: float | str) -> Column:
+        rank = F.least(F.greatest(F.col(q), F.lit(0.0)), F.lit(1.0)) if isinstance(q, str) else F.lit(min(max(float(q), 0.0), 1.0))
+        return rank
+
+    picks = [x for q in wanted for x in (at(F.floor((F.col("_n") - 1) * spot(q))).alias(f"_lo{names[q]}"), at(F.ceil((F.col("_n") - 1) * spot(q))).alias(f"_hi{names[q]}"))]
+    small = ranked.groupBy(*keys).agg(F.max("_n").alias("n"), F.count(F.lit(1)).alias("distinct_n"), *picks)
+
+    def between(q: float | str, f: Callable[[Column], Column]) -> Column:
+        place = (F.col("n") - 1) * spot(q)
+        low, high = f(F.col(f"_lo{names[q]}")), f(F.col(f"_hi{names[q]}"))
+        return low + (high - low) * (place - F.floor(place))
 
     return small.select(*keys, "n", "distinct_n",
                         *[between(q, lambda c: c).alias(name) for name, q in quantiles.items()],

@@ -117,30 +117,31 @@ def pricebook_filter(spark, folder):
     return catalog.pricebook_filter(fixtures.price_book(spark, folder), "01s4100000000FxAAA").select("id")
 
 
-BOOK = """b AS (SELECT o_custkey AS code, CASE WHEN o_orderkey % 9 = 0 THEN '' ELSE (o_orderkey // 2)::VARCHAR END AS id, o_orderkey % 8 AS k, o_totalprice AS v FROM orders WHERE o_orderstatus = 'F')"""
+BOOK = """b AS (SELECT '01s4100000000' || o_orderstatus || 'x' AS pricebook, o_custkey AS code, CASE WHEN o_orderkey % 9 = 0 THEN '' ELSE (o_orderkey // 2)::VARCHAR END AS id, o_orderkey % 8 AS k, o_totalprice AS v FROM orders)"""
 
 
-def book(spark, folder):
+def books(spark, folder):
+    """All price books in one table; every second row carries the 18-character form of its book's id."""
     key = F.col("id").cast("bigint")
     price = F.when(key % 8 == 0, F.concat(F.lit("-"), "price")).when(key % 8 == 1, "n/a").when(key % 8 == 2, "").otherwise(F.col("price"))
-    rows = catalog.pricebook_filter(fixtures.price_book(spark, folder), "01s4100000000Fx")
+    rows = fixtures.price_book(spark, folder).withColumn("pricebook", F.when(key % 2 == 0, F.concat("pricebook", F.lit("AAA"))).otherwise(F.col("pricebook")))
     return rows.withColumn("price", price).withColumn("id", F.when(key % 9 == 0, "").otherwise(F.floor(key / 2).cast("string")))
 
 
-@query("unique_keys", f"""WITH {BOOK} SELECT 'repeated code' AS problem, code::VARCHAR AS key, count(*) AS n FROM b GROUP BY code HAVING count(*) > 1
- UNION ALL SELECT 'repeated id', id, count(*) FROM b WHERE id <> '' GROUP BY id HAVING count(*) > 1""")
+@query("unique_keys", f"""WITH {BOOK} SELECT pricebook, 'repeated code' AS problem, code::VARCHAR AS key, count(*) AS n FROM b GROUP BY pricebook, code HAVING count(*) > 1
+ UNION ALL SELECT pricebook, 'repeated id', id, count(*) FROM b WHERE id <> '' GROUP BY pricebook, id HAVING count(*) > 1""")
 def unique_keys(spark, folder):
-    return catalog.book_violations(book(spark, folder)).where(F.col("problem").startswith("repeated"))
+    return catalog.book_violations(books(spark, folder)).where(F.col("problem").startswith("repeated"))
 
 
-@query("valid_unit_price", f"WITH {BOOK} SELECT 'invalid price' AS problem, code::VARCHAR AS key, 1::BIGINT AS n FROM b WHERE k IN (0, 1)")
+@query("valid_unit_price", f"WITH {BOOK} SELECT pricebook, 'invalid price' AS problem, code::VARCHAR AS key, 1::BIGINT AS n FROM b WHERE k IN (0, 1)")
 def valid_unit_price(spark, folder):
-    return catalog.book_violations(book(spark, folder)).where(F.col("problem") == "invalid price")
+    return catalog.book_violations(books(spark, folder)).where(F.col("problem") == "invalid price")
 
 
-@query("price_map", f"WITH {BOOK} SELECT code::VARCHAR AS product_code, CASE WHEN k = 0 THEN -v ELSE v END AS current_price FROM b WHERE k NOT IN (1, 2)")
+@query("price_map", f"WITH {BOOK} SELECT pricebook, code::VARCHAR AS product_code, CASE WHEN k = 0 THEN -v ELSE v END AS current_price FROM b WHERE k NOT IN (1, 2)")
 def price_map(spark, folder):
-    return catalog.price_map(book(spark, folder))
+    return catalog.price_map(books(spark, folder))
 
 
 # -- flags and comparison ----------------------------------------------------------------------------------------
@@ -380,10 +381,11 @@ def current_state(spark, folder):
 
 @query("override_recalc", f"""WITH {ITEMS}, oc AS (SELECT DISTINCT product_code FROM x WHERE page = 7),
  us AS (SELECT x.*, CASE WHEN page = 7 THEN NOT accepted ELSE accepted END AS used FROM x JOIN oc USING (product_code)), tt AS (SELECT product_code, count(*) AS listings FROM us GROUP BY 1),
- s2 AS (SELECT product_code, store, quantile_cont(price_per_kg, 0.25) AS economy, count(*) AS n FROM us WHERE used GROUP BY 1, 2),
- b2 AS (SELECT product_code, sum(economy * least(n, CASE WHEN product_code % 5 = 0 THEN 1 ELSE 3 END)) / sum(least(n, CASE WHEN product_code % 5 = 0 THEN 1 ELSE 3 END)) AS market, count(*) AS store_count, sum(n)::BIGINT AS n FROM s2 GROUP BY 1),
+ s2 AS (SELECT product_code, store, quantile_cont(price_per_kg, 0.5) AS median, avg(price_per_kg) AS average, list_sort(list(price_per_kg)) AS l, (count(*) - 1) * ((product_code % 997) / 1994::DOUBLE) AS h, count(*) AS n FROM us WHERE used GROUP BY 1, 2),
+ s3 AS (SELECT *, CASE product_code % 3 WHEN 0 THEN median WHEN 1 THEN average ELSE l[floor(h)::BIGINT + 1] + (l[ceil(h)::BIGINT + 1] - l[floor(h)::BIGINT + 1]) * (h - floor(h)) END AS chosen FROM s2),
+ b2 AS (SELECT product_code, sum(chosen * least(n, 1 + product_code % 5)) / sum(least(n, 1 + product_code % 5)) AS market, count(*) AS store_count, sum(n)::BIGINT AS n FROM s3 GROUP BY 1),
  m2 AS (SELECT product_code, quantile_cont(price_per_kg, 0.5) AS median, CASE WHEN count(*) > 1 THEN stddev_pop(price_per_kg) / avg(price_per_kg) ELSE 0 END AS cv FROM us WHERE used GROUP BY 1),
- z AS (SELECT tt.product_code, coalesce(b2.n, 0) AS accepted_count, listings - coalesce(b2.n, 0) AS rejected_count, coalesce(b2.store_count, 0) AS store_count, b2.market * it.target_kg * CASE WHEN tt.product_code % 3 = 0 THEN 0.3::DOUBLE ELSE 0.2::DOUBLE END AS estimate, b2.market, m2.median, m2.cv, it.confidence, it.quality
+ z AS (SELECT tt.product_code, coalesce(b2.n, 0) AS accepted_count, listings - coalesce(b2.n, 0) AS rejected_count, coalesce(b2.store_count, 0) AS store_count, b2.market * it.target_kg * (tt.product_code % 7 / 10::DOUBLE) AS estimate, b2.market, m2.median, m2.cv, it.confidence, it.quality
    FROM tt LEFT JOIN b2 USING (product_code) LEFT JOIN m2 USING (product_code) LEFT JOIN it ON it.product_code = tt.product_code)
  SELECT product_code, accepted_count, rejected_count, store_count, round(estimate + 3.7e-6, 4) AS estimate, round(market + 3.7e-6, 4) AS market, round(median + 3.7e-6, 4) AS median, round(cv + 3.7e-6, 4) AS cv,
   coalesce(nullif(concat_ws(' | ', nullif(array_to_string(list_filter(string_split(quality, ' | '), lambda f: f LIKE 'TARGET%' OR f LIKE '%REQUEST ERROR%'), ' | '), ''),
@@ -393,8 +395,10 @@ def override_recalc(spark, folder):
     """A person turns every listing of page 7 round; the products concerned are priced again."""
     audit = x1(spark, folder)
     overrides = audit.where(F.col("page") == 7).select("product_code", "store", "sku", (~F.col("accepted")).alias("included"))
-    stored = items(spark, folder).withColumn("market_percent", F.when(F.col("product_code") % 3 == 0, 0.3).otherwise(0.2)).withColumn(
-        "store_weight_cap", F.when(F.col("product_code") % 5 == 0, 1).otherwise(3))
+    key = F.col("product_code")
+    stored = items(spark, folder).withColumns({
+        "market_percent": key % 7 / 10.0, "store_weight_cap": (1 + key % 5).cast("int"), "economy_percentile": key % 997 / 1994.0,
+        "price_level": F.when(key % 3 == 0, "median").when(key % 3 == 1, "average").otherwise("economy")})
     out = review.override_recalc(audit, overrides, stored)
     return out.select("product_code", "accepted_count", "rejected_count", "store_count", r("estimate"), r("market"), r("median"), r("cv"), "quality")
 
