@@ -150,14 +150,26 @@ def _pieces(text: str) -> list[str]:
     return [p for p in re.split(r"(\$\d|#\d)", text) if p]
 
 
-def reason_text(reason: Column, lang: str = "es", owner: str = "") -> Column:
-    """A technical reason as a sentence in Spanish ('es') or English ('en'); unknown reasons stay as written."""
+def _in_short(text: str) -> str:
+    """A sentence without what a table of listings shows elsewhere: that it is accepted, and whose product the size is compared with."""
+    for head in ("Aceptado", "Accepted"):
+        if text.startswith(f"{head}: "):
+            text = text[len(head) + 2:]
+    for tail in (" del producto{owner}", " of the{owner} product"):
+        text = text.replace(tail, "")
+    return text[:1].upper() + text[1:]
+
+
+def reason_text(reason: Column, lang: str = "es", owner: str = "", short: bool = False) -> Column:
+    """A technical reason as a sentence in Spanish ('es') or English ('en'); unknown reasons stay as written. `short` leaves out what the
+    table of listings shows elsewhere."""
     column = 1 if lang == "es" else 2
 
     def sentence(r: Column) -> Column:
         out = r
         for rule in reversed(REASONS):
-            pattern, text = "(?i)" + rule[0], rule[column].replace("{owner}", f" {owner}" if owner else "")
+            pattern, text = "(?i)" + rule[0], _in_short(rule[column]) if short else rule[column]
+            text = text.replace("{owner}", f" {owner}" if owner else "")
             hit = F.regexp_extract(r, pattern, 0)
             if "%1" in text:
                 share = F.call_function("format_number", F.regexp_extract(r, pattern, 1).try_cast("double") * 100, F.lit("0"))
@@ -201,6 +213,8 @@ AUDIT_HEADERS = {
     "currency": "Moneda", "kg": "Tamaño (kg)", "target_unit_kg": "Tamaño por unidad{owner} (kg)", "candidate_unit_kg": "Tamaño por unidad en tienda (kg)",
     "size_ratio": "Relación de tamaño", "price_per_kg": "Precio por kg", "quantity_source": "Tamaño leído de", "reason": "Motivo (técnico)",
 }
+# Display headers of the columns that `display_values` computes.
+COMPUTED_HEADERS = {"market_per_kg": "Precio de mercado por kg", "store_names": "Supermercados", "alerts": "Alertas", "reason_shown": "Motivo"}
 VALUES = {"verdict": {"ACCEPTED": "Aceptado", "REJECTED": "Rechazado"}, "large_change": {"YES": "SÍ"}, "needs_review": {"YES": "SÍ", "NO": "NO"}}
 
 
@@ -218,3 +232,26 @@ def display_columns(df: DataFrame, headers: dict[str, str], back: bool = False,
             value = F.when(F.col(f"`{source}`") == a, b).otherwise(value)
         out.append(value.alias(target))
     return df.select(*out)
+
+
+def display_values(df: DataFrame, store_names: dict[str, str] | None = None, lang: str = "es", owner: str = "") -> DataFrame:
+    """`df` with the columns that are only computed for display, each where its sources exist: market_per_kg behind the estimate, names of the stores
+    used (a store without a name stays as it is), readable alerts and the readable reason."""
+    have = set(df.columns)
+    added = {}
+    if {"estimate", "target_kg", "market_percent"} <= have:
+        share = F.col("target_kg") * F.col("market_percent")
+        added["market_per_kg"] = F.when(share != 0, F.try_divide(F.col("estimate"), share))
+    if "stores_used" in have:
+        def named(code: Column) -> Column:
+            out = code
+            for store, name in (store_names or {}).items():
+                out = F.when(code == store, name).otherwise(out)
+            return out
+        codes = F.filter(F.transform(F.split(F.coalesce("stores_used", F.lit("")), ","), lambda c: F.trim(c)), lambda c: c != "")
+        added["store_names"] = F.array_join(F.transform(codes, named), ", ")
+    if "quality" in have:
+        added["alerts"] = alert_text(F.col("quality"))
+    if "reason" in have:
+        added["reason_shown"] = reason_text(F.col("reason"), lang, owner)
+    return df.withColumns(added) if added else df

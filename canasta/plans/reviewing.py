@@ -202,23 +202,72 @@ def flag_codes(spark, folder):
     return items(spark, folder).select("product_code", F.array_join(flags.flag_codes(F.col("quality"), F.col("request_error")), "|").alias("codes"))
 
 
-REASON_SAMPLES = ["missing required identity word(s): leche, polvo", "accepted; size strategy=CLOSE 0.67-1.50x; ratio=0.82", "PRICE OUTLIER REMOVED: $9.10/kg vs median $3.00/kg (hard band $1.50-$6.00)",
-                  "unexpected subtype for plain 'agua': gas", "different dimensions: target 7x7, candidate 8x8", "SIZE PEER REMOVED: unit-size ratio unavailable while sized peers exist", "something else"]
-REASON_ES = ["Le faltan palabras clave: leche, polvo", "Aceptado: tamaño cercano (82 % del producto)", "Precio fuera de rango: $9.10/kg frente a la mediana $3.00/kg",
-             "Variante distinta de «agua»: gas", "Medidas distintas: propias 7x7, tienda 8x8", "Sin tamaño, mientras otros productos sí lo tienen", "something else"]
-REASON_EN = ["Missing key words: leche, polvo", "Accepted: close size (82 % of the product)", "Price out of range: $9.10/kg vs median $3.00/kg",
-             "Different kind of “agua”: gas", "Different dimensions: own 7x7, store 8x8", "No size, while other listings have one", "something else"]
+# One technical reason per sentence: (reason, Spanish, English, short Spanish, short English); a short form of None is the long one.
+REASON_CASES = [
+    ("missing required identity word(s): leche, polvo", "Le faltan palabras clave: leche, polvo", "Missing key words: leche, polvo", None, None),
+    ("accepted; size strategy=CLOSE 0.67-1.50x; ratio=0.82", "Aceptado: tamaño cercano (82 % del producto)", "Accepted: close size (82 % of the product)", "Tamaño cercano (82 %)", "Close size (82 %)"),
+    ("PRICE OUTLIER REMOVED: $9.10/kg vs median $3.00/kg (hard band $1.50-$6.00)", "Precio fuera de rango: $9.10/kg frente a la mediana $3.00/kg", "Price out of range: $9.10/kg vs median $3.00/kg", None, None),
+    ("unexpected subtype for plain 'agua': gas", "Variante distinta de «agua»: gas", "Different kind of “agua”: gas", None, None),
+    ("different dimensions: target 7x7, candidate 8x8", "Medidas distintas: propias 7x7, tienda 8x8", "Different dimensions: own 7x7, store 8x8", None, None),
+    ("SIZE PEER REMOVED: unit-size ratio unavailable while sized peers exist", "Sin tamaño, mientras otros productos sí lo tienen", "No size, while other listings have one", None, None),
+    ("something else", "something else", "something else", None, None),
+    ("accepted; sold by weight (any quantity); size strategy=CLOSE", "Aceptado: se vende por peso", "Accepted: sold by weight", "Se vende por peso", "Sold by weight"),
+    ("accepted; size strategy=PREFERRED 0.80-1.25x; ratio=1.10", "Aceptado: tamaño parecido (110 % del producto)", "Accepted: similar size (110 % of the product)", "Tamaño parecido (110 %)", "Similar size (110 %)"),
+    ("accepted; size strategy=FALLBACK NEAREST RETAIL SIZE around 2.00x; ratio=2.50", "Aceptado: el tamaño más cercano disponible (250 % del producto)", "Accepted: nearest size available (250 % of the product)",
+     "El tamaño más cercano disponible (250 %)", "Nearest size available (250 %)"),
+    ("accepted by identity/subtype rules", "Aceptado", "Accepted", None, None),
+    ("SIZE-DISTANT MATCH REMOVED: ratio=3.00; strategy=CLOSE 0.67-1.50x", "Tamaño muy distinto (300 % del producto)", "Size too different (300 % of the product)", "Tamaño muy distinto (300 %)", "Size too different (300 %)"),
+    ("cannot normalize candidate to kg from title or safe attributes", "No se pudo leer el tamaño del paquete", "The package size couldn't be read", None, None),
+    ("cannot count units in candidate title (target is priced per unit)", "No se pudieron contar las unidades del paquete", "The number of units couldn't be read", None, None),
+    ("missing usable retailer price", "El supermercado no muestra un precio válido", "The store shows no usable price", None, None),
+    ("different item size: target 0.255, candidate 0.454 (kg/L)", "Tamaño por unidad distinto: propio 0.255, tienda 0.454 (kg/L)", "Different unit size: own 0.255, store 0.454 (kg/L)", None, None),
+    ("target word only appears after 'con' (ingredient/flavour, not the product)", "La palabra clave solo aparece después de «con» (ingrediente o sabor, no el producto)",
+     "The key word only appears after “con” (ingredient or flavour, not the product)", None, None),
+    ("different product: title leads with 'galleta'", "Otro producto: el nombre empieza con «galleta»", "Different product: the name starts with “galleta”", None, None),
+    ("speciality/premium version of the product: gourmet", "Versión especial o premium: gourmet", "Special or premium version: gourmet", None, None),
+    ("preparation/mix, not the product itself: mezcla", "Mezcla o preparado, no el producto: mezcla", "Mix or preparation, not the product: mezcla", None, None),
+    ("made from/with 'arroz', not the product itself", "Hecho con «arroz», no es el producto", "Made with “arroz”, not the product itself", None, None),
+    ("false-positive family term(s): coco", "Coincidencia engañosa: coco", "Misleading match: coco", None, None),
+    ("generic-family false positive term(s): tonica", "Coincidencia engañosa: tonica", "Misleading match: tonica", None, None),
+    ("alcoholic product: cerveza", "Producto alcohólico: cerveza", "Alcoholic product: cerveza", None, None),
+    ("pet product: perro", "Producto para mascotas: perro", "Pet product: perro", None, None),
+    ("non-food product for a food target: jabon", "No es un alimento: jabon", "Not a food product: jabon", None, None),
+    ("breaded/prepared version of the product: empanizado", "Versión empanizada o preparada: empanizado", "Breaded or prepared version: empanizado", None, None),
+    ("processed/canned product for a fresh-produce target: lata", "Procesado o enlatado (se busca fresco): lata", "Processed or canned (fresh wanted): lata", None, None),
+    ("cooked/deli/seasoned version of a raw meat product: ahumado", "Versión cocida o de charcutería: ahumado", "Cooked or deli version: ahumado", None, None),
+    ("physical-form mismatch: liquid target vs mass-labelled candidate", "Forma distinta (sólido frente a líquido)", "Different form (solid vs liquid)", None, None),
+    ("different/extra flavour(s): fresa", "Sabor distinto o adicional: fresa", "Different or extra flavour: fresa", None, None),
+    ("NEAR-DUPLICATE REMOVED: overlaps SKU 4-2-9 (Leche entera 1L)", "Duplicado de «Leche entera 1L»", "Duplicate of “Leche entera 1L”", None, None),
+    ("generic product word 'agua' appears too late in candidate title (position 5)", "«agua» aparece muy tarde en el nombre", "“agua” appears too late in the name", None, None),
+]
+REASON_SAMPLES, REASON_ES, REASON_EN = ([c[i] for c in REASON_CASES] for i in range(3))
+SHORT_ES, SHORT_EN = [c[3] or c[1] for c in REASON_CASES], [c[4] or c[2] for c in REASON_CASES]
+N_REASONS = len(REASON_CASES)
 
 
 def sql_list(items_) -> str:
     return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in items_) + "]"
 
 
-@query("reason_text", f"SELECT l_orderkey AS o, l_linenumber AS l, {sql_list(REASON_ES)}[l_partkey % 7 + 1] AS es, {sql_list(REASON_EN)}[l_partkey % 7 + 1] AS en FROM lineitem")
+@query("reason_text", f"""SELECT l_orderkey AS o, l_linenumber AS l, {sql_list(REASON_ES)}[l_partkey % {N_REASONS} + 1] AS es, {sql_list(REASON_EN)}[l_partkey % {N_REASONS} + 1] AS en,
+ {sql_list(SHORT_ES)}[l_partkey % {N_REASONS} + 1] AS short_es, {sql_list(SHORT_EN)}[l_partkey % {N_REASONS} + 1] AS short_en FROM lineitem""")
 def reason_text(spark, folder):
     reason = fixtures.pick(F.col("l_partkey"), REASON_SAMPLES)
     rows = fixtures.read(spark, folder, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("l"), reason.alias("reason"))
-    return rows.select("o", "l", flags.reason_text(F.col("reason")).alias("es"), flags.reason_text(F.col("reason"), "en").alias("en"))
+    text = lambda **how: flags.reason_text(F.col("reason"), **how)
+    return rows.select("o", "l", text().alias("es"), text(lang="en").alias("en"), text(short=True).alias("short_es"), text(lang="en", short=True).alias("short_en"))
+
+
+@query("display_values", f"""WITH {X1} SELECT {KEYS}, round(price / (kg * 0.2::DOUBLE) + 3.7e-6, 4) AS market_per_kg, CASE WHEN store = 0 THEN 'Rey, Super Xtra' WHEN store = 1 THEN 'Rey, other' ELSE '' END AS store_names,
+ CASE WHEN store = 0 THEN 'Sin productos comparables · Un solo supermercado' ELSE '' END AS alerts, {sql_list(REASON_ES)}[product_code % {N_REASONS} + 1] AS reason_shown FROM x""")
+def display_values(spark, folder):
+    """Each listing as a summary row of its own."""
+    store = F.col("store")
+    rows = x1(spark, folder).withColumns({
+        "estimate": F.col("price"), "target_kg": F.col("kg"), "market_percent": F.lit(0.2), "stores_used": F.when(store == 0, "rey,xtra").when(store == 1, " rey , other,"),
+        "quality": F.when(store == 0, "NO MATCHES | ONE STORE ONLY").otherwise("OK"), "reason": fixtures.pick(F.col("product_code"), REASON_SAMPLES)})
+    shown = flags.display_values(rows, {"rey": "Rey", "xtra": "Super Xtra"})
+    return shown.select(*KEY, r("market_per_kg"), "store_names", "alerts", "reason_shown")
 
 
 @query("display_columns", f"""WITH {X1} SELECT product_code AS "Código de producto", store AS "Supermercado (código)", sku AS "SKU", price AS "Precio",
@@ -450,7 +499,7 @@ def review_filter(spark, folder):
     return out
 
 
-@query("candidate_filter", f"""WITH {X1}, c AS (SELECT x.*, accepted <> (page = 3) AS included, {sql_list(REASON_SAMPLES)}[product_code % 7 + 1] AS reason, {sql_list(REASON_ES)}[product_code % 7 + 1] AS es FROM x)
+@query("candidate_filter", f"""WITH {X1}, c AS (SELECT x.*, accepted <> (page = 3) AS included, {sql_list(REASON_SAMPLES)}[product_code % {N_REASONS} + 1] AS reason, {sql_list(REASON_ES)}[product_code % {N_REASONS} + 1] AS es FROM x)
  SELECT {KEYS} FROM c WHERE included <> accepted AND accepted AND contains({norm("'Título ' || product_code || ' ' || sku || ' ' || reason || ' q ' || es")}, 'tamano cercano')""")
 def candidate_filter(spark, folder):
     rows = x1(spark, folder).withColumns({"included": F.col("accepted") != (F.col("page") == 3), "reason": fixtures.pick(F.col("product_code"), REASON_SAMPLES),

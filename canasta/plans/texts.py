@@ -410,10 +410,11 @@ def dimensions(spark, folder):
 @query("quantity_warning", f"""WITH {SIZES}, s AS (SELECT *, n / 8.0::DOUBLE AS sheet FROM x3) SELECT product_code,
  CASE WHEN k NOT IN (8, 11) AND total IS NOT NULL AND greatest(total, sheet) / least(total, sheet) >= 1.15::DOUBLE AND NOT (sheet / total > 1 AND sheet / total <= 1.5::DOUBLE) THEN 'warning'
   WHEN k NOT IN (8, 11) AND total IS NOT NULL AND sheet / total >= 1.15::DOUBLE AND sheet / total <= 1.5::DOUBLE THEN 'note' ELSE '' END AS verdict,
- CASE WHEN k = 3 THEN 'TARGET SIZE WARNING: name parses to ' || printf('%.3f', total) || 'kg but spreadsheet weight is ' || printf('%.3f', sheet) || 'kg' END AS text FROM s""")
+ CASE WHEN verdict = 'warning' THEN 'TARGET SIZE WARNING: name parses to ' || printf('%.3f', total) || 'kg but spreadsheet weight is ' || printf('%.3f', sheet) || 'kg'
+  WHEN verdict = 'note' THEN 'Spreadsheet weight ' || printf('%.3f', sheet) || 'kg vs ' || printf('%.3f', total) || 'kg in the name (probably includes packaging; the name is used)' ELSE '' END AS text FROM s""")
 def quantity_warning(spark, folder):
     rows = fixtures.quantity_text(spark, folder).withColumns({"c": Q.target_count(F.col("text")), "s": Q.parse_quantity(F.col("text"))})
     basis = Q.quantity_basis(F.col("c.n"), F.col("s.total_kg"), F.lit(""))
     rows = rows.withColumn("w", Q.quantity_warning(basis, F.col("s.total_kg"), F.col("n") / 8.0))
     verdict = F.when(F.col("w.warning") != "", "warning").when(F.col("w.note") != "", "note").otherwise("")
-    return rows.select("product_code", verdict.alias("verdict"), F.when(F.col("product_code") % 12 == 3, F.col("w.warning")).alias("text"))
+    return rows.select("product_code", verdict.alias("verdict"), F.concat("w.warning", "w.note").alias("text"))
