@@ -52,10 +52,21 @@ def large_change(diff: Column, settings: PriceSettings = PriceSettings()) -> Col
 
 
 def compare_current(summary: DataFrame, current: DataFrame, settings: PriceSettings = PriceSettings()) -> DataFrame:
-    """Each product's current price, export id, relative difference and large-change mark."""
-    joined_rows = summary.join(current.select("product_code", "current_price", "id"), "product_code", "left")
-    return (joined_rows.withColumn("difference", price_change(F.col("estimate"), F.col("current_price")))
+    """Each product's current price, export id, relative difference and large-change mark; where the summary has the extremes (min, max, target_kg)
+    also the estimates at the lowest and highest price and their relative differences.
+
+    A summary row's own market_percent wins over the settings. A current price of 0 is none.
+    """
+    rows = (summary.join(current.select("product_code", "current_price", "id"), "product_code", "left")
+            .withColumn("difference", price_change(F.col("estimate"), F.col("current_price")))
             .withColumn("large_change", large_change(F.col("difference"), settings)))
+    if not {"min", "max", "target_kg"} <= set(summary.columns):
+        return rows
+    share = F.coalesce("market_percent", F.lit(settings.market_percent)) if "market_percent" in summary.columns else F.lit(settings.market_percent)
+    usable = F.col("target_kg").isNotNull() & (F.col("target_kg") != 0) & F.col("min").isNotNull() & F.col("max").isNotNull()
+    at = lambda c: F.when(usable, F.col(c) * F.col("target_kg") * share)
+    return rows.withColumns({"min_estimate": at("min"), "max_estimate": at("max")}).withColumns(
+        {"min_change": price_change(F.col("min_estimate"), F.col("current_price")), "max_change": price_change(F.col("max_estimate"), F.col("current_price"))})
 
 
 def needs_review(quality: Column, diff: Column, settings: PriceSettings = PriceSettings()) -> Column:

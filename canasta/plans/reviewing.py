@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from canasta.functions.money import fixed
-from canasta.operators import catalog, flags, pricing, review
+from canasta.operators import analysis, catalog, flags, pricing, review
 from canasta.operators.cleaning import PRODUCT
 from canasta.plans.numeric import KEY, KEYS, X1, near, r, x1
 from canasta.plans.registry import query
@@ -71,9 +71,13 @@ def raw_catalog(spark, folder):
         F.col("p_retailprice").alias("Precio"))
 
 
-@query("scan_catalog", """SELECT p_partkey AS product_code, trim(p_name) AS name, p_size::DOUBLE AS weight_kg, p_type AS product_type, p_brand AS line, '' AS description FROM part WHERE p_partkey % 11 <> 0""")
+@query("scan_catalog", """SELECT p_partkey + 1 AS row, p_partkey AS product_code, 'E' || p_partkey AS erp, trim(p_name) AS name, p_size + 0.5::DOUBLE AS weight_kg, p_type AS product_type, p_brand AS line, '' AS family, '' AS description,
+ 'g' AS grp, 'Alimento' AS category, p_size || ',5' AS weight_text, p_retailprice AS price FROM part WHERE p_partkey % 11 <> 0""")
 def scan_catalog(spark, folder):
-    return tables.scan_catalog(raw_catalog(spark, folder)).select("product_code", "name", "weight_kg", "product_type", "context.line", "context.description")
+    key = F.col("CODIGO DE PRODUCTO")
+    raw = raw_catalog(spark, folder).withColumns({"#": key + 1, "ERP Id (QBO)": F.concat(F.lit("E"), key.cast("string")), "Unidad de peso en KG": F.concat("Unidad de peso en KG", F.lit(",5"))})
+    rows = tables.scan_catalog(raw, decimal_comma=True, row="#")
+    return rows.select("row", "product_code", "erp", "name", "weight_kg", "product_type", "context.*", F.col("original")["Unidad de peso en KG"].alias("weight_text"), F.col("original")["Precio"].alias("price"))
 
 
 @query("resolve_columns", "SELECT o_custkey AS code, o_totalprice AS price, o_orderkey AS id, o_orderstatus AS pricebook FROM orders")
@@ -158,14 +162,18 @@ def spread_note(spark, folder):
     return items(spark, folder).select("product_code", note.alias("note"))
 
 
+EXTREMES = "round(low * target_kg * 0.2::DOUBLE + 3.7e-6, 4) AS min_estimate, round(high * target_kg * 0.2::DOUBLE + 3.7e-6, 4) AS max_estimate, round((low * target_kg * 0.2 - current_price) / current_price + 3.7e-6, 4) AS min_change, round((high * target_kg * 0.2 - current_price) / current_price + 3.7e-6, 4) AS max_change"
+
+
+def priced_items(spark, folder):
+    return items(spark, folder).drop("current_price", "id", "difference", "large_change").withColumnsRenamed({"low": "min", "high": "max"})
+
+
 @query("compare_current", f"""WITH {ITEMS} SELECT product_code, round(estimate + 3.7e-6, 4) AS estimate, round(current_price + 3.7e-6, 4) AS current_price, id, round(difference + 3.7e-6, 4) AS difference, large_change,
- round((low * target_kg * 0.2 - current_price) / current_price + 3.7e-6, 4) AS low_change, round((high * target_kg * 0.2 - current_price) / current_price + 3.7e-6, 4) AS high_change FROM it""")
+ {EXTREMES} FROM it""")
 def compare_current(spark, folder):
-    rows = items(spark, folder).drop("current_price", "id", "difference", "large_change")
-    out = flags.compare_current(rows, fixtures.current_prices(spark, folder))
-    both = pricing.min_max_estimate(F.col("low"), F.col("high"), F.col("target_kg"))
-    out = out.withColumn("e", both).withColumns({"lc": flags.price_change(F.col("e.low"), F.col("current_price")), "hc": flags.price_change(F.col("e.high"), F.col("current_price"))})
-    return out.select("product_code", r("estimate"), r("current_price"), "id", r("difference"), "large_change", near("lc").alias("low_change"), near("hc").alias("high_change"))
+    out = flags.compare_current(priced_items(spark, folder), fixtures.current_prices(spark, folder))
+    return out.select("product_code", r("estimate"), r("current_price"), "id", r("difference"), "large_change", *[near(c).alias(c) for c in ("min_estimate", "max_estimate", "min_change", "max_change")])
 
 
 @query("large_change", f"WITH {ITEMS} SELECT product_code, large_change FROM it")
@@ -292,13 +300,15 @@ def run_summary(spark, folder):
     return pricing.run_summary(items(spark, folder))
 
 
-@query("analysis_join", f"""WITH {ITEMS} SELECT product_code, p_type AS product_type, p_size::DOUBLE AS weight_kg, round(estimate + 3.7e-6, 4) AS estimate, quality,
- CASE WHEN quality = 'OK' THEN 'NO' ELSE 'YES' END AS needs_review FROM it JOIN part ON p_partkey = product_code WHERE p_partkey % 11 <> 0""")
+@query("analysis_join", f"""WITH {ITEMS} SELECT p_size::VARCHAR AS "Unidad de peso en KG", p_type AS "Sub-Familia de productos", p_brand AS "Línea de producto", '' AS "Familia de Productos", NULL::VARCHAR AS "Descripción del producto",
+ 'g' AS "Grupo de Productos", 'Alimento' AS "Categoría RepTrim", p_retailprice AS "Precio", product_code, name, type, category, confidence, n, store_count, quality, round(target_kg, 4) AS target_kg, round(estimate + 3.7e-6, 4) AS estimate,
+ round(current_price + 3.7e-6, 4) AS current_price, id, round(difference + 3.7e-6, 4) AS difference, large_change, {EXTREMES}, {ALERT} AS alerts, CASE WHEN quality = 'OK' THEN 'NO' ELSE 'YES' END AS needs_review
+ FROM it JOIN part ON p_partkey = product_code WHERE p_partkey % 11 <> 0""")
 def analysis_join(spark, folder):
-    """Every product column with its results (repeated columns once), for products named in the catalogue."""
-    products = tables.scan_catalog(raw_catalog(spark, folder)).drop("name")
-    joined = products.join(items(spark, folder), "product_code")
-    return joined.select("product_code", "product_type", "weight_kg", r("estimate"), "quality", F.when(F.col("quality") == "OK", "NO").otherwise("YES").alias("needs_review"))
+    """Every column of the catalogue file with every result column (repeated ones once) and the comparison, for products named in the catalogue."""
+    kept = ["product_code", "name", "type", "category", "confidence", "n", "store_count", "quality", "target_kg", "estimate", "min", "max"]
+    out = analysis.performance_analysis(tables.scan_catalog(raw_catalog(spark, folder)), priced_items(spark, folder).select(kept), fixtures.current_prices(spark, folder)).drop("min", "max")
+    return out.withColumns({c: near(c) for c in ("estimate", "current_price", "difference", "min_estimate", "max_estimate", "min_change", "max_change")})
 
 
 @query("category_merge", """SELECT p_partkey AS product_code, CASE WHEN p_partkey % 2 = 0 THEN p_type WHEN p_partkey % 3 = 0 THEN p_brand ELSE p_name END AS type FROM part""")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from canasta.functions.money import fixed
+from canasta.functions.money import fixed, parse_money
 from canasta.functions.text import ACCENTED, PLAIN
 from canasta.operators.review import approved_prices, export_check
 
@@ -62,15 +62,25 @@ def require_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df
 
 
-def scan_catalog(df: DataFrame) -> DataFrame:
-    """Targets of a catalogue table: named rows only, trimmed, with the context struct."""
-    known = require_columns(resolve_columns(df, CATALOG_HEADERS), [n for n in CATALOG_HEADERS if n != "erp"])
+def scan_catalog(df: DataFrame, decimal_comma: bool = False, row: str | None = None) -> DataFrame:
+    """Targets of a catalogue table: named rows only, trimmed, with the context struct, the ERP id and all source columns as `original`.
+
+    `row` names a column with the rows' numbers in their file, which becomes `row`. Weights are read as amounts. Each field of `original` carries
+    the field that it serves as metadata.
+    """
+    found = match_headers(df.columns, CATALOG_HEADERS)
+    known = require_columns(df.select(*[F.col(f"`{c}`").alias(name) for name, c in found.items()], *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(df.columns)]),
+                            [n for n in CATALOG_HEADERS if n != "erp"])
     text = {c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in ("line", "family", "description", "grp", "category")}
+    serves = {c: name for name, c in found.items()}
+    source = [F.col(f"_{i}").alias(c, metadata={"field": serves.get(c, "")}) for i, c in enumerate(df.columns) if c != row]
+    number = [F.col(f"_{df.columns.index(row)}").cast("long").alias("row")] if row else []
+    erp = F.trim(F.coalesce(F.col("erp").cast("string"), F.lit(""))) if "erp" in found else F.lit("")
     return (known.where(F.trim(F.coalesce(F.col("name"), F.lit(""))) != "")
-            .select(F.col("code").alias("product_code"), F.trim("name").alias("name"),
-                    F.col("weight_kg").cast("string").try_cast("double").alias("weight_kg"),
+            .select(*number, F.col("code").alias("product_code"), erp.alias("erp"), F.trim("name").alias("name"),
+                    parse_money(F.col("weight_kg"), decimal_comma).alias("weight_kg"),
                     F.trim(F.coalesce("product_type", F.lit(""))).alias("product_type"),
-                    F.struct(*[v.alias(k) for k, v in text.items()]).alias("context")))
+                    F.struct(*[v.alias(k) for k, v in text.items()]).alias("context"), F.struct(*source).alias("original")))
 
 
 def scan_price_book(df: DataFrame) -> DataFrame:
@@ -78,12 +88,17 @@ def scan_price_book(df: DataFrame) -> DataFrame:
     return require_columns(resolve_columns(df, PRICE_BOOK_HEADERS), ["code", "price", "id"])
 
 
-def scan_delimited(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
-    """A delimited text file with a header row, all columns as text (amounts: functions.money.parse_money).
+def scan_delimited(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8", decimal_comma: bool | None = None,
+                   amounts: Sequence[str] = ()) -> DataFrame:
+    """A delimited text file with a header row, all columns as text but `amounts`, which become numbers.
 
-    Encodings are those of the CSV source (UTF-8, UTF-16, ISO-8859-1); spark.sql.legacy.javaCharsets admits cp1252.
+    A comma in an amount is the decimal mark if `decimal_comma`; not given, it is in files separated by semicolons. Encodings are those of the CSV
+    source (UTF-8, UTF-16, ISO-8859-1); spark.sql.legacy.javaCharsets admits cp1252.
     """
-    return spark.read.csv(path, sep=sep, encoding=encoding, header=True, inferSchema=False)
+    comma = sep == ";" if decimal_comma is None else decimal_comma
+    df = spark.read.csv(path, sep=sep, encoding=encoding, header=True, inferSchema=False)
+    require_columns(df, amounts)
+    return df.withColumns({c: parse_money(F.col(f"`{c}`"), comma) for c in amounts}) if amounts else df
 
 
 def audit_by_product(audit: DataFrame) -> DataFrame:

@@ -112,6 +112,11 @@ def test_files(spark, tmp_path):
         f.write("Código;Precio;Id\n7;1.234,50;A\n8;;B\n")
     book = tables.scan_price_book(tables.scan_delimited(spark, path, ";", "ISO-8859-1"))
     assert {r.product_code: r.current_price for r in catalog.price_map(book, True).collect()} == {"7": 1234.5}
+    read = lambda **how: [r.Precio for r in tables.scan_delimited(spark, path, ";", "ISO-8859-1", amounts=["Precio"], **how).collect()]
+    assert read() == [1234.5, None]
+    with open(path, "w", encoding="latin-1") as f:
+        f.write("Código;Precio\n7;1,234\n")
+    assert (read(), read(decimal_comma=False)) == ([1.234], [1234.0])
     kind = "product_code string, id string, decision string, price double, current_price double"
     approved = spark.createDataFrame([("p", "A", "accepted", 2.5, 1.0), ("q", "", "pending", None, 3.0)], kind)
     tables.write_prices(approved, str(tmp_path / "out"))
