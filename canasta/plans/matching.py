@@ -223,19 +223,40 @@ SERIES_RETAIL = f"""rt AS (SELECT p_partkey % 4 AS store, p_partkey::VARCHAR AS
  p_retailprice / 400 * (p_size + 10) / 30 AS regular_price, NULL::DOUBLE AS final_price, 2 AS att, 0 AS sz, p_size * 20 AS p_size FROM part)"""
 SERIES_HITS = f"""qw0 AS (SELECT DISTINCT unnest({ordered('q')}) AS query FROM qs), qw1 AS (SELECT query, {raw_tokens('query')} AS qr FROM qw0), qw AS (SELECT query, {ordered('qr')} AS words FROM qw1),
  ht AS (SELECT query, store, sku FROM qw JOIN lh ON len(words) > 0 AND list_has_all(toks, words)),
- cj AS (SELECT DISTINCT product_code, store, sku FROM (SELECT product_code, unnest({ordered('q')}) AS query FROM qs) JOIN ht USING (query)),"""
+ cj AS (SELECT product_code, store, sku, min(rk) AS query_rank FROM (SELECT product_code, unnest({ordered('q')}) AS query, generate_subscripts({ordered('q')}, 1) - 1 AS rk FROM qs) JOIN ht USING (query) GROUP BY 1, 2, 3),"""
 SERIES = (SEARCH.replace(TARGET, SERIES_TARGET) + APPLIED[len(FEATURES):].replace(RETAIL, SERIES_RETAIL).replace(" pr0 AS (", f" {SERIES_HITS} pr0 AS (")
           .replace("FROM th JOIN lh USING (grp)", "FROM cj JOIN th ON cj.product_code = th.product_code JOIN lh ON cj.store = lh.store AND cj.sku = lh.sku"))
 ALIKE = """((list_sort(k.toks) = list_sort(r.own_words) AND round(k.kg, 3) = round(r.kg, 3))
  OR len(list_intersect(k.toks, r.own_words)) / len(list_distinct(list_concat(k.toks, r.own_words))) >= 0.8::DOUBLE)"""
 NAMED_GREEDY = (greedy("sz", "size_kept").replace("u DOUBLE)[]", "u DOUBLE, toks VARCHAR[])[]").replace("'u': u}", "'u': u, 'toks': own_words}")
                 .replace("r.price_per_kg AS u,", "r.price_per_kg AS u, r.own_words,").replace("<= 0.15::DOUBLE))[1]", f"<= 0.15::DOUBLE AND {ALIKE}))[1]"))
-RUN = f"""WITH RECURSIVE {SERIES}, x AS (SELECT product_code, store, sku, list_distinct(ord) AS own_words, kg, chosen AS price, verdict IS NULL AS accepted, false AS size_neutral,
-  coalesce(split_part(verdict, '|', 1), 'OK') AS rule, CASE WHEN identified THEN chosen / kg END AS price_per_kg, CASE WHEN identified THEN unit / wanted END AS size_ratio FROM ap),
+JUDGED = f"""SELECT product_code, store, sku, list_distinct(ord) AS own_words, kg, chosen AS price, verdict IS NULL AS accepted, false AS size_neutral,
+  coalesce(split_part(verdict, '|', 1), 'OK') AS rule, CASE WHEN identified THEN chosen / kg END AS price_per_kg, CASE WHEN identified THEN unit / wanted END AS size_ratio FROM ap"""
+# The search reads a store's pages query by query until five close or ten good matches are found; a store left with fewer than five good ones is read on.
+FIRST_PAGES = 2
+SEARCHED = f"""xa AS (SELECT j.*, query_rank, (j.sku::BIGINT // 4) % 5 + 1 AS page FROM ({JUDGED}) j JOIN cj USING (product_code, store, sku)),
+ pg AS (SELECT product_code, store, query_rank, page, count(*) FILTER (accepted AND size_ratio BETWEEN 0.67::DOUBLE AND 1.5::DOUBLE) AS c, count(*) FILTER (accepted) AS g FROM xa GROUP BY ALL),
+ s1 AS (SELECT * FROM (SELECT *, coalesce(sum(c) OVER w, 0) AS cb, coalesce(sum(g) OVER w, 0) AS gb FROM pg WHERE page <= {FIRST_PAGES}
+  WINDOW w AS (PARTITION BY product_code, store ORDER BY query_rank, page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE cb < 5 AND gb < 10),
+ k1 AS (SELECT product_code, store, sum(c) AS c1, sum(g) AS g1 FROM s1 GROUP BY 1, 2),
+ s2 AS (SELECT * FROM (SELECT pg.*, coalesce(c1, 0) + coalesce(sum(c) OVER w, 0) AS cb, coalesce(g1, 0) + coalesce(sum(g) OVER w, 0) AS gb, row_number() OVER w2 AS rn FROM pg LEFT JOIN k1 USING (product_code, store)
+  WHERE page > {FIRST_PAGES} AND coalesce(g1, 0) < 5 WINDOW w AS (PARTITION BY pg.product_code, pg.store ORDER BY query_rank, page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+  w2 AS (PARTITION BY pg.product_code, pg.store ORDER BY query_rank, page)) WHERE rn = 1 OR (cb < 5 AND gb < 10)),
+ x AS (SELECT xa.* FROM xa JOIN (SELECT product_code, store, query_rank, page FROM s1 UNION ALL SELECT product_code, store, query_rank, page FROM s2) USING (product_code, store, query_rank, page))"""
+
+
+def run_sql(x: str) -> str:
+    return f"""WITH RECURSIVE {SERIES}, {x},
  {BAND}, {CLUSTER}, {MEMBERS}, {NAMED_GREEDY}, u1 AS (SELECT *, size_kept AND duplicate_of IS NULL AS uq FROM d), {outliers('u1', 'uq')},
  c AS (SELECT *, CASE WHEN NOT accepted THEN 'REJECTED' WHEN NOT size_kept THEN 'SIZE' WHEN duplicate_of IS NOT NULL THEN 'DUPLICATE'
   WHEN off_band OR off_mad THEN 'OUTLIER' ELSE 'ACCEPTED' END AS status FROM o)"""
-PRICED = f"""{RUN}, {STATS}, {BALANCED}, {SPREAD}, ct AS (SELECT product_code, count(*) FILTER (status <> 'REJECTED') AS raw_accepted, count(*) FILTER (status = 'SIZE') AS size_removed,
+
+
+RUN = run_sql(f"x AS ({JUDGED})")
+
+
+def priced_sql(run: str) -> str:
+    return f"""{run}, {STATS}, {BALANCED}, {SPREAD}, ct AS (SELECT product_code, count(*) FILTER (status <> 'REJECTED') AS raw_accepted, count(*) FILTER (status = 'SIZE') AS size_removed,
   count(*) FILTER (status = 'DUPLICATE') AS duplicates, count(*) FILTER (status = 'OUTLIER') AS outliers, count(*) FILTER (status = 'ACCEPTED') AS n, count(*) FILTER (status <> 'ACCEPTED') AS rejected FROM c GROUP BY 1)
  SELECT tg.product_code, tg.name, coalesce(ct.raw_accepted, 0) AS raw_accepted, coalesce(ct.size_removed, 0) AS size_removed, coalesce(ct.duplicates, 0) AS duplicates, coalesce(ct.outliers, 0) AS outliers,
   coalesce(ct.n, 0) AS n, coalesce(ct.rejected, 0) AS rejected, coalesce(ba.store_count, 0) AS store_count, round(p_size / 1000.0 + 3.7e-6, 4)::DOUBLE AS target_kg, round(ba.average + 3.7e-6, 4) AS average,
@@ -248,7 +269,7 @@ def whole_run(spark, folder):
     return run(*fixtures.series_catalog(spark, folder), stores=[0, 1, 2, 3])
 
 
-@query("price_run", PRICED)
+@query("price_run", priced_sql(RUN))
 def price_run(spark, folder):
     """Names and titles to one estimate per product, every step of the library in one run."""
     summary, _ = whole_run(spark, folder)
@@ -260,3 +281,14 @@ def price_run(spark, folder):
 def price_run_audit(spark, folder):
     """Every candidate of the whole run with its end and the reason's code."""
     return whole_run(spark, folder)[1].select("product_code", "store", "sku", "status", "reason_code", "duplicate_of")
+
+
+@query("price_run_search", priced_sql(run_sql(SEARCHED)))
+def price_run_search(spark, folder):
+    """The whole run over listings that stand on the pages of a store's answer: the search stops where the evidence suffices."""
+    from canasta.plans.price_run import price_run as run
+    targets, listings = fixtures.series_catalog(spark, folder)
+    paged = listings.withColumn("page", (F.floor(F.col("sku").cast("bigint") / 4) % 5 + 1).cast("int"))
+    summary, _ = run(targets, paged, stores=[0, 1, 2, 3], first_pages=FIRST_PAGES)
+    exact = ["product_code", "name", "raw_accepted", "size_removed", "duplicates", "outliers", "n", "rejected", "store_count"]
+    return summary.select(*exact, *[near(c).alias(c) for c in ("target_kg", "average", "median", "economy", "estimate", "min", "max", "cv")])

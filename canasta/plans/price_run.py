@@ -33,17 +33,22 @@ def match(targets: DataFrame, listings: DataFrame, settings: PriceSettings = Pri
     keep = ["name", "weight_kg", *[c for c in t.columns if c.startswith("t_") and c not in ("t_tokens", "t_mods", "t_surface", "t_search", "t_qty")]]
     pairs = attach(pairs, t.select(*PRODUCT, *keep).join(sizes, PRODUCT), PRODUCT, "_n", "inner", hot_rows)
     judged = identity.apply_rules(pairs, settings, v).withColumns({"target_name": F.col("name"), "tokens": F.col("l_ordered")})
-    return t, cut(judged.select(*AUDIT), "candidates")
+    return t, cut(judged.select(*AUDIT, *(["page"] if "page" in listings.columns else [])), "candidates")
 
 
 def price_run(targets: DataFrame, listings: DataFrame, stores: list, settings: PriceSettings = PriceSettings(), v: Vocabulary = SPANISH,
-              balanced: bool = True, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
+              balanced: bool = True, hot_rows: int = HOT_ROWS, first_pages: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(summary, audit). `targets`: product_code, name, weight_kg, context. `listings`: store, sku, title, attrs, regular_price,
     final_price, price, price_basis; of rows that repeat (store, sku) the first by title and prices counts, and
     rows without a sku are left out. Every candidate stays in the audit with a status and a reason.
+
+    With `first_pages`, listings have a `page` and the search stops as `deep_search` says: a store's pages are read query by query until the evidence
+    suffices, those after the first ones only where too few good matches were found. Candidates on pages that are not read are no candidates.
     """
     s = settings
     t, judged = match(targets, listings, s, v, hot_rows)
+    if first_pages is not None:
+        judged = cut(candidates.deep_search(judged, first_pages, s, hot_rows), "read")
     audit = cut(cleaning.clean_listings(judged, s, hot_rows), "audit")
     clean = audit.where(F.col("status") == "ACCEPTED")
     counts = cleaning.cleaning_counts(audit).groupBy(*PRODUCT).agg(*[F.sum(c).alias(c) for c in (
