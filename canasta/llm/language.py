@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canasta.llm.batches import groups, map_arrow, texts_of
@@ -118,17 +118,19 @@ class LanguageModel:
         return belief / belief.sum(1, keepdims=True)
 
 
-def train(rows: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", per_language: int = ROWS_PER_LANGUAGE) -> LanguageModel:
-    """A model from at most `per_language` rows of each language of `rows` (those with the smallest hashes of `key`), whole texts.
+def train(rows: DataFrame, lang: str = "lang", text: str = "text", per_language: int = ROWS_PER_LANGUAGE) -> LanguageModel:
+    """A model from about `per_language` different texts of each language of `rows`, all of them where there are no more; whole texts.
 
-    Rows without language or text are left out. Spark adds up the counts; the driver gets the finished weight tables only:
-    2 x 65,536 rows of one number per bit, whatever the size of the input.
+    Rows without language or text are left out. Texts are chosen by their hash: a language's share of the hash range follows from its number of
+    different texts, so copies count once and no language's rows meet in a task. Spark adds up the counts; the driver gets the finished weight
+    tables only: 2 x 65,536 rows of one number per bit, whatever the size of the input.
     """
-    names = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("_lang"), F.col(key).alias("_key"), F.col(text).alias("_text"))
-    first = Window.partitionBy("_lang").orderBy(F.xxhash64("_key", F.lit(SEED)), "_key")
-    chosen = (names.select("_lang", "_key").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= per_language)
-              .select("_lang", "_key").distinct())
-    sample = names.join(F.broadcast(chosen), ["_lang", "_key"], "left_semi").select("_lang", "_text")
+    names = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("_lang"), F.col(text).alias("_text"), F.xxhash64(F.col(text), F.lit(SEED)).alias("_u"))
+    share = F.lit(float(per_language)) / F.count(F.lit(1))
+    limit = F.when(share < 1, (-(2.0 ** 63) + share * 2.0 ** 64).cast("long"))
+    limits = names.select("_lang", "_u").distinct().groupBy("_lang").agg(limit.alias("_limit"))       # a row per language
+    chosen = names.join(F.broadcast(cut(limits, "language_limits")), "_lang").where(F.col("_limit").isNull() | (F.col("_u") < F.col("_limit")))
+    sample = chosen.dropDuplicates(["_lang", "_u"]).select("_lang", "_text")
     sample = cut(sample.repartition(SAMPLE_PARTS), "language_sample")
     grams = map_arrow(sample, _counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     grams = cut(grams, "language_counts")
@@ -137,7 +139,6 @@ def train(rows: DataFrame, lang: str = "lang", text: str = "text", key: str = "d
     code = codewords(len(languages))
     weights = np.zeros((len(ORDERS) * BUCKETS, code.shape[1]), np.float32)
     if code.shape[1]:
-        of = F.create_map(*[x for i, name in enumerate(languages) for x in (F.lit(name), F.lit(i))])
         n = F.expr(f"bucket div {BUCKETS}")
 
         def log_share(side: np.ndarray) -> Column:
@@ -211,7 +212,7 @@ def held_out(key: str = "doc_id") -> Column:
 
 def identify(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """`docs` with predictions of a model that learned from its own rows outside the held-out quarter."""
-    model = train(docs.where(~held_out(key) & F.col(key).isNotNull()), key=key)
+    model = train(docs.where(~held_out(key) & F.col(key).isNotNull()))
     return predict(docs, model)
 
 
