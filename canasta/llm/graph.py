@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from canasta.operators.skew import cut, discard
 
 
+FEW_LINKS = 200_000         # links that are handled in one partition, as Spark would coalesce so small a table by itself
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node that has a link to another one; root is the component's smallest node.
 
@@ -25,7 +28,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return links.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
                 links.select(F.col("v"), F.col("v")).distinct())
         mark = seen
-        both = links.union(links.select(F.col("v"), F.col("u")))
+        own = links.coalesce(1) if seen[0] <= FEW_LINKS else links
+        both = own.union(own.select(F.col("v"), F.col("u")))
+        both = both.coalesce(1) if seen[0] <= FEW_LINKS else both
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))

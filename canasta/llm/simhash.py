@@ -358,20 +358,17 @@ def _unconnected(met: DataFrame, roots: DataFrame) -> DataFrame:
 def near_links(met: DataFrame, links: DataFrame, rows: DataFrame, texts: DataFrame, text: str = "text", few: int = FEW, block: int = BLOCK) -> DataFrame:
     """Links (a, b) that with the verified `links` connect the same groups as all pairs of near copies do; every link is verified on all shingles.
 
-    `met` (token, id, n, pos) has the prefix tokens that more than one text has, of sets of n shingles. Near copies share such a token. Tokens whose
-    texts are all connected need no further look. Of the others, each text is compared with the one that has the token earliest in its
-    prefix (an original has no rare shingles of its own, its copies have), and then all pairs of a token's texts that are still
-    apart are compared, listed where they are few, by a grid of blocks where they are many.
+    `met` (token, id, n, pos) has the prefix tokens that more than one text has, of sets of n shingles. Near copies share such a token. Each text is
+    compared with the one that has the token earliest in its prefix (an original has no rare shingles of its own, its copies have). Tokens whose
+    texts `links` and these connect need no further look. Of the others, all pairs of a token's texts that are still apart are
+    compared, listed where they are few, by a grid of blocks where they are many.
     """
-    roots = _known(links)
-    open_ = _unconnected(met, roots)
-    discard(roots)
-    lead = open_.groupBy("token").agg(F.min(F.struct("pos", "id", "n", "comp")).alias("lead"))
-    first = open_.join(lead, "token").where((F.col("comp") != F.col("lead.comp")) & _fits(F.col("n"), F.col("lead.n"), F.col("pos"), F.col("lead.pos")))
+    lead = met.groupBy("token").agg(F.min(F.struct("pos", "id", "n")).alias("lead"))
+    first = met.join(lead, "token").where((F.col("id") != F.col("lead.id")) & _fits(F.col("n"), F.col("lead.n"), F.col("pos"), F.col("lead.pos")))
     found = [links, _alike(first.select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")), rows, texts, text)]
     roots = _known(found[0].union(found[1]))
-    rest = _unconnected(open_.drop("comp"), roots)
-    discard(open_, roots)
+    rest = _unconnected(met, roots)
+    discard(roots)
     counts = rest.groupBy("token").agg(F.count(F.lit(1)).alias("c"))
     rest_ = cut(rest.join(counts, "token"), "counted", "zstd")
     discard(rest)
@@ -387,9 +384,12 @@ def near_links(met: DataFrame, links: DataFrame, rows: DataFrame, texts: DataFra
     return done
 
 
-def _prefixes(rows: DataFrame, text: str, common: np.ndarray, rank: np.ndarray) -> DataFrame:
+def _prefixes(rows: DataFrame, text: str) -> DataFrame:
     """(token, id, n, pos) of the prefix of every row's set."""
+    sent = rows.sparkSession.sparkContext.broadcast(_common(rows, text))
+
     def run(batches):
+        common, rank = sent.value
         for batch in batches:
             texts = texts_of(batch.column(0))
             sets = shingle_sets(texts)
@@ -437,8 +437,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", few: int
     texts = cut(prints.groupBy("id", "fp").agg(F.min(place).alias("first")), "texts")
     source = source.drop(key)
     links = _alike(print_links(texts.select("id", "fp")), source, texts, text)
-    common, rank = _common(source, text)
-    entries = _prefixes(source, text, common, rank)
+    entries = _prefixes(source, text)
     own = F.xxhash64("id")
     shared = cut(entries.groupBy("token").agg(F.min(own).alias("x"), F.max(own).alias("y")).where(F.col("x") != F.col("y")).select("token"), "shared")
     met = cut(entries.join(shared, "token").groupBy("token", "id", "n", "pos").agg(F.lit(1).alias("one")).drop("one"), "met", "zstd")
