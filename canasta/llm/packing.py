@@ -136,8 +136,9 @@ def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", tok
             number = 0
             for batch in batches:
                 key_type = batch.schema.field(0).type
-                for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    ids = ids_of.ids(t or "") + last
+                texts = [t or "" for t in batch.column(1).to_pylist()]
+                for k, ids in zip(batch.column(0).to_pylist(), ids_of.encode(texts)):
+                    ids += last
                     held[number] = (k, len(ids) // 4, ids, 0)
                     yield number, len(ids) // 4
                     number += 1

@@ -24,7 +24,7 @@ _VALUE[0x41:0x5B] = _VALUE[0x61:0x7B]
 _POWERS: list[np.ndarray] = []
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2^64."""
     if not _POWERS or len(_POWERS[0]) < n:
         size = max(n, SLICE + SLICE // 4)
@@ -37,7 +37,7 @@ def hashed(stream: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raw = np.frombuffer(stream, np.uint8)
     edge = np.flatnonzero(np.diff(INSIDE[raw].view(np.int8), prepend=np.int8(0)))
     begin, end = edge[::2], edge[1::2]
-    up, down = _powers(len(raw) + 1)
+    up, down = powers(len(raw) + 1)
     total = np.cumsum(_VALUE[raw] * up[:len(raw)])           # up to and with each byte
     before = np.where(begin > 0, total[begin - 1], np.uint64(0)) if len(begin) else total[:0]
     return begin, end - begin, mixed((total[end - 1] - before) * down[begin])

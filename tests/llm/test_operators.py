@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from canasta.llm import chat, graph, language, mixing, packing, quality, secrets, simhash, substring, topk, vectors
+from canasta.llm import chat, graph, language, mixing, packing, quality, secrets, simhash, substring, tokens, topk, vectors
 from canasta.llm.tokens import Encoder
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp long, root long, rank int, key string, label int, size int"
@@ -279,16 +279,20 @@ def tokenizer():
     return Encoder(public_tokenizers.path("byte_bpe_50k.json"))
 
 
-def test_remembered_chunks_give_the_tokenizer_ids(tokenizer):
+def test_remembered_chunks_give_the_tokenizer_ids(tokenizer, monkeypatch):
     import public_tokenizers
     from tokenizers import Tokenizer
     r = random.Random(2)
     pieces = [" ", "  ", "\n", "\t", "a", "the", "é", "12", "!!", "'s", "<|endoftext|>", "\x1c", "\r\n", "日本", "don't", "\0", ".", " ", "　"]
     texts = ["".join(r.choice(pieces) for _ in range(r.randint(0, 25))) for _ in range(6000)]
     apart = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts += ["".join(r.choice("aB.,;?! \n\n'9é") for _ in range(r.randint(0, 40))) for _ in range(6000)] + [" ".join(r.choices(pieces, k=3000)), " ".join(r.choices(["a.b", "c,\nd", "é."], k=3000))]
     wanted = [np.array(apart.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     assert [tokenizer.ids(t) for t in texts] == wanted
     assert sum(np.frombuffer(x, "<u4").tolist().count(50256) for x in wanted) > 1000
+    monkeypatch.setattr(tokens, "WORDS", 500)            # memory starts anew, long texts are cut
+    monkeypatch.setattr(tokens, "TOGETHER", 100)
+    assert tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json")).encode(texts[-3000:]) == wanted[-3000:]
 
 
 def test_packing_partitions_every_document(spark, tokenizer):
