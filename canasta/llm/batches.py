@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -44,12 +45,17 @@ def deliver(spark: SparkSession) -> None:
         context.addFile(str(folder), recursive=True)
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)     # the C library keeps freed arrays otherwise
+
+
 def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
-    """`mapInArrow` in a prepared session; a task gives back Arrow's free memory at its end, for workers live on."""
+    """`mapInArrow` in a prepared session; a task gives back free memory at its end, for workers live on."""
     deliver(df.sparkSession)
 
     def task(batches):
         yield from run(batches)
         pa.default_memory_pool().release_unused()
+        if _TRIM is not None:
+            _TRIM(0)
 
     return df.mapInArrow(task, schema)
