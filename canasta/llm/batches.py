@@ -45,7 +45,12 @@ def deliver(spark: SparkSession) -> None:
         context.addFile(str(folder), recursive=True)
 
 
-_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)     # the C library keeps freed arrays otherwise
+def give_back() -> None:
+    """Return free memory of Arrow and of the C library, which otherwise keeps freed arrays, to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
@@ -54,8 +59,6 @@ def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
 
     def task(batches):
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        if _TRIM is not None:
-            _TRIM(0)
+        give_back()
 
     return df.mapInArrow(task, schema)
