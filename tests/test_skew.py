@@ -190,3 +190,23 @@ def test_changes_that_cannot_be_made_are_no_steps(spark):
     assert [k for k, e in sorted(errors.items()) if e is None] == [(1, 1), (2, 1), (6, 3)]
     state = {x.product_code: (x.decision, x.price) for x in review.current_state(log, items).collect()}
     assert state == {1: ("accepted", 5.0), 2: ("pending", None), 3: ("accepted", 4.0)}
+
+
+def test_quantile_ranks_may_differ_from_key_to_key(spark):
+    rng = random.Random(3)
+    rows = [(k, k / 10, rng.choice([1.0, 2.0, 2.5, 7.0, 9.0, None])) for k in range(-1, 12) for _ in range(40)]
+    df = spark.createDataFrame(rows, "k int, q double, v double")
+    for hot_rows in (1_000_000, 2):
+        found = {r.k: (r.own, r.median) for r in skew.exact_quantiles(df, ["k", "q"], "v", {"own": "q", "median": 0.5}, hot_rows=hot_rows).collect()}
+        for k in found:
+            values = sorted(v for i, _, v in rows if i == k and v is not None)
+            spots = [(len(values) - 1) * q for q in (min(max(k / 10, 0), 1), 0.5)]
+            assert found[k] == tuple(pytest.approx(values[int(s)] + (values[min(int(s) + 1, len(values) - 1)] - values[int(s)]) * (s - int(s))) for s in spots)
+
+
+def test_tables_that_nothing_reads_are_deleted(spark):
+    table = skew.cut(spark.range(100).groupBy((F.col("id") % 7).alias("k")).count())
+    assert table.count() == 7 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    skew.discard(table)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(table.written_to)
