@@ -30,3 +30,21 @@ def test_grid_join_without_hot_keys_keeps_the_tasks_of_the_larger_side(spark):
     assert joined.count() == 10_000
     assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString() and "_row" not in joined._jdf.queryExecution().toString()
     assert sorted(grid_join(left, right, ["k"], hot_rows=7).collect()) == sorted(joined.collect())
+
+
+def test_candidates_that_a_word_rule_rejects_are_not_written_and_still_counted(spark, folder, monkeypatch):
+    written = {}
+
+    def kept(df, name="step", codec=None):
+        written[name] = cut(df, name, codec)
+        return written[name]
+
+    monkeypatch.setattr(run, "cut", kept)
+    targets, listings = fixtures.series_catalog(spark, folder)
+    paged = listings.withColumn("page", (F.floor(F.col("sku").cast("bigint") / 4) % 5 + 1).cast("int"))
+    summary, audit = run.price_run(targets, paged, stores=[0, 1, 2, 3], first_pages=2)
+    ends = {r.product_code: (r.n, r.rejected) for r in audit.groupBy("product_code").agg(
+        F.count_if(F.col("status") == "ACCEPTED").alias("n"), F.count_if(F.col("status") != "ACCEPTED").alias("rejected")).collect()}
+    refused = audit.join(written["read"], ["product_code", "store", "sku"], "left_anti").select("status", "reason").collect()
+    assert len(refused) > 0 and all(r.status == "REJECTED" and r.reason for r in refused)
+    assert {r.product_code: (r.n, r.rejected) for r in summary.collect() if r.n + r.rejected} == ends
