@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from canasta.operators import pricing
 from canasta.operators.skew import cut, grid_join
 from canasta.plans import price_run as run
 from canasta.sources import fixtures
@@ -48,3 +49,16 @@ def test_candidates_that_a_word_rule_rejects_are_not_written_and_still_counted(s
     refused = audit.join(written["read"], ["product_code", "store", "sku"], "left_anti").select("status", "reason").collect()
     assert len(refused) > 0 and all(r.status == "REJECTED" and r.reason for r in refused)
     assert {r.product_code: (r.n, r.rejected) for r in summary.collect() if r.n + r.rejected} == ends
+
+
+def test_averages_are_summed_in_the_order_of_the_file(spark):
+    prices = [0.1, 0.2, 0.3, 1e16, -1e16, 0.7]
+    rows = spark.createDataFrame([(1, 2, p, "f", i) for i, p in enumerate(prices)], "product_code long, store long, price_per_kg double, file string, row long")
+    want = 0.0
+    for p in prices:
+        want += p
+    for parts in (1, 3, 6):
+        got = pricing.store_stats(rows.orderBy(F.col("row").desc()).repartition(parts)).collect()
+        assert [(r.average, r.n) for r in got] == [(want / 6, 6)]
+    several = pricing.ordered_means(rows, ["product_code", "store"], stretch=2).collect()
+    assert [r.average for r in several] == [((0.1 + 0.2) + (0.3 + 1e16) + (-1e16 + 0.7)) / 6]
