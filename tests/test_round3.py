@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from canasta.operators import pricing
+from canasta.operators import cleaning, pricing
 from canasta.operators.skew import cut, grid_join
-from canasta.plans import price_run as run
+from canasta.plans import numeric, price_run as run
 from canasta.sources import fixtures
 
 
@@ -62,3 +62,14 @@ def test_averages_are_summed_in_the_order_of_the_file(spark):
         assert [(r.average, r.n) for r in got] == [(want / 6, 6)]
     several = pricing.ordered_means(rows, ["product_code", "store"], stretch=2).collect()
     assert [r.average for r in several] == [((0.1 + 0.2) + (0.3 + 1e16) + (-1e16 + 0.7)) / 6]
+
+
+def test_cleaning_for_few_columns_ends_every_row_alike(spark, folder):
+    rows = numeric.x1_holes(spark, folder).select(*numeric.CLEANED)
+    want = cleaning.clean_listings(rows)
+    columns = [*numeric.KEY, "status", "reason_code", "duplicate_of"]
+    got = cleaning.clean_listings(rows, columns=columns)
+    assert got.columns == columns and sorted(map(str, got.collect())) == sorted(map(str, want.select(*columns).collect()))
+    # figures of the product that nobody reads are not joined to the rows that fell out before
+    assert want.select("status")._jdf.queryExecution().optimizedPlan().toString().count("Join") < want._jdf.queryExecution().optimizedPlan().toString().count("Join")
+    assert got.where("status = 'SIZE'").count() > 100
