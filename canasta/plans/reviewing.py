@@ -10,7 +10,7 @@ from canasta.operators.cleaning import PRODUCT
 from canasta.plans.numeric import KEY, KEYS, X1, near, r, x1
 from canasta.plans.registry import query
 from canasta.plans.texts import norm
-from canasta.settings import PriceSettings
+from canasta.settings import PriceSettings, ReviewPolicy
 from canasta.sources import fixtures, tables
 
 SIZE_TEXT = "TARGET SIZE WARNING: name parses to 1.000kg but spreadsheet weight is 2.500kg"
@@ -37,19 +37,18 @@ ITEMS = f"""{X1}, e AS (SELECT * FROM x WHERE accepted AND size_ratio BETWEEN 0.
 def items(spark, folder):
     """One row per product: evidence from the listings of a close size, the estimate, flags and the current price."""
     close = x1(spark, folder).where(F.col("accepted") & F.col("size_ratio").between(0.67, 1.5))
-    stats = pricing.store_stats(close)
-    support = review.store_support(stats)
-    counts = stats.groupBy(*PRODUCT).agg(F.sum("n").alias("_n"), F.count(F.lit(1)).alias("_stores"))
-    market = pricing.store_balanced(stats).select(*PRODUCT, "market")
-    spread = pricing.spread_stats(close).select(*PRODUCT, "ratio", "cv", "spread", F.col("min").alias("low"), F.col("max").alias("high"))
+    figures = pricing.listing_figures(close, pricing.large_products(close))
+    stores, settings, policy = F.col("stores"), PriceSettings(), ReviewPolicy()
+    market = pricing.balanced(stores, lambda x: pricing.at_level(x, settings.price_level, "median"), settings.store_weight_cap)
+    evidence = figures.select(*PRODUCT, F.col("n").alias("_n"), F.size(stores).cast("long").alias("_stores"), pricing.capped(stores, policy.matches_per_store).alias("support"),
+                              market.alias("market"), "ratio", "cv", "spread", F.col("min").alias("low"), F.col("max").alias("high"))
     key = F.col("p_partkey")
     base = fixtures.read(spark, folder, "part").select(
         key.alias("product_code"), F.col("p_brand").alias("category"), F.col("p_size").cast("double").alias("target_kg"),
         fixtures.pick(key, ["HIGH", "MEDIUM", "LOW"]).alias("confidence"), F.when(key % 13 == 0, "timeout").otherwise("").alias("request_error"),
         (key % 4 == 0).alias("variety"), F.when(key % 17 == 0, SIZE_TEXT).otherwise("").alias("size_warning"))
     rows = base.join(fixtures.current_prices(spark, folder), "product_code")
-    for part in (counts, support, market, spread):
-        rows = rows.join(part, "product_code", "left")
+    rows = rows.join(evidence, "product_code", "left")
     rows = rows.withColumns({"n": F.coalesce("_n", F.lit(0)), "store_count": F.coalesce("_stores", F.lit(0)), "support": F.coalesce("support", F.lit(0)),
                              "estimate": pricing.estimate_price(F.col("market"), F.col("target_kg"))}).drop("_n", "_stores")
     quality = flags.quality_flags(F.col("n"), F.col("store_count"), F.col("confidence"), 4, F.col("size_warning"), F.col("request_error"))
